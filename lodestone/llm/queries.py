@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_automaton, chat, langid, suffix, topk, urlrules, wavelet
-from .common import crc_mod, materialise, table
+from . import bpe_automaton, chat, langid, ngram, suffix, superkmer, topk, urlrules, wavelet
+from .common import crc_mod, table
 
 #: Where the public vocabulary lies; the operators take any path.
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -36,6 +36,10 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest_chats(chat.format_chats(rows.unionByName(tricky)))
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -53,8 +57,12 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_automaton.encode_documents(table(spark, sf_dir, "documents"), VOCABULARY, keep="digests")
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return superkmer.remove_repeats(table(spark, sf_dir, "documents"), keep="digest")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_url_rules, op3_chat_format, op5_decontaminate, op6_token_files, op7_top_k, op8_bpe)}
+    return {f.__name__: f for f in (op1_language_id, op2_url_rules, op3_chat_format, op4_lm_score, op5_decontaminate, op6_token_files, op7_top_k, op8_bpe, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
