@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_automaton, chat, langid, ngram, suffix, superkmer, topk, urlrules, wavelet
+from . import bpe_automaton, chat, langid, minhash, ngram, suffix, superkmer, topk, urlrules, wavelet
 from .common import crc_mod, table
 
 #: Where the public vocabulary lies; the operators take any path.
@@ -57,12 +57,16 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_automaton.encode_documents(table(spark, sf_dir, "documents"), VOCABULARY, keep="digests")
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superkmer.remove_repeats(table(spark, sf_dir, "documents"), keep="digest")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_url_rules, op3_chat_format, op4_lm_score, op5_decontaminate, op6_token_files, op7_top_k, op8_bpe, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_language_id, op2_url_rules, op3_chat_format, op4_lm_score, op5_decontaminate, op6_token_files, op7_top_k, op8_bpe, op9_near_dedup, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
