@@ -31,10 +31,11 @@ from .common import BROADCAST_LIMIT, id_and_bytes, materialise
 
 MAGIC = b"LWM1"
 #: Tokens of a segment: bounds the memory of a task that builds or reads one. A longer document makes a longer segment.
-SEGMENT_TOKENS = 2_000_000
+SEGMENT_TOKENS = 1_500_000
 #: Text bytes of a shard, before compression.
 SHARD_BYTES = 48 << 20
-CACHE_CHUNKS = 250_000
+#: Distinct chunks that one worker remembers.
+CACHE_CHUNKS = 1_000_000
 _SUPER = 512
 
 
@@ -50,9 +51,9 @@ class WaveletMatrix:
         for p in range(n_planes - 1, -1, -1):
             bit = ((ids >> ids.dtype.type(p)) & ids.dtype.type(1)).astype(bool)
             planes.append(np.packbits(bit, bitorder="little"))
-            low = ids[~bit]
+            low = ids.compress(~bit)
             zeros.append(len(low))
-            ids = np.concatenate((low, ids[bit]))
+            ids = np.concatenate((low, ids.compress(bit)))
         return cls(planes, zeros, len(ids))
 
     def _bits(self, p: int) -> np.ndarray:
@@ -129,9 +130,9 @@ class WaveletMatrix:
         out = np.zeros(self.n, dtype)
         for p in range(len(self.planes) - 1, -1, -1):
             bit, back = self._bits(p), np.empty_like(out)
-            back[~bit] = out[: self.zeros[p]]
-            back[bit] = out[self.zeros[p] :]
-            out = back | (bit.astype(dtype) << dtype(len(self.planes) - 1 - p))
+            back[np.flatnonzero(~bit)] = out[: self.zeros[p]]
+            back[np.flatnonzero(bit)] = out[self.zeros[p] :] | dtype(1 << (len(self.planes) - 1 - p))
+            out = back
         return out
 
 
@@ -168,34 +169,95 @@ def from_payload(payload: bytes) -> tuple[list[int | None], np.ndarray, WaveletM
     return [x if y else None for x, y in zip(ids.tolist(), known.tolist(), strict=True)], lengths, WaveletMatrix(planes, [zeros for zeros, _ in heads], n)
 
 
+#: ASCII characters that a pre-tokenizer of words, digits and other runs joins into one run (no apostrophe).
+_RUN = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def _plain(s: str) -> bool:
+    """Latin letters only: one word for the pre-tokenizer, before and after lower-casing."""
+    return s.isalpha() and (s.isascii() or max(s) < "\u0130" or max(s) < "\u0250" and s.lower().isalpha())
+
+
 class _Encoder(dict):
-    """White-space-free chunk -> ids as little-endian u32 bytes, by the tokenizers library.
+    """White-space-free chunk -> number, and per number its ids by the tokenizers library.
 
-    No token of a pre-splitting vocabulary spans ASCII white space, so a text's
-    ids are its chunks' ids in order; chunks are encoded once a worker and batch.
+    No token of a pre-splitting vocabulary spans ASCII white space, so a text's ids are its chunks'
+    ids in order, and each distinct chunk is encoded once a worker.  Chunks of letters, perhaps with
+    punctuation after them, are encoded many at a time, as one text; the end marks of the last
+    tokens tell them apart (and are counted, to make sure).  Number 0 stands for the end id.
     """
 
-    def __init__(self, path: str):
+    TOGETHER = 2_000
+
+    def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.tokenizer = Tokenizer.from_file(path)
-
-    def learn(self, chunks: set[bytes]) -> None:
-        fresh = [c for c in chunks if c not in self]
-        if len(self) + len(fresh) > CACHE_CHUNKS:
-            self.clear()
-            fresh = [*chunks]
-        for i in range(0, len(fresh), 20_000):
-            part = fresh[i : i + 20_000]
-            found = self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in part], add_special_tokens=False)
-            for c, e in zip(part, found, strict=True):
-                self[c] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+        self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for label, i in vocabulary.items() if label.endswith("</w>")]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.fresh: list[bytes] = []
+        self.flat, self.start, self.size = np.array([self.end_id], np.uint32), np.zeros(1, np.int64), np.ones(1, np.int64)
+
+    def __missing__(self, chunk: bytes) -> int:
+        self.fresh.append(chunk)
+        i = self[chunk] = len(self) + 1
+        return i
+
+    def _learn(self) -> None:
+        texts = [c.decode("utf-8", "replace") for c in self.fresh]
+        runs = []
+        for s in texts:
+            word = s.rstrip(_RUN)
+            runs.append(0 if word and not _plain(word) else (len(word) > 0) + (len(word) < len(s)))
+        start, size = np.full(len(texts), -1, np.int64), np.zeros(len(texts), np.int64)
+        parts, held = [self.flat], len(self.flat)
+        runs = np.array(runs, np.int64)
+        joined = np.flatnonzero(runs)
+        for at in range(0, len(joined), self.TOGETHER):
+            pick = joined[at : at + self.TOGETHER]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join([texts[i] for i in pick.tolist()])], add_special_tokens=False)[0].ids, np.uint32)
+            stops, upto = np.flatnonzero(self.last[ids]), np.cumsum(runs[pick])
+            if len(stops) == upto[-1]:  # else these go one by one
+                edges = np.r_[0, stops[upto - 1] + 1]
+                start[pick], size[pick] = held + edges[:-1], np.diff(edges)
+                parts.append(ids)
+                held += len(ids)
+        rest = np.flatnonzero(start < 0).tolist()
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
+            parts.append(np.array(e.ids, np.uint32))
+            start[i], size[i] = held, len(e.ids)
+            held += len(e.ids)
+        self.flat, self.start, self.size = np.concatenate(parts), np.concatenate((self.start, start)), np.concatenate((self.size, size))
+        self.fresh = []
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, each with its end id; ids per text)."""
+        if len(self) > CACHE_CHUNKS:
+            self.forget()
+        parts = []
+        for text in texts:
+            chunks = text.split()
+            parts.append(np.fromiter(map(self.__getitem__, chunks), np.int64, len(chunks)))
+        if self.fresh:
+            self._learn()
+        end = np.zeros(1, np.int64)
+        numbers = np.concatenate([x for part in parts for x in (part, end)])
+        sizes = self.size[numbers]
+        stops = np.cumsum(sizes)
+        ids = self.flat.take(np.repeat(self.start[numbers] - (stops - sizes), sizes) + np.arange(int(stops[-1])))
+        upto = stops[np.cumsum([len(part) + 1 for part in parts]) - 1]
+        return ids, np.diff(upto, prepend=0)
 
 
 @lru_cache(maxsize=2)
-def _encoder(path: str) -> _Encoder:
-    return _Encoder(path)
+def _encoder(path: str, end_id: int) -> _Encoder:
+    return _Encoder(path, end_id)
 
 
 def _groups(texts: Iterator[tuple], size: int) -> Iterator[list[tuple]]:
@@ -233,26 +295,23 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int = 2, n_plane
                     state["shard"] = batch.column("shard")[0].as_py()
                 yield from zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True)
 
-        encoder, end = _encoder(vocabulary), struct.pack("<I", end_id)
+        encoder = _encoder(vocabulary, end_id)
         doc_ids, lengths, parts, held, first, segment = [], [], [], 0, 0, 0
 
         def flush() -> pa.RecordBatch:
-            payload = to_payload(doc_ids, lengths, np.frombuffer(b"".join(parts), "<u4"), n_planes)
+            payload = to_payload(doc_ids, lengths, np.concatenate(parts), n_planes)
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((state["shard"], pa.int32()), (segment, pa.int32()), (first, pa.int64()), (held, pa.int64()), (payload, pa.binary()))], names=["shard", "segment", "first_token", "n_tokens", "payload"])
 
-        for group in _groups(texts(), 4 << 20):
-            split = [(doc_id, text.split()) for doc_id, text in group]
-            encoder.learn({c for _, chunks in split for c in chunks})
-            for doc_id, chunks in split:
-                packed = b"".join(map(encoder.__getitem__, chunks)) + end
-                doc_ids.append(doc_id)
-                lengths.append(len(packed) // 4)
-                parts.append(packed)
-                held += len(packed) // 4
-                if held >= SEGMENT_TOKENS:
-                    yield flush()
-                    first, segment = first + held, segment + 1
-                    doc_ids, lengths, parts, held = [], [], [], 0
+        for group in _groups(texts(), 2 << 20):
+            ids, sizes = encoder.encode([text for _, text in group])
+            doc_ids += [doc_id for doc_id, _ in group]
+            lengths += sizes.tolist()
+            parts.append(ids)
+            held += len(ids)
+            if held >= SEGMENT_TOKENS:
+                yield flush()
+                first, segment = first + held, segment + 1
+                doc_ids, lengths, parts, held = [], [], [], 0
         if doc_ids:
             yield flush()
 
