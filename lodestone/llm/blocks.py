@@ -21,10 +21,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_bytes, materialise, shared_dir
+from .common import id_and_bytes, materialise, release_memory, shared_dir
 
 #: Text bytes of a block; a longer document is a block of its own.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: Text bytes per key range: keeps a range's keys, of all blocks together, in memory.
 RANGE_BYTES = 6 << 20
 
@@ -77,6 +77,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_
                 if held >= block_bytes:
                     yield flush()
                     seq, doc_ids, texts, held = seq + 1, [], [], 0
+                    release_memory()
         if doc_ids:
             yield flush()
 
@@ -144,6 +145,7 @@ def totals(blocks: DataFrame, keys_of: KeyFn, ranges: int, name: str) -> DataFra
                 cols = [*zip(*rows, strict=True)] or [()] * 4
                 kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["range", "block", "keys", "counts"])
+                release_memory()
 
     def answer(group: pa.Table) -> pa.Table:
         owner = group["block"].to_pylist()

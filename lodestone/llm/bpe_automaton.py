@@ -35,7 +35,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import id_and_bytes
+from .common import id_and_bytes, release_memory
 
 #: The pre-tokenizer's pattern and the byte-to-character table's rule (printable bytes stand for themselves).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -43,7 +43,9 @@ PRINTABLE = (*range(33, 127), *range(161, 173), *range(174, 256))
 END = "</w>"
 
 #: Chunks kept by one worker between batches; beyond that the cache starts anew.
-CACHE_CHUNKS = 250_000
+CACHE_CHUNKS = 120_000
+#: Arcs looked up that are kept.
+CACHE_ARCS = 300_000
 
 
 def byte_alphabet() -> str:
@@ -86,7 +88,7 @@ class MergeAutomaton:
         key = a * self.size + b
         known = self._arcs.get(key)
         if known is None:
-            if len(self._arcs) > 2_000_000:
+            if len(self._arcs) > CACHE_ARCS:
                 self._arcs.clear()
             known = self._arcs[key] = self._look_up(a, b)
         return known
@@ -250,5 +252,6 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
                 b.append(decoded.decode() if arrays else hashlib.sha256(decoded).hexdigest())
             out = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.list_(pa.int32()) if arrays else pa.string()), pa.array(b, pa.string())]
             yield pa.RecordBatch.from_arrays(out, names=[f.name for f in fields])
+            release_memory()
 
     return source.mapInArrow(run, T.StructType(fields))

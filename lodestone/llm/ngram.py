@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import BLOCK_BYTES, Ids, key_ranges, look_up, pack, totals, unseal, unsqueeze, unsqueeze_sorted, with_answers
-from .common import lower_ascii, mix64
+from .common import lower_ascii, mix64, release_memory
 
 ORDER = 2
 RELIANCE, DAMPING = 0.6, 3.0
@@ -163,6 +163,7 @@ def score_documents(docs: DataFrame, order: int = ORDER, modulus: int = 7, remai
         for batch in batches:
             for payload, replies in zip(batch.column("payload"), batch.column("answers"), strict=True):
                 yield judge(payload.as_py(), replies.as_py() or [])
+                release_memory()
 
     def judge(payload: bytes, replies: list[dict]) -> pa.RecordBatch:
         doc_ids, texts = unseal(payload)

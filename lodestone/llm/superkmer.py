@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import BLOCK_BYTES, Ids, compress, decompress, key_ranges, pack, squeeze, squeeze_sorted, totals, unseal, unsqueeze, unsqueeze_sorted, with_answers
-from .common import materialise, mix64
+from .common import materialise, mix64, release_memory
 
 WINDOW, MINIMISER = 20, 10
 _BASE = 0x9E3779B97F4A7C15
@@ -140,6 +140,7 @@ def repeated_windows(blocks: DataFrame, k: int = WINDOW, m: int = MINIMISER) ->
             for block, payload, replies in zip(batch.column("block").to_pylist(), batch.column("payload"), batch.column("answers"), strict=True):
                 if replies.as_py():
                     yield from parcels(block, payload.as_py(), np.concatenate([unsqueeze_sorted(r["keys"]) for r in replies.as_py()]))
+                    release_memory()
 
     def parcels(block: int, payload: bytes, wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
         doc_ids, texts = unseal(payload)
@@ -203,6 +204,7 @@ def remove_repeats(docs: DataFrame, k: int = WINDOW, m: int = MINIMISER, id_col:
         for batch in batches:
             for payload, replies in zip(batch.column("payload"), batch.column("answers"), strict=True):
                 yield cut(payload.as_py(), replies.as_py() or [])
+                release_memory()
 
     def cut(payload: bytes, replies: list[dict]) -> pa.RecordBatch:
         doc_ids, texts = unseal(payload)
