@@ -16,6 +16,11 @@ SPACE = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\
 ARTICLE = r"제?\s*(\d{1,3})\s*조(?:\s*의\s*(\d{1,2}))?"
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with the value computed once a row: an inlined expression would be evaluated per element inside a lambda."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def replace(c: Column, pattern: str, by: str = "") -> Column:
     return F.regexp_replace(c, pattern, by)
 
@@ -177,14 +182,27 @@ def key_terms(c: Column, least: int = 2) -> Column:
 
 def word_shingles(words: Column, n: int = 5) -> Column:
     """Runs of n words joined by a blank; none where there are fewer."""
-    starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
+
+    def runs(w: Column) -> Column:
+        starts = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(w, i, n), " "))
+
+    return let(words, runs)
 
 
 def char_grams(c: Column, n: int = 4) -> Column:
     """Character n-grams; none where the text is shorter (sequence would count down)."""
-    starts = F.when(F.length(c) >= n, F.sequence(F.lit(1), F.length(c) - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: c.substr(i, F.lit(n)))
+
+    def grams(t: Column) -> Column:
+        letters = F.filter(F.split(t, ""), lambda x: x != "")  # an array: a substring of a string is a scan from its start
+
+        def cut(a: Column) -> Column:
+            starts = F.when(F.size(a) >= n, F.sequence(F.lit(1), F.size(a) - n + 1)).otherwise(F.array().cast("array<int>"))
+            return F.transform(starts, lambda i: F.array_join(F.slice(a, i, n), ""))
+
+        return let(letters, cut)
+
+    return let(c, grams)
 
 
 def dedup_parts(parts: Column) -> Column:

@@ -18,12 +18,12 @@ rs AS (SELECT doc_id AS qid, source AS model, lang AS condition, doc_id % 11 AS
  '제' || CAST(doc_id % 7 + 1 AS VARCHAR) || '조' AS basis, ['높음', '중간', '낮음', '모름', '<높음|중간>', '아마'][CAST(doc_id % 6 AS INTEGER) + 1] AS cr,
  array_to_string(string_split(substr(regexp_replace(text, '[^a-zA-Z ]+', '', 'g'), 1, 60), ' ')[1:3], ' ') || CASE WHEN doc_id % 3 = 0 THEN ' ' || CAST(doc_id % 4 AS VARCHAR) ELSE '' END AS gold, doc_id % 9 <> 0 AS answerable FROM documents),
 pa AS (SELECT *, trim(ans) AS a, CASE WHEN cr LIKE '<%' THEN '' WHEN cr = '아마' THEN '' ELSE cr END AS conf, CASE WHEN cr LIKE '<%' THEN 'template_echo' WHEN cr = '아마' THEN 'unparsed' ELSE 'ok' END AS conf_parse FROM rs),
-kw AS (SELECT *, doc_tok(gold) AS gt, doc_tok(a) AS at FROM pa)
+kw AS (SELECT *, doc_tok(gold) AS gtok, doc_tok(a) AS atok FROM pa)
 """.replace("doc_tok(gold)", r"list_distinct(list_filter(regexp_split_to_array(gold, '[^\p{L}\p{N}_]+'), lambda w: length(w) >= 2))").replace("doc_tok(a)", r"list_distinct(list_filter(regexp_split_to_array(a, '[^\p{L}\p{N}_]+'), lambda w: length(w) >= 2))")
 _GRADED = _RESP + r""",
-km AS (SELECT *, len(list_intersect(gt, at)) / len(gt) AS ratio, list_distinct(regexp_extract_all(gold, '[0-9]+')) AS ng, list_distinct(regexp_extract_all(a, '[0-9]+')) AS na,
+km AS (SELECT *, len(list_intersect(gtok, atok)) / len(gtok) AS ratio, list_distinct(regexp_extract_all(gold, '[0-9]+')) AS ng, list_distinct(regexp_extract_all(a, '[0-9]+')) AS na,
  (a || ' ' || basis LIKE '%확인할 수 없%' OR a || ' ' || basis LIKE '%모르%' OR conf = '모름') AS abst FROM kw),
-vd AS (SELECT *, CASE WHEN gold = '' OR len(gt) = 0 THEN 'ambiguous' WHEN len(ng) > 0 THEN CASE WHEN len(list_intersect(ng, na)) = 0 THEN 'no' WHEN ratio >= 0.3 THEN 'yes' ELSE 'ambiguous' END WHEN ratio >= 0.7 THEN 'yes' ELSE 'ambiguous' END AS kwv FROM km),
+vd AS (SELECT *, CASE WHEN gold = '' OR len(gtok) = 0 THEN 'ambiguous' WHEN len(ng) > 0 THEN CASE WHEN len(list_intersect(ng, na)) = 0 THEN 'no' WHEN ratio >= 0.3 THEN 'yes' ELSE 'ambiguous' END WHEN ratio >= 0.7 THEN 'yes' ELSE 'ambiguous' END AS kwv FROM km),
 gr AS (SELECT qid, model, condition, conf AS confidence, conf_parse, abst AS abstained, answerable,
  CASE WHEN abst THEN 'honest_abstain' WHEN NOT answerable OR kwv = 'no' THEN CASE WHEN conf IN ('높음', '중간') THEN 'overconfident' ELSE 'hedged_wrong' END WHEN kwv = 'yes' THEN 'correct' ELSE 'review' END AS state,
  CASE WHEN NOT answerable THEN abst WHEN abst THEN m > 3 WHEN kwv = 'yes' THEN true WHEN kwv = 'no' THEN false END AS correct,
@@ -91,8 +91,8 @@ def facts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("mcnemar_pairs", f"""WITH {_FACTS}, u AS (SELECT unit, max(CASE WHEN lang = 'en' THEN quality END) AS x, max(CASE WHEN lang = 'de' THEN quality END) AS z FROM f WHERE lang IN ('en', 'de') GROUP BY unit),
-c AS (SELECT count(*) AS n, count(*) FILTER (WHERE x = 1 AND z = 1) AS both, count(*) FILTER (WHERE x = 1 AND z = 0) AS b, count(*) FILTER (WHERE x = 0 AND z = 1) AS c, count(*) FILTER (WHERE x = 0 AND z = 0) AS neither FROM u WHERE x IS NOT NULL AND z IS NOT NULL)
-SELECT n, both, b, c, neither, round(CASE WHEN b + c = 0 THEN 1 ELSE least(1, 2 * (SELECT sum(exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2))) FROM unnest(range(0, least(b, c) + 1)) t(i))) END, 9) AS p FROM c""")
+c AS (SELECT count(*) AS n, count(*) FILTER (WHERE x = 1 AND z = 1) AS "both", count(*) FILTER (WHERE x = 1 AND z = 0) AS b, count(*) FILTER (WHERE x = 0 AND z = 1) AS c, count(*) FILTER (WHERE x = 0 AND z = 0) AS neither FROM u WHERE x IS NOT NULL AND z IS NOT NULL)
+SELECT n, "both", b, c, neither, round(CASE WHEN b + c = 0 THEN 1 ELSE least(1, 2 * (SELECT sum(exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2))) FROM unnest(range(0, least(b, c) + 1)) t(i))) END, 9) AS p FROM c""")
 def mcnemar_pairs(spark: SparkSession, sf: str) -> DataFrame:
     d = stats.discordant(facts(spark, sf), "lang", "unit", "quality", "en", "de")
     return d.withColumn("p", F.round(stats.mcnemar(F.col("b"), F.col("c")), 9))
