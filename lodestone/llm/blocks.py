@@ -105,7 +105,7 @@ def decompress(data: bytes) -> bytes:
 
 def squeeze(values: np.ndarray) -> bytes:
     """Unsigned integers, byte plane by byte plane, so that the empty high bytes vanish."""
-    return compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes())
+    return compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.dtype.itemsize).T).tobytes())
 
 
 def unsqueeze(data: bytes, dtype: type) -> np.ndarray:
