@@ -42,8 +42,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 PRINTABLE = (*range(33, 127), *range(161, 173), *range(174, 256))
 END = "</w>"
 
-#: Chunks kept by one worker between batches; beyond that the cache starts anew.
-CACHE_CHUNKS = 120_000
+#: Chunks of a generation of one worker's cache.
+CACHE_CHUNKS = 130_000
 #: Arcs looked up that are kept.
 CACHE_ARCS = 300_000
 
@@ -73,6 +73,10 @@ class MergeAutomaton:
         self._arcs: dict[int, bool] = {}
         self._build_trie(vocab)
         self._alphabet = dict(enumerate(byte_alphabet()))
+        if missing := [c + e for c in self._alphabet.values() for e in ("", END) if c + e not in vocab]:
+            raise ValueError(f"the vocabulary lacks {len(missing)} single symbols")
+        self.id_bytes = {i: str(i).encode() for i in self.labels}
+        self.label_bytes = {i: label.encode() for i, label in self.labels.items()}
         self._words: dict[str, tuple[int, ...]] = {}
         self._split = regex.compile(PATTERN)
         self._special_split = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
@@ -142,33 +146,34 @@ class MergeAutomaton:
         known = self._words.get(word)
         if known is not None:
             return known
-        mapped = word.encode("utf-8").decode("latin-1").translate(self._alphabet)
-        symbols = [*mapped[:-1], mapped[-1] + END]
-        goto, fail, out, arc = self._goto, self._fail, self._out, self.arc
-        last, start, at = [-1], [0], 0
-        for i, c in enumerate(symbols, 1):
-            while at and c not in goto[at]:
+        plain = word.isascii() and word.isalnum()  # such bytes stand for themselves
+        mapped = word if plain else word.encode("utf-8").decode("latin-1").translate(self._alphabet)
+        goto, fail, out, arcs, arc, size = self._goto, self._fail, self._out, self._arcs, self.arc, self.size
+        last, start, at, i = [-1], [0], 0, 0
+        for c in (*mapped[:-1], mapped[-1] + END):
+            i += 1
+            step = goto[at].get(c)
+            while step is None:  # the root has an arc for every symbol
                 at = fail[at]
-            at = goto[at].get(c, 0)
+                step = goto[at].get(c)
+            at = step
             for token, length in out[at]:
-                before = last[i - length]
-                if before == -2:
-                    continue
-                if i == length or arc(before, token):
-                    last.append(token)
-                    start.append(i - length)
-                    break
-            else:
-                last.append(-2)
-                start.append(i - 1)
-        ids, i = [], len(symbols)
+                j = i - length
+                if j:
+                    before = last[j]
+                    known = arcs.get(before * size + token)
+                    if not (arc(before, token) if known is None else known):
+                        continue
+                last.append(token)
+                start.append(j)
+                break
+        ids = []
         while i:
-            if last[i] >= 0:
-                ids.append(last[i])
+            ids.append(last[i])
             i = start[i]
         found = tuple(reversed(ids))
         if len(word) < 64:
-            if len(self._words) > CACHE_CHUNKS:
+            if len(self._words) > CACHE_CHUNKS // 4:
                 self._words.clear()
             self._words[word] = found
         return found
@@ -202,17 +207,29 @@ def automaton(path: str) -> MergeAutomaton:
 
 
 class _Chunks(dict):
-    """White-space-free chunk of bytes -> (ids, labels), each written out and joined by blanks."""
+    """White-space-free chunk of bytes -> (ids, labels), each written out and joined by blanks.
+
+    Two generations: when the younger is full it becomes the older, so chunks in use survive.
+    """
 
     def __init__(self, path: str):
         super().__init__()
-        self.automaton = automaton(path)
+        self.automaton, self.older = automaton(path), {}
+        self.marks = {s[0] for s in self.automaton.special}
 
     def __missing__(self, chunk: bytes) -> tuple[bytes, bytes]:
-        ids = self.automaton.encode(chunk.decode("utf-8", "replace"))
-        found = (" ".join(map(str, ids)).encode(), self.automaton.decode(ids).encode())
+        found = self.older.get(chunk)
+        if found is None:
+            fsa = self.automaton
+            text = chunk.decode("utf-8", "replace")
+            if text.isascii() and text.isalpha():
+                ids = fsa.encode_word(text.lower())
+            else:
+                ids = fsa.encode_plain(text) if self.marks.isdisjoint(text) else fsa.encode(text)
+            found = (b" ".join([fsa.id_bytes[i] for i in ids]), b" ".join([fsa.label_bytes[i] for i in ids]))
         if len(chunk) < 64:
             if len(self) > CACHE_CHUNKS:
+                self.older = dict(self)
                 self.clear()
             self[chunk] = found
         return found
