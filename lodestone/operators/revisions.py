@@ -24,8 +24,8 @@ def article_changes(articles: DataFrame, pairs: DataFrame, key: str, code: str,
     """
     gone = F.coalesce(F.col(deleted), F.lit(False)) if deleted else F.lit(False)
     rows = articles.select(key, F.col("version").alias("_v"), code, X.without_amendments(F.col(text)).alias("_n"), F.col(text).alias("_t"), gone.alias("_d"))
-    old = rows.join(pairs, (rows["_v"] == pairs["version"]) & (rows[key] == pairs[key])).select(pairs[key], "version", "next_version", code, F.lit(0).alias("side"), "_n", "_t", "_d")
-    new = rows.join(pairs, (rows["_v"] == pairs["next_version"]) & (rows[key] == pairs[key])).select(pairs[key], "version", "next_version", code, F.lit(1).alias("side"), "_n", "_t", "_d")
+    at = lambda c, s: rows.join(pairs.withColumn("_v", F.col(c)), [key, "_v"]).select(key, "version", "next_version", code, F.lit(s).alias("side"), "_n", "_t", "_d")
+    old, new = at("version", 0), at("next_version", 1)
     side = lambda s: F.first(F.when(F.col("side") == s, F.struct("_n", "_t", "_d")), ignorenulls=True)
     g = old.unionByName(new).groupBy(key, "version", "next_version", code).agg(side(0).alias("o"), side(1).alias("n"))
     kind = F.when(F.col("o").isNull(), ADDED).when(F.col("n").isNull(), REMOVED).when(~F.col("o._d") & F.col("n._d"), MARKED_DELETED).when(F.col("o._d") & ~F.col("n._d"), REVIVED).when(F.col("o._n") != F.col("n._n"), AMENDED)

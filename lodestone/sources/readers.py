@@ -74,7 +74,7 @@ def form(text: DataFrame) -> DataFrame:
     lines = lines.withColumn("at", F.last("entry", ignorenulls=True).over(w)).where("qid is not null and at.field <> ''")
     own = F.regexp_replace("line", r"^-\s*[^:：]+?\s*[:：]\s*", "")
     g = lines.groupBy("file", "qid", F.col("at.pos").alias("at"), F.col("at.field").alias("field")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", own.alias("v")))), lambda s: s["v"]), "\n").alias("value"))
-    return g.select("qid", "field", F.trim("value").alias("value"))
+    return g.select("qid", "field", F.regexp_replace("value", r"^\s+|\s+$", "").alias("value"))
 
 
 def manifest_conditions(spark: SparkSession, paths: list[str]) -> DataFrame:
