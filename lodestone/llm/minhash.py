@@ -13,11 +13,13 @@ Links are decided on full sets:
 2. class representatives that share a band hang on the band's smallest member; the
    connected parts of these stars are candidate clusters;
 3. a cluster is cut by set size (linked sets differ by less than the threshold's
-   ratio, so neighbouring size classes suffice) and, where still large, into
-   sub-groups that meet pairwise, so no task ever holds an unbounded group;
+   ratio, so neighbouring size classes suffice);
 4. within a group, sets meet over an inverted index, one document at a time, until
    all pairs not yet connected have been compared;
-5. verified links and classes give connected components.
+5. no task holds an unbounded group: a large one is cut into parts, and the same few
+   leaders join every part. Around a common text that connects nearly all of it, and
+   what is left outside the group's largest component then meets every part;
+6. verified links and classes give connected components.
 
 A pair at the threshold shares no band with probability (1 - 0.8^5)^32 = 3e-6.
 
@@ -33,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,8 +44,8 @@ from .common import id_and_bytes, lower_ascii, materialise, mix64
 from .components import connected_components
 
 BANDS, ROWS = 32, 5
-#: Documents, and set elements, that meet in one task at most (two sub-groups).
-GROUP_DOCS, GROUP_ELEMENTS = 3_000, 3_000_000
+#: Documents, and set elements, of a part; leaders that join every part of a large group.
+GROUP_DOCS, GROUP_ELEMENTS, LEADERS = 400, 1_000_000, 48
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -170,22 +172,57 @@ def link_group(texts: list[bytes], shingle: int, threshold: int) -> np.ndarray:
                 parent[max(a, b)] = min(a, b)
 
 
-def _group_keys(members: DataFrame, threshold: int) -> DataFrame:
-    """(id, group keys): the groups in which a representative meets those it may link to. Works on ids and sizes alone."""
+def _spots(members: DataFrame, threshold: int) -> DataFrame:
+    """(id, cluster, c, n, parts): the groups (cluster, size class) in which a representative meets those it may link to.
+
+    A document stands in its own size class and the next one; a group counts if it owns a member. Groups beyond
+    GROUP_DOCS documents or GROUP_ELEMENTS set elements have several parts. Works on ids and sizes alone.
+    """
     ratio = math.log(100 / threshold) if threshold < 100 else 1e9
-    size_class = F.floor(F.log("n_shingles") / F.lit(ratio) + 1e-9).cast("int")
-    own = members.withColumn("c", size_class)
-    spots = own.select("id", "n_shingles", "cluster", F.explode(F.array(F.struct(F.col("c").alias("c"), F.lit(1).alias("own")), F.struct((F.col("c") + 1).alias("c"), F.lit(0).alias("own")))).alias("s")).select("id", "n_shingles", "cluster", "s.*")
-    parts = F.ceil(F.greatest(2 * F.col("n") / GROUP_DOCS, 2 * F.col("elements") / GROUP_ELEMENTS)).cast("int")
+    own = members.withColumn("c", F.floor(F.log("n_shingles") / F.lit(ratio) + 1e-9).cast("int"))
+    both = F.array(F.struct(F.col("c").alias("c"), F.lit(1).alias("own")), F.struct((F.col("c") + 1).alias("c"), F.lit(0).alias("own")))
+    spots = own.select("id", "n_shingles", "cluster", F.explode(both).alias("s")).select("id", "n_shingles", "cluster", "s.*")
+    parts = F.ceil(F.greatest(F.col("n") / GROUP_DOCS, F.col("elements") / GROUP_ELEMENTS)).cast("int")
     groups = spots.groupBy("cluster", "c").agg(F.count("*").alias("n"), F.sum("own").alias("owned"), F.sum("n_shingles").alias("elements")).where("owned > 0 and n > 1")
-    groups = groups.select("cluster", "c", F.when((F.col("n") <= GROUP_DOCS) & (F.col("elements") <= GROUP_ELEMENTS), 1).otherwise(parts).alias("parts"))
-    met = spots.join(groups, ["cluster", "c"])
-    sub = F.pmod(F.xxhash64("id"), "parts").cast("int")
-    met = met.withColumn("sub", sub).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    key: Column = F.struct("cluster", "c", F.least("sub", "other").alias("lo"), F.greatest("sub", "other").alias("hi"))
-    # with several sub-groups, (i, i) pairs are covered by any (i, j)
-    met = met.where((F.col("parts") == 1) | (F.col("sub") != F.col("other")))
-    return met.groupBy("id").agg(F.collect_set(key).alias("groups"))
+    return spots.join(groups.select("cluster", "c", parts.alias("parts")), ["cluster", "c"]).select("id", "cluster", "c", "parts")
+
+
+def _first_keys(spots: DataFrame) -> DataFrame:
+    """(id, cluster, c, lo, hi) of the first meeting: whole small groups, and each part of a large one together with the group's leaders."""
+    keys = spots.select("id", "cluster", "c", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("lo"), F.lit(-1).alias("hi"))
+    place = F.row_number().over(Window.partitionBy("cluster", "c").orderBy(F.xxhash64("id", F.lit(7)), "id"))
+    leaders = spots.where("parts > 1").withColumn("i", place).where(F.col("i") <= LEADERS)
+    leaders = leaders.select("id", "cluster", "c", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("lo"), F.lit(-1).alias("hi"))
+    return keys.unionByName(leaders).distinct()
+
+
+def _rest_keys(spots: DataFrame, labels: DataFrame) -> DataFrame:
+    """(id, cluster, c, lo, hi) of the second meeting: in large groups, what is outside the largest component against every part."""
+    hot = spots.where("parts > 1").join(labels, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
+    counts = hot.groupBy("cluster", "c", "label").agg(F.count("*").alias("k"))
+    main = counts.groupBy("cluster", "c").agg(F.max(F.struct("k", "label")).alias("m"), F.sum("k").alias("n"))
+    slots = F.ceil(2 * (F.col("n") - F.col("m.k")) / GROUP_DOCS).cast("int")
+    hot = hot.join(main.select("cluster", "c", F.col("m.label").alias("main"), slots.alias("slots")), ["cluster", "c"]).where("slots > 0")
+    every = hot.withColumn("parts", 2 * F.col("parts")).withColumn("sub", F.pmod(F.xxhash64("id"), "parts").cast("int"))
+    all_ = every.select("id", "cluster", "c", "sub", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"))
+    rest = every.where("label <> main").select("id", "cluster", "c", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("sub"), F.pmod(F.xxhash64("id", F.lit(3)), "slots").cast("int").alias("slot"))
+    return all_.unionByName(rest).select("id", "cluster", "c", F.col("slot").alias("lo"), F.col("sub").alias("hi")).distinct()
+
+
+def _links(source: DataFrame, keys: DataFrame, shingle: int, threshold: int) -> DataFrame:
+    """(a, b): links that connect each group's components; texts travel once a group they stand in."""
+    id_type = source.schema["doc_id"].dataType.simpleString()
+    gathered = keys.groupBy(F.col("id").alias("doc_id")).agg(F.collect_list(F.struct("cluster", "c", "lo", "hi")).alias("groups"))
+    texts = source.join(gathered, "doc_id").select("doc_id", "text", F.explode("groups").alias("g")).select("doc_id", "text", "g.*")
+
+    def link(group: pa.Table) -> pa.Table:
+        group = group.sort_by("doc_id")
+        ids = group["doc_id"].combine_chunks()
+        label = link_group(group["text"].to_pylist(), shingle, threshold)
+        at = np.flatnonzero(label != np.arange(len(label)))
+        return pa.table([ids.take(pa.array(label[at])), ids.take(pa.array(at))], names=["a", "b"])
+
+    return materialise(texts.groupBy("cluster", "c", "lo", "hi").applyInArrow(link, f"a {id_type}, b {id_type}"), "links")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: int = 80, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -203,19 +240,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: int = 80, band
     stars = spread.join(leaders, "band").where("id != leader").select("leader", "id")
     clusters = connected_components(stars)
     members = clusters.select("id", F.col("component").alias("cluster")).join(classes.select("id", "n_shingles"), "id")
-    keys = materialise(_group_keys(members, threshold), "groups")
-    texts = source.join(keys.withColumnRenamed("id", "doc_id"), "doc_id").select("doc_id", "text", F.explode("groups").alias("g")).select("doc_id", "text", "g.*")
-    id_type = docs.schema[id_col].dataType.simpleString()
-
-    def link(group: pa.Table) -> pa.Table:
-        group = group.sort_by("doc_id")
-        ids = group["doc_id"].combine_chunks()
-        label = link_group(group["text"].to_pylist(), shingle, threshold)
-        at = np.flatnonzero(label != np.arange(len(label)))
-        return pa.table([ids.take(pa.array(label[at])), ids.take(pa.array(at))], names=["a", "b"])
-
-    links = texts.groupBy("cluster", "c", "lo", "hi").applyInArrow(link, f"a {id_type}, b {id_type}")
+    spots = materialise(_spots(members, threshold), "spots")
+    links = _links(source, _first_keys(spots), shingle, threshold)
     linked = connected_components(links)
+    if not spots.where("parts > 1").isEmpty():
+        rest = materialise(_rest_keys(spots, linked), "rest")
+        if not rest.isEmpty():
+            linked = connected_components(links.unionByName(_links(source, rest, shingle, threshold)))
     final = classes.drop("bands").join(linked, "id", "left").select(*same, F.coalesce("component", "id").alias("component"))
     out = feats.drop("bands").join(final, same, "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))

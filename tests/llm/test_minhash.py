@@ -64,8 +64,10 @@ def test_against_brute_force(copies, size):
     assert rows_of(M.near_duplicates(copies, shingle=size)) == brute(rows, size)
 
 
-def test_sub_groups_meet(copies, monkeypatch):
-    monkeypatch.setattr(M, "GROUP_DOCS", 30)
+@pytest.mark.parametrize("leaders", [0, 2, 16])
+def test_large_groups(copies, monkeypatch, leaders):
+    monkeypatch.setattr(M, "GROUP_DOCS", 25)
+    monkeypatch.setattr(M, "LEADERS", leaders)
     rows = [(r["doc_id"], r["text"]) for r in copies.collect()]
     assert rows_of(M.near_duplicates(copies, shingle=2)) == brute(rows, 2)
 
