@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_automaton, chat, langid, minhash, ngram, suffix, superkmer, topk, urlrules, wavelet
+from . import bpe_automaton, chat, langid, minhash, ngram, sql, suffix, superkmer, topk, urlrules, wavelet
 from .common import crc_mod, table
 
 #: Where the public vocabulary lies; the operators take any path.
@@ -70,4 +70,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_url_rules": sql.OP2, "op3_chat_format": sql.OP3, "op5_decontaminate": sql.OP5, "op7_top_k": sql.OP7, "op9_near_dedup": sql.OP9, "op10_substring_dedup": sql.OP10}
