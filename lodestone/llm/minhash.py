@@ -45,7 +45,7 @@ from .components import connected_components
 
 BANDS, ROWS = 32, 5
 #: Documents, and set elements, of a part; leaders that join every part of a large group.
-GROUP_DOCS, GROUP_ELEMENTS, LEADERS = 400, 1_000_000, 48
+GROUP_DOCS, GROUP_ELEMENTS, LEADERS = 3_000, 3_000_000, 48
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
