@@ -353,3 +353,14 @@ def share(k: Column, n: Column, digits: int | None = None) -> Column:
     """k / n, null at n = 0; with digits rounded half to even."""
     out = F.when(n > 0, k / n)
     return out if digits is None else F.bround(out, digits)
+
+
+def model_matches(c: Column, key: str) -> Column:
+    """Does a model name hold a key that no letter or digit precedes: '4b' is in 'qwen3:4b', not in 'qwen3:14b'."""
+    return F.lower(c).rlike(f"(?<![0-9a-z])\\Q{key.lower()}\\E")
+
+
+def paragraph_number(field: Column, text: Column, position: Column) -> Column:
+    """A paragraph's number: from its field, else from a leading circled digit, else its position."""
+    n, circled = parse_number(field)["number"], F.instr(F.lit(CIRCLED), F.substring(strip(text), 1, 1))
+    return F.when(n > 0, n).when((F.length(strip(text)) > 0) & (circled > 0), circled).otherwise(position)

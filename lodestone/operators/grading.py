@@ -112,3 +112,16 @@ def replicate(responses: DataFrame, plan: DataFrame) -> DataFrame:
     alias = plan.where("condition <> canonical").select(F.col("condition").alias("_to"), F.col("canonical").alias("condition"))
     copies = responses.join(F.broadcast(alias), "condition").withColumn("aliased_from", F.col("condition")).withColumn("condition", F.col("_to")).drop("_to")
     return responses.withColumn("aliased_from", F.lit(None).cast("string")).unionByName(copies)
+
+
+def label_flips(a: DataFrame, b: DataFrame, *keys: str) -> DataFrame:
+    """(before, after, n): how often a second labelling of the same rows says something else, or the same."""
+    left, right = a.select(*keys, F.col("status").alias("before")), b.select(*keys, F.col("status").alias("after"))
+    return left.join(right, list(keys)).groupBy("before", "after").agg(F.count("*").alias("n"))
+
+
+def overconfidence_split(graded: DataFrame, *keys: str) -> DataFrame:
+    """Overconfident answers among questions with and without an answer in scope."""
+    over = F.col("state") == "overconfident"
+    n = lambda c, name: F.count(F.when(c, 1)).alias(name)
+    return graded.groupBy(*keys).agg(n(F.col("answerable"), "n_in_scope"), n(F.col("answerable") & over, "k_in_scope"), n(~F.col("answerable"), "n_out"), n(~F.col("answerable") & over, "k_out"))

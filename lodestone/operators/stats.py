@@ -112,3 +112,19 @@ def logit_cluster(data: DataFrame, outcome: str, predictors: Sequence[str], clus
         z = b / s if s else math.nan
         out.append({"term": name, "coef": b, "se": s, "z": z, "p": math.erfc(abs(z) / math.sqrt(2)), "odds_ratio": math.exp(b), "ci_lo": math.exp(b - Z95 * s), "ci_hi": math.exp(b + Z95 * s)})
     return out
+
+
+def contrasts(facts: DataFrame, pair: str, unit: str, pairs: Sequence[tuple[str, str]], metrics: Sequence[str], least: int = 10) -> DataFrame:
+    """One row a (pair, metric): discordant counts and exact p, where at least ``least`` units are paired."""
+    out = None
+    for first, second in pairs:
+        for metric in metrics:
+            one = discordant(facts, pair, unit, metric, first, second).select(F.lit(first).alias("first"), F.lit(second).alias("second"), F.lit(metric).alias("metric"), "*")
+            out = one if out is None else out.unionByName(one)
+    return out.where(F.col("n") >= least).withColumn("p", mcnemar(F.col("b"), F.col("c")))
+
+
+def fit_ready(data: DataFrame, outcome: str, least: int = 50, events: int = 10) -> bool:
+    """Enough rows, events and non-events for a regression."""
+    r = data.where(F.col(outcome).isNotNull()).agg(F.count("*").alias("n"), F.sum(F.col(outcome).cast("int")).alias("k")).first()
+    return r["n"] >= least and min(r["k"] or 0, r["n"] - (r["k"] or 0)) >= events

@@ -9,6 +9,7 @@ from lodestone.functions import text as X
 from lodestone.operators import citations, corpus, parsing, sampling
 from lodestone.plans.tables import table
 from lodestone.registry import query
+from lodestone.sources import catalogue
 
 
 @query("corpus_manifest", """
@@ -238,3 +239,24 @@ def upper_median(spark: SparkSession, sf: str) -> DataFrame:
     w = Window.partitionBy("lang").orderBy("n_chars").rowsBetween(Window.unboundedPreceding, 0)
     c = c.withColumn("upto", F.sum("count").over(w)).withColumn("n", F.sum("count").over(Window.partitionBy("lang")))
     return c.groupBy("lang").agg(F.min(F.when(F.col("upto") > F.floor(F.col("n") / 2), F.col("n_chars"))).alias("upper_median"), F.max("n_chars").alias("longest"))
+
+
+@query("fetch_queue", """
+WITH q AS (SELECT o_orderkey, o_custkey, 1 AS i, 'urgent' AS _query FROM orders WHERE o_orderpriority LIKE '1%' UNION ALL SELECT o_orderkey, o_custkey, 2, 'open' FROM orders WHERE o_orderstatus = 'O'), f AS (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY i) AS r FROM q)
+SELECT o_orderkey, o_custkey, _query FROM f WHERE r = 1 AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')
+""")
+def fetch_queue(spark: SparkSession, sf: str) -> DataFrame:
+    o = table(spark, sf, "orders")
+    pick = lambda c: o.where(c).select("o_orderkey", "o_custkey")
+    wanted = catalogue.tagged_queries({"urgent": pick(F.col("o_orderpriority").startswith("1")), "open": pick(F.col("o_orderstatus") == "O")}, "o_orderkey")
+    fetched = table(spark, sf, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return catalogue.not_fetched(wanted, fetched, "o_orderkey")
+
+
+@query("all_versions", """
+SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'P')
+""")
+def all_versions(spark: SparkSession, sf: str) -> DataFrame:
+    o = table(spark, sf, "orders").withColumn("name", F.concat("o_orderpriority", "o_orderstatus"))
+    names = spark.createDataFrame([("1-URGENTP",)], "name string")
+    return catalogue.all_versions(o, names, "name", "o_custkey").select("o_orderkey", "o_custkey")

@@ -173,3 +173,27 @@ SELECT doc_id, len(list_distinct(list_filter(regexp_split_to_array(text, '[^\p{L
 """)
 def answer_terms(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.size(X.key_terms(F.col("text"))).alias("n_terms"), F.size(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\d+"), F.lit(0)))).alias("n_numbers"))
+
+
+@query("overconfidence_split", f"WITH {_GRADED} SELECT model, count(*) FILTER (WHERE answerable) AS n_in_scope, count(*) FILTER (WHERE answerable AND state = 'overconfident') AS k_in_scope, count(*) FILTER (WHERE NOT answerable) AS n_out, count(*) FILTER (WHERE NOT answerable AND state = 'overconfident') AS k_out FROM gr GROUP BY model")
+def overconfidence_split(spark: SparkSession, sf: str) -> DataFrame:
+    return G.overconfidence_split(G.classify(responses(spark, sf)), "model")
+
+
+@query("paired_contrasts", f"""WITH {_FACTS}, m AS (SELECT lang, unit, 'quality' AS metric, quality AS v FROM f UNION ALL SELECT lang, unit, 'toxic', toxic FROM f), q(x1, x2) AS (VALUES ('en', 'de'), ('en', 'fr'), ('de', 'fr')),
+u AS (SELECT x1, x2, metric, unit, max(CASE WHEN lang = x1 THEN v END) AS x, max(CASE WHEN lang = x2 THEN v END) AS z FROM m, q GROUP BY ALL),
+c AS (SELECT x1 AS first, x2 AS second, metric, count(*) AS n, count(*) FILTER (WHERE x = 1 AND z = 1) AS "both", count(*) FILTER (WHERE x = 1 AND z = 0) AS b, count(*) FILTER (WHERE x = 0 AND z = 1) AS c, count(*) FILTER (WHERE x = 0 AND z = 0) AS neither FROM u WHERE x IS NOT NULL AND z IS NOT NULL GROUP BY ALL)
+SELECT first, second, metric, n, "both", b, c, neither, round(CASE WHEN b + c = 0 THEN 1 ELSE least(1, 2 * list_sum(list_transform(range(0, least(b, c) + 1), lambda i: exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2))))) END, 9) AS p FROM c WHERE n >= 10""")
+def paired_contrasts(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.contrasts(facts(spark, sf), "lang", "unit", [("en", "de"), ("en", "fr"), ("de", "fr")], ["quality", "toxic"]).withColumn("p", F.round("p", 9))
+
+
+@query("label_flips", """
+WITH a AS (SELECT doc_id, CASE WHEN n_chars > 1000 THEN 'full' WHEN n_chars > 100 THEN 'partial' ELSE 'none' END AS s FROM documents), b AS (SELECT doc_id, CASE WHEN toxic = 1 THEN 'none' WHEN quality = 1 THEN 'full' ELSE 'partial' END AS s FROM labels)
+SELECT a.s AS before, b.s AS after, count(*) AS n FROM a JOIN b USING (doc_id) GROUP BY 1, 2
+""")
+def label_flips(spark: SparkSession, sf: str) -> DataFrame:
+    n = F.col("n_chars")
+    a = table(spark, sf, "documents").select("doc_id", F.when(n > 1000, "full").when(n > 100, "partial").otherwise("none").alias("status"))
+    b = table(spark, sf, "labels").select("doc_id", F.when(F.col("toxic") == 1, "none").when(F.col("quality") == 1, "full").otherwise("partial").alias("status"))
+    return G.label_flips(a, b, "doc_id")

@@ -5,8 +5,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import citations, grading, parsing, retrieval, revisions, sampling, slots
-from lodestone.sources import readers, writers
+from lodestone.operators import citations, grading, neardup, parsing, retrieval, revisions, sampling, slots
+from lodestone.sources import catalogue, readers, writers
 from lodestone.streaming import ingest
 
 ARTICLE = "제5조(절차) ① 신청은 다음과 같다. 1. 서류 가. 원본 나. 사본 2. 기한 ③ 틀린 번호 ② 승인은 10일 이내"
@@ -202,3 +202,24 @@ def test_streaming(spark, tmp_path):
     ingest.ingest_responses(*args)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
     assert ingest.progress(spark, str(tmp_path / "out"), 2).first()["state"] == "done"
+
+
+def test_catalogue(spark):
+    a, b = (spark.createDataFrame(r, "id int, v string") for r in ([(1, "a"), (2, "a")], [(2, "b"), (3, "b")]))
+    assert {r["id"]: r["_query"] for r in catalogue.tagged_queries({"x": a, "y": b}, "id").collect()} == {1: "x", 2: "x", 3: "y"}
+    assert catalogue.list_with_fallback(a.limit(0), {"x": a, "y": b}, F.col("v") == "b", "id").count() == 1
+    assert catalogue.list_with_fallback(a, {"y": b}, F.lit(True), "id").count() == 2
+    names = spark.createDataFrame([("방위사업법",), ("보직 관리규정",), ("없음",)], "name string")
+    laws, rules = (spark.createDataFrame([(n,)], "name string") for n in ("방위사업법", "보직관리규정"))
+    assert {r["name"]: r["route"] for r in catalogue.routes(names, laws, rules).collect()} == {"방위사업법": "law", "보직 관리규정": "rule", "없음": "none"}
+    link = spark.range(1).select(catalogue.link_parameter(F.lit("http://x/y?a=1&id=7"), "id").alias("x")).first()
+    assert link["x"] == "7"
+
+
+def test_surrogates(spark):
+    gold = spark.createDataFrame([(1, 10)], "qid int, doc_id int")
+    edges = spark.createDataFrame([(10, 11, 0.9), (10, 12, 0.7)], "src int, dst int, sim double")
+    docs = spark.createDataFrame([(10, "x", "s"), (11, "기한은 30일 이내", "s"), (12, "다른 말", "t")], "doc_id int, text string, source string")
+    answers = spark.createDataFrame([(1, "30일이내")], "qid int, answer string")
+    assert [tuple(r) for r in neardup.surrogates(gold, edges, docs, answers).collect()] == [(1, 11)]
+    assert tuple(neardup.gold_duplicates(gold, edges, docs).first()) == (1, 10, 2, 1, 0.9)

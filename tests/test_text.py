@@ -98,3 +98,5 @@ def test_signals(say):
     assert s["numbers"]["removed"] == ["10일"] and s["numbers"]["added"] == ["20일"] and s["modality"] is True
     c = say(X.condition_parts, "cov040_core_doc.jsonl")
     assert (c["cov"], c["strategy"], c["unit"]) == (40, "core", "doc")
+    assert say(lambda a: X.model_matches(a, "4b"), "qwen3:4b") is True and say(lambda a: X.model_matches(a, "4b"), "qwen3:14b") is False
+    assert [say(X.paragraph_number, f, t, 9) for f, t in (("2", "x"), ("", "③ x"), ("", "x"))] == [2, 3, 9]
