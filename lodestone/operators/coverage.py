@@ -9,7 +9,7 @@ from __future__ import annotations
 import random
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
@@ -39,10 +39,25 @@ def shuffle_ranks(spark: SparkSession, ids: Sequence[str], seed: int) -> DataFra
     return spark.createDataFrame([(u, i) for i, u in enumerate(order)], "unit string, shuffle_rank int")
 
 
+def running(df: DataFrame, buckets: list[Column], order: list, value: Column, name: str) -> DataFrame:
+    """Adds the sum of ``value`` over all rows before each one, in an order that no single task has to sort.
+
+    ``buckets`` are the order's leading keys, coarse enough to be few and fine enough to be even: sums run over the
+    bucket table, and within each bucket over its own rows.
+    """
+    keys = [f"_b{i}" for i in range(len(buckets))]
+    rows = df.withColumns(dict(zip(keys, buckets, strict=True))).withColumn("_v", value)
+    sums = rows.groupBy(*keys).agg(F.sum("_v").alias("_s"))
+    offset = F.coalesce(F.sum("_s").over(Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    local = F.coalesce(F.sum("_v").over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.join(sums.select(*keys, offset.alias("_o")), keys).withColumn(name, F.col("_o") + local).drop(*keys, "_v", "_o")
+
+
 def removal_order(units: DataFrame, strategy: str) -> DataFrame:
     """(unit, rank from 1) of units (unit, in_degree, tier, shuffle_rank): by strategy, ties by shuffle rank, then unit."""
-    key = {"core": [F.desc("in_degree")], "periph": [F.asc("in_degree")], "tier_up": [F.asc("tier")], "random": []}[strategy]
-    return units.select("unit", F.row_number().over(Window.orderBy(*key, "shuffle_rank", "unit")).alias("rank"))
+    key = {"core": [-F.col("in_degree")], "periph": [F.col("in_degree")], "tier_up": [F.col("tier")], "random": []}[strategy]
+    shuffled = F.substring("shuffle_rank", 1, 3) if dict(units.dtypes)["shuffle_rank"] == "string" else F.floor(F.col("shuffle_rank") / 65536)
+    return running(units, [*key, shuffled], ["shuffle_rank", "unit"], F.lit(1), "before").select("unit", (F.col("before") + 1).alias("rank"))
 
 
 def coverage_levels(required: DataFrame, order: DataFrame, levels: Sequence[int] = COVERAGE_LEVELS) -> DataFrame:
@@ -65,8 +80,8 @@ def coverage_levels(required: DataFrame, order: DataFrame, levels: Sequence[int]
 
 def volume_removed(pool: DataFrame, total: float, levels: Sequence[int] = VOLUME_LEVELS) -> DataFrame:
     """(level, unit) removed from a pool (unit, rank, chars): units go in order while the kept share exceeds the level."""
-    before = F.coalesce(F.sum("chars").over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    kept = pool.select("unit", (100 * (1 - before / F.lit(total))).alias("kept_pct"))
+    rows = running(pool, [F.floor(F.col("rank") / 65536)], ["rank"], F.col("chars"), "before")
+    kept = rows.select("unit", (100 * (1 - F.col("before") / F.lit(total))).alias("kept_pct"))
     return kept.select("unit", "kept_pct", F.explode(F.array(*map(F.lit, levels))).alias("level")).where("kept_pct > level").select("level", "unit")
 
 
