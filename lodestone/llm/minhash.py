@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .blocks import Ids
-from .common import id_and_bytes, lower_ascii, materialise, mix64
+from .common import BROADCAST_LIMIT, id_and_bytes, lower_ascii, materialise, mix64
 from .components import connected_components
 
 BANDS, ROWS = 32, 5
@@ -212,7 +212,9 @@ def _rest_keys(spots: DataFrame, labels: DataFrame) -> DataFrame:
 def _links(source: DataFrame, keys: DataFrame, shingle: int, threshold: int) -> DataFrame:
     """(a, b): links that connect each group's components; texts travel once a group they stand in."""
     id_type = source.schema["doc_id"].dataType.simpleString()
-    gathered = keys.groupBy(F.col("id").alias("doc_id")).agg(F.collect_list(F.struct("cluster", "c", "lo", "hi")).alias("groups"))
+    gathered = materialise(keys.groupBy(F.col("id").alias("doc_id")).agg(F.collect_list(F.struct("cluster", "c", "lo", "hi")).alias("groups")), "keys")
+    if (gathered.agg(F.sum(F.size("groups") * 40 + 40)).first()[0] or 0) <= BROADCAST_LIMIT:
+        gathered = F.broadcast(gathered)  # else both sides are shuffled, texts too
     texts = source.join(gathered, "doc_id").select("doc_id", "text", F.explode("groups").alias("g")).select("doc_id", "text", "g.*")
 
     def link(group: pa.Table) -> pa.Table:
