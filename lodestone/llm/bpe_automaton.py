@@ -178,6 +178,11 @@ class MergeAutomaton:
             self._words[word] = found
         return found
 
+    def forget(self) -> None:
+        """Drop what was memoised; the automaton stays."""
+        self._words.clear()
+        self._arcs.clear()
+
     def encode_plain(self, text: str) -> list[int]:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower-casing looks at single characters
@@ -217,6 +222,11 @@ class _Chunks(dict):
         self.automaton, self.older = automaton(path), {}
         self.marks = {s[0] for s in self.automaton.special}
 
+    def forget(self) -> None:
+        self.clear()
+        self.older = {}
+        self.automaton.forget()
+
     def __missing__(self, chunk: bytes) -> tuple[bytes, bytes]:
         found = self.older.get(chunk)
         if found is None:
@@ -269,6 +279,8 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
                 b.append(decoded.decode() if arrays else hashlib.sha256(decoded).hexdigest())
             out = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.list_(pa.int32()) if arrays else pa.string()), pa.array(b, pa.string())]
             yield pa.RecordBatch.from_arrays(out, names=[f.name for f in fields])
-            release_memory()
+        # a reused worker must not hold this task's chunks while other stages run in it
+        _chunks(vocabulary).forget()
+        release_memory()
 
     return source.mapInArrow(run, T.StructType(fields))

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import id_and_bytes
+from .common import id_and_bytes, release_memory
 
 UNKNOWN = "und"
 #: Bytes of a window.
@@ -178,8 +178,11 @@ def identify(docs: DataFrame, model: ByteConvNet | None, id_col: str = "doc_id",
         return pred, score, count
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pred, score, count = judge(batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(count, pa.int64())], names=fields.fieldNames())
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2_000):
+                batch = whole.slice(at, 2_000)
+                pred, score, count = judge(batch.column("text").to_pylist())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(count, pa.int64())], names=fields.fieldNames())
+            release_memory()
 
     return source.mapInArrow(run, fields)

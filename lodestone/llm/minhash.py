@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .blocks import Ids
-from .common import BROADCAST_LIMIT, id_and_bytes, lower_ascii, materialise, mix64
+from .common import BROADCAST_LIMIT, id_and_bytes, lower_ascii, materialise, mix64, release_memory
 from .components import connected_components
 
 BANDS, ROWS = 32, 5
@@ -120,6 +120,7 @@ def features(docs: DataFrame, shingle: int, threshold: int, bands: int, rows: in
             for at in range(0, batch.num_rows, 2_000):
                 piece = batch.slice(at, 2_000)
                 yield judge(piece.column("doc_id"), piece.column("text").to_pylist())
+                release_memory()
 
     return docs.mapInArrow(run, fields)
 

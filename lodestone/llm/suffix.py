@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BROADCAST_LIMIT, id_and_bytes
+from .common import BROADCAST_LIMIT, id_and_bytes, release_memory
 
 #: Text bytes of a shard; a longer document is a shard of its own.
 SHARD_BYTES = 8 << 20
@@ -209,6 +209,7 @@ def _search(docs: DataFrame, test: Suffixes) -> DataFrame:
                 if held >= SHARD_BYTES:
                     yield judge(ids, documents, kind)
                     ids, documents, held = [], [], 0
+                    release_memory()
         if ids:
             yield judge(ids, documents, kind)
 
