@@ -79,12 +79,12 @@ def carry_forward_turns(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("zipped_arrays", """
-WITH a AS (SELECT doc_id, string_split(substr(text, 1, 60), ' ') AS words, string_split(lang || '-' || source, '-') AS tags FROM documents),
+WITH a AS (SELECT doc_id, string_split(text, ' ') AS words, string_split(lang || '-' || source, '-') AS tags FROM documents),
 p AS (SELECT doc_id, words, tags, unnest(range(greatest(len(words), len(tags)))) AS pos FROM a)
 SELECT doc_id, CAST(pos AS INTEGER) AS pos, words[pos + 1] AS words, tags[pos + 1] AS tags FROM p
 """)
 def zipped_arrays(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").select("doc_id", F.split(F.substring("text", 1, 60), " ").alias("words"), F.split(F.concat_ws("-", "lang", "source"), "-").alias("tags"))
+    d = table(spark, sf, "documents").select("doc_id", F.split("text", " ").alias("words"), F.split(F.concat_ws("-", "lang", "source"), "-").alias("tags"))
     return parsing.zipped(d, "doc_id", "words", "tags")
 
 
