@@ -46,12 +46,16 @@ def ambiguous_keys(responses: DataFrame) -> DataFrame:
     return rows.select(judge_key(F.col("question"), F.col("gold_short"), F.col("answer")).alias("key"), "question", "gold_short", "answer").dropDuplicates(["key"])
 
 
-def majority(votes: DataFrame, n_judges: int) -> DataFrame:
-    """(key, verdict) of (key, vote) rows: the most frequent vote but '?', if more than half of all judges gave it, else review."""
+def majority(votes: DataFrame, n_judges: int | None = None) -> DataFrame:
+    """(key, verdict) of (key, vote) rows: the most frequent vote but '?', if more than half of all judges gave it, else review.
+
+    Without ``n_judges`` each key has as many judges as votes, '?' among them.
+    """
     counts = votes.where("vote <> '?'").groupBy("key", "vote").count()
     best = counts.groupBy("key").agg(F.max(F.struct("count", "vote")).alias("b"))
-    keys = votes.select("key").distinct()
-    return keys.join(best, "key", "left").select("key", F.when(F.col("b.count") > n_judges / 2, F.col("b.vote")).otherwise("review").alias("verdict"))
+    keys = votes.groupBy("key").agg(F.count("*").alias("n"))
+    judges = F.col("n") if n_judges is None else F.lit(n_judges)
+    return keys.join(best, "key", "left").select("key", F.when(F.col("b.count") > judges / 2, F.col("b.vote")).otherwise("review").alias("verdict"))
 
 
 def cells(graded: DataFrame, *keys: str) -> DataFrame:

@@ -72,14 +72,14 @@ def cell_statistics(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("judge_majority", """
-WITH v AS (SELECT conv_id AS key, CASE WHEN length(text) % 4 = 0 THEN 'yes' WHEN length(text) % 4 = 1 THEN 'no' WHEN length(text) % 4 = 2 THEN 'partial' ELSE '?' END AS vote FROM conversations WHERE turn < 3),
+WITH v AS (SELECT conv_id AS key, CASE WHEN length(text) % 4 = 0 THEN 'yes' WHEN length(text) % 4 = 1 THEN 'no' WHEN length(text) % 4 = 2 THEN 'partial' ELSE '?' END AS vote FROM conversations),
 c AS (SELECT key, vote, count(*) AS n FROM v WHERE vote <> '?' GROUP BY ALL), b AS (SELECT key, vote, n, row_number() OVER (PARTITION BY key ORDER BY n DESC, vote DESC) AS i FROM c)
-SELECT k.key, CASE WHEN b.n > 1.5 THEN b.vote ELSE 'review' END AS verdict FROM (SELECT DISTINCT key FROM v) k LEFT JOIN b ON b.key = k.key AND i = 1
+SELECT k.key, CASE WHEN b.n > k.n / 2 THEN b.vote ELSE 'review' END AS verdict FROM (SELECT key, count(*) AS n FROM v GROUP BY key) k LEFT JOIN b ON b.key = k.key AND i = 1
 """)
 def judge_majority(spark: SparkSession, sf: str) -> DataFrame:
     n = F.length("text") % 4
     vote = F.when(n == 0, "yes").when(n == 1, "no").when(n == 2, "partial").otherwise("?")
-    return G.majority(table(spark, sf, "conversations").where("turn < 3").select(F.col("conv_id").alias("key"), vote.alias("vote")), 3)
+    return G.majority(table(spark, sf, "conversations").select(F.col("conv_id").alias("key"), vote.alias("vote")))
 
 
 _FACTS = "f AS (SELECT d.doc_id, d.source, d.lang, d.n_chars, l.quality, l.toxic, d.doc_id % 50 AS unit FROM documents d JOIN labels l USING (doc_id))"

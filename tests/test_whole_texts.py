@@ -24,3 +24,11 @@ def test_zipped_arrays_takes_every_word(run):
     got = run("zipped_arrays", "documents", [(1, text, "en", "web", len(text)), (2, "a", "de", "news", 1)], DOCS)
     want = [(1, i, w, {0: "en", 1: "web"}.get(i)) for i, w in enumerate(text.split(" "))] + [(2, 0, "a", "de"), (2, 1, None, "news")]
     assert sorted((r["doc_id"], r["pos"], r["words"], r["tags"]) for r in got) == want
+
+
+def test_judge_majority_counts_all_turns(run):
+    vote = {"yes": "abcd", "no": "a", "partial": "ab", "?": "abc"}
+    votes = {1: ["no", "no", "yes", "yes", "yes"], 2: ["yes", "yes", "no", "no"], 3: ["yes", "yes", "?", "?", "?"], 4: ["partial"], 5: ["?", "?", "no"]}
+    rows = [(k, i, "user", vote[v]) for k, vs in votes.items() for i, v in enumerate(vs)]
+    got = run("judge_majority", "conversations", rows, "conv_id bigint, turn bigint, role string, text string")
+    assert {r["key"]: r["verdict"] for r in got} == {1: "yes", 2: "review", 3: "review", 4: "partial", 5: "review"}
