@@ -14,9 +14,9 @@ from lodestone.registry import query
 
 _CONF = ["높음", "중간", "낮음", "모름", "<높음|중간>", "아마"]
 _RESP = """
-rs AS (SELECT doc_id AS qid, source AS model, lang AS condition, doc_id % 11 AS m, CASE WHEN doc_id % 13 = 0 THEN '근거가 없어 확인할 수 없음' ELSE array_to_string(string_split(substr(regexp_replace(text, '[^a-zA-Z ]+', '', 'g'), 1, 60), ' ')[1:3], ' ') || ' ' || CAST(doc_id % 5 AS VARCHAR) END AS ans,
+rs AS (SELECT doc_id AS qid, source AS model, lang AS condition, doc_id % 11 AS m, CASE WHEN doc_id % 13 = 0 THEN '근거가 없어 확인할 수 없음' ELSE text || ' ' || CAST(doc_id % 5 AS VARCHAR) END AS ans,
  '제' || CAST(doc_id % 7 + 1 AS VARCHAR) || '조' AS basis, ['높음', '중간', '낮음', '모름', '<높음|중간>', '아마'][CAST(doc_id % 6 AS INTEGER) + 1] AS cr,
- array_to_string(string_split(substr(regexp_replace(text, '[^a-zA-Z ]+', '', 'g'), 1, 60), ' ')[1:3], ' ') || CASE WHEN doc_id % 3 = 0 THEN ' ' || CAST(doc_id % 4 AS VARCHAR) ELSE '' END AS gold, doc_id % 9 <> 0 AS answerable FROM documents),
+ text || CASE WHEN doc_id % 3 = 0 THEN ' ' || CAST(doc_id % 4 AS VARCHAR) ELSE '' END AS gold, doc_id % 9 <> 0 AS answerable FROM documents),
 pa AS (SELECT *, trim(ans) AS a, CASE WHEN cr LIKE '<%' THEN '' WHEN cr = '아마' THEN '' ELSE cr END AS conf, CASE WHEN cr LIKE '<%' THEN 'template_echo' WHEN cr = '아마' THEN 'unparsed' ELSE 'ok' END AS conf_parse FROM rs),
 kw AS (SELECT *, doc_tok(gold) AS gtok, doc_tok(a) AS atok FROM pa)
 """.replace("doc_tok(gold)", r"list_distinct(list_filter(regexp_split_to_array(gold, '[^\p{L}\p{N}_]+'), lambda w: length(w) >= 2))").replace("doc_tok(a)", r"list_distinct(list_filter(regexp_split_to_array(a, '[^\p{L}\p{N}_]+'), lambda w: length(w) >= 2))")
@@ -34,12 +34,11 @@ gr AS (SELECT qid, model, condition, conf AS confidence, conf_parse, abst AS abs
 def responses(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents")
     i = F.col("doc_id")
-    words = F.array_join(F.slice(F.split(F.substring(F.regexp_replace("text", "[^a-zA-Z ]+", ""), 1, 60), " "), 1, 3), " ")
-    answer = F.when(i % 13 == 0, "근거가 없어 확인할 수 없음").otherwise(F.concat(words, F.lit(" "), (i % 5).cast("string")))
+    answer = F.when(i % 13 == 0, "근거가 없어 확인할 수 없음").otherwise(F.concat("text", F.lit(" "), (i % 5).cast("string")))
     conf = F.element_at(F.array(*map(F.lit, _CONF)), (i % 6 + 1).cast("int"))
     raw = F.concat(F.lit("<think>생각</think>답: "), answer, F.lit("\n근거: 제"), (i % 7 + 1).cast("string"), F.lit("조\n확신도: "), conf)
     status = F.when(i % 11 <= 3, "full").otherwise("none")
-    gold = F.concat(words, F.when(i % 3 == 0, F.concat(F.lit(" "), (i % 4).cast("string"))).otherwise(""))
+    gold = F.concat("text", F.when(i % 3 == 0, F.concat(F.lit(" "), (i % 4).cast("string"))).otherwise(""))
     return d.select(i.alias("qid"), F.col("source").alias("model"), F.col("lang").alias("condition"), raw.alias("raw_answer"), F.lit(None).cast("string").alias("error"), (i % 9 != 0).alias("answerable"), gold.alias("gold_short"), F.lit("").alias("question"), F.array((i % 5 + 1).cast("string")).alias("gold_articles"), status.alias("q_status"))
 
 

@@ -32,3 +32,11 @@ def test_judge_majority_counts_all_turns(run):
     rows = [(k, i, "user", vote[v]) for k, vs in votes.items() for i, v in enumerate(vs)]
     got = run("judge_majority", "conversations", rows, "conv_id bigint, turn bigint, role string, text string")
     assert {r["key"]: r["verdict"] for r in got} == {1: "yes", 2: "review", 3: "review", 4: "partial", 5: "review"}
+
+
+def test_graded_answers_read_whole_texts(run):
+    long = " ".join(f"word{chr(97 + i % 26)}" for i in range(100))
+    rows = [(1, f"{long} 확인할 수 없음"), (6, f"{long} 42"), (12, long), (13, long)]
+    got = run("graded_answers", "documents", [(i, t, "en", "web", len(t)) for i, t in rows], DOCS)
+    # 1 abstains at its end; 6 shares the number at its end; 12 has no number but the differing ones of gold (0) and answer (2); 13 abstains by rule
+    assert {r["qid"]: r["state"] for r in got} == {1: "honest_abstain", 6: "correct", 12: "overconfident", 13: "honest_abstain"}
