@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BROADCAST_LIMIT, id_and_bytes, release_memory
+from .common import BROADCAST_LIMIT, id_and_bytes, materialise, release_memory
 
 #: Text bytes of a shard; a longer document is a shard of its own.
 SHARD_BYTES = 8 << 20
@@ -220,12 +220,16 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col:
     """Per document row: doc_id, n_words, spans (disjoint hit word ranges), items (ids as strings, sorted).
 
     The benchmark travels to the documents in parts of at most BENCHMARK_BYTES text, one pass each;
-    documents move only if there is more than one part, to bring the parts' findings together by doc_id.
+    only if there is more than one part are documents written, once, with a number for each row, by
+    which the parts' findings come together.
     """
     source = id_and_bytes(docs, id_col, text_col)
     tests = benchmark.select(benchmark[item_col].alias("item_id"), benchmark[item_text_col].cast("binary").alias("text")).where(F.octet_length("text") > 0)
     size = tests.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts, found = max(1, -(-size // BENCHMARK_BYTES)), None
+    if parts > 1:
+        numbered = materialise(source.withColumn("row", F.monotonically_increasing_id()), "rows")
+        source = numbered.select(F.col("row").alias("doc_id"), "text")
     for part in range(parts):
         rows = [(r["item_id"], bytes(r["text"])) for r in tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).distinct().collect()]
         one = _search(source, test_suffixes(sorted(rows, key=str), width))
@@ -233,7 +237,8 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col:
     if parts == 1:
         return found
     whole = found.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return whole.withColumn("spans", merged(F.array_sort("spans")))
+    whole = whole.withColumn("spans", merged(F.array_sort("spans"))).withColumnRenamed("doc_id", "row")
+    return numbered.select("row", "doc_id").join(whole, "row").select("doc_id", "n_words", "spans", "items")
 
 
 def merged(spans):

@@ -94,3 +94,11 @@ def test_query(spark, sf):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     assert got(queries.op5_decontaminate(spark, sf)) == brute(docs, items)
+
+
+def test_parts_judge_each_row(spark, tables, monkeypatch):
+    _, items, _, b = tables
+    rows = [(1, items[5][1]), (1, items[5][1]), (1, "clean words"), (None, items[6][1]), (None, "other clean words"), (None, None)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    monkeypatch.setattr(S, "BENCHMARK_BYTES", 400)
+    assert got(S.contamination(d, b)) == brute(rows, items)
