@@ -16,32 +16,43 @@ from lodestone.llm.common import materialise, table
 MIN_SCORE = 0.4
 
 
+def by_content(docs: DataFrame) -> DataFrame:
+    """Adds _key, a digest of id and text: rows that share it are judged alike, and a null id has one too."""
+    return docs.withColumn("_key", F.sha2(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce("text", F.lit(""))), 256))
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or of no clear language, go."""
-    model = langid.train_on(docs, "text", "lang", F.col("doc_id"))
-    judged = langid.identify(docs, model)
-    rejected = judged.where((F.col("lang_pred") == langid.UNKNOWN) | (F.col("score") < MIN_SCORE)).select("doc_id")
-    return docs.join(rejected, "doc_id", "left_anti").select(docs.columns)
+    model, keyed = langid.train_on(docs, "text", "lang", F.col("doc_id")), by_content(docs)
+    judged = langid.identify(keyed, model, id_col="_key")
+    rejected = judged.where((F.col("lang_pred") == langid.UNKNOWN) | (F.col("score") < MIN_SCORE)).select(F.col("doc_id").alias("_key"))
+    return keyed.join(rejected, "_key", "left_anti").select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: the one with the smallest id."""
-    dropped = minhash.near_duplicates(docs, shingle=5, threshold=80).where(~F.col("kept")).select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    """One row of each near-duplicate group stays: the one with the smallest id, null ids last; repeated rows are such a group."""
+    rows = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    found = minhash.near_duplicates(rows, shingle=5, threshold=80, id_col="_row").select(F.col("doc_id").alias("_row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
+    kept = found.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min(order)["_row"].alias("_row")).select("_row")
+    return rows.join(kept, "_row", "left_semi").select(docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of passages that stand earlier in the corpus go; every document stays, if with less text."""
-    cut = superkmer.remove_repeats(docs, keep="text").where("n_removed > 0").select("doc_id", "kept_text")
-    joined = docs.join(cut, "doc_id", "left")
-    text = F.coalesce("kept_text", "text")
-    return joined.withColumn("text", text).withColumn("n_chars", F.when(F.col("kept_text").isNull(), F.col("n_chars")).otherwise(F.length("kept_text").cast("long"))).select(docs.columns)
+    others = [c for c in docs.columns if c != "text"]
+    rows = superkmer.remove_repeats(docs.withColumn("_no_text", F.col("text").isNull()), keep="text", carry=[*others, "_no_text"])
+    columns = {c: F.col(f"carried.{c}") for c in others}
+    columns["text"] = F.when(~F.col("carried._no_text"), F.col("kept_text"))
+    columns["n_chars"] = F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(columns["n_chars"])
+    return rows.select(*(columns[c].alias(c) for c in docs.columns))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
-    hit = suffix.contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id")
-    return docs.join(hit, "doc_id", "left_anti").select(docs.columns)
+    keyed = by_content(docs)
+    hit = suffix.contamination(keyed, table(spark, sf_dir, "benchmark"), id_col="_key").where("contaminated").select(F.col("doc_id").alias("_key"))
+    return keyed.join(hit, "_key", "left_anti").select(docs.columns)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ entry per block, however often it occurs.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -40,10 +40,13 @@ class Ids(dict):
         return np.fromiter(map(xxhash.xxh3_64_intdigest, self), np.uint64, len(self))
 
 
-def _seal(doc_ids: list, texts: list[bytes], kind: pa.DataType) -> bytes:
+def _seal(doc_ids: list, texts: list[bytes], kind: pa.DataType, carried: pa.Array | None = None) -> bytes:
     """Rows in order of (doc_id, text), null ids first, as a compressed Arrow stream."""
     order = sorted(range(len(doc_ids)), key=lambda i: ((doc_ids[i] is not None, doc_ids[i]) if doc_ids[i] is not None else (False, 0), texts[i]))
-    batch = pa.RecordBatch.from_arrays([pa.array([doc_ids[i] for i in order], kind), pa.array([texts[i] for i in order], pa.large_binary())], names=["doc_id", "text"])
+    columns = {"doc_id": pa.array([doc_ids[i] for i in order], kind), "text": pa.array([texts[i] for i in order], pa.large_binary())}
+    if carried is not None:
+        columns["carried"] = carried.take(pa.array(order, pa.int64()))
+    batch = pa.RecordBatch.from_pydict(columns)
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as out:
         out.write_batch(batch)
@@ -55,29 +58,41 @@ def unseal(payload: bytes) -> tuple[pa.Array, list[bytes]]:
     return batch.column("doc_id"), batch.column("text").to_pylist()
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(block, n_bytes, payload), written once to the shared folder as a table bucketed by block. No shuffle; null text is empty."""
-    source = id_and_bytes(docs, id_col, text_col)
+def unseal_carried(payload: bytes) -> pa.Array:
+    return pa.ipc.open_stream(payload).read_next_batch().column("carried")
+
+
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, carry: Sequence[str] = ()) -> DataFrame:
+    """(block, n_bytes, payload), written once to the shared folder as a table bucketed by block. No shuffle; null text is empty.
+
+    The columns named by ``carry`` travel with their rows, as one struct.
+    """
+    source = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("binary").alias("text"), F.struct(*carry).alias("carried")) if carry else id_and_bytes(docs, id_col, text_col)
     spark = docs.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seq, doc_ids, texts, held, kind = 0, 0, [], [], 0, pa.int64()
+        part, seq, doc_ids, texts, carried, held, kind = 0, 0, [], [], [], 0, pa.int64()
 
         def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([(part << 24) + seq], pa.int64()), pa.array([held], pa.int64()), pa.array([_seal(doc_ids, texts, kind)], pa.binary())], names=["block", "n_bytes", "payload"])
+            return pa.RecordBatch.from_arrays([pa.array([(part << 24) + seq], pa.int64()), pa.array([held], pa.int64()), pa.array([_seal(doc_ids, texts, kind, pa.concat_arrays(carried) if carry else None)], pa.binary())], names=["block", "n_bytes", "payload"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             part, kind = batch.column("part")[0].as_py(), batch.schema.field("doc_id").type
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            first = 0  # of the batch's rows in this block
+            for i, (doc_id, text) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True), 1):
                 doc_ids.append(doc_id)
                 texts.append(text or b"")
                 held += len(text or b"") + 8
                 if held >= block_bytes:
+                    if carry:
+                        carried.append(batch.column("carried").slice(first, i - first))
                     yield flush()
-                    seq, doc_ids, texts, held = seq + 1, [], [], 0
+                    first, seq, doc_ids, texts, carried, held = i, seq + 1, [], [], [], 0
                     release_memory()
+            if carry and first < batch.num_rows:
+                carried.append(batch.column("carried").slice(first))
         if doc_ids:
             yield flush()
 

@@ -18,7 +18,7 @@ null text has no words; texts shorter than a window lose nothing.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import BLOCK_BYTES, Ids, compress, decompress, key_ranges, pack, squeeze, squeeze_sorted, totals, unseal, unsqueeze, unsqueeze_sorted, with_answers
+from .blocks import BLOCK_BYTES, Ids, compress, decompress, key_ranges, pack, squeeze, squeeze_sorted, totals, unseal, unseal_carried, unsqueeze, unsqueeze_sorted, with_answers
 from .common import materialise, mix64, release_memory
 
 WINDOW, MINIMISER = 20, 10
@@ -191,11 +191,12 @@ def repeated_windows(blocks: DataFrame, k: int = WINDOW, m: int = MINIMISER) ->
     return materialise(sent.groupBy("bucket").applyInArrow(compare, "block long, places binary"), "windows")
 
 
-def remove_repeats(docs: DataFrame, k: int = WINDOW, m: int = MINIMISER, id_col: str = "doc_id", text_col: str = "text", keep: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, k: int = WINDOW, m: int = MINIMISER, id_col: str = "doc_id", text_col: str = "text", keep: str = "text", block_bytes: int = BLOCK_BYTES, carry: Sequence[str] = ()) -> DataFrame:
     """Per document row: doc_id, n_words, n_removed, and what is left: ``keep='text'`` gives kept_text (the text
     itself where nothing was removed, else the kept words joined by one space), ``keep='digest'`` kept_sha256 of the joined words.
+    The row's columns named by ``carry`` come along as the struct ``carried``.
     """
-    blocks = pack(docs, id_col, text_col, block_bytes)
+    blocks = pack(docs, id_col, text_col, block_bytes, carry)
     found = repeated_windows(blocks, k, m)
     id_type = docs.schema[id_col].dataType.simpleString()
     last = "kept_text" if keep == "text" else "kept_sha256"
@@ -224,6 +225,10 @@ def remove_repeats(docs: DataFrame, k: int = WINDOW, m: int = MINIMISER, id_col:
             if n:
                 own = [w for w, x in zip(own, gone[a : a + len(own)].tolist(), strict=True) if not x]
             left.append(hashlib.sha256(b" ".join(own)).hexdigest() if keep != "text" else (b" ".join(own) if n else text).decode("utf-8", "replace"))
-        return pa.RecordBatch.from_arrays([doc_ids, pa.array(np.diff(words.begin)), pa.array(removed.astype(np.int64)), pa.array(left, pa.string())], names=["doc_id", "n_words", "n_removed", last])
+        columns = {"doc_id": doc_ids, "n_words": pa.array(np.diff(words.begin)), "n_removed": pa.array(removed.astype(np.int64)), last: pa.array(left, pa.string())}
+        return pa.RecordBatch.from_pydict(columns | ({"carried": unseal_carried(payload)} if carry else {}))
 
-    return with_answers(blocks, found, "places").mapInArrow(run, f"doc_id {id_type}, n_words long, n_removed long, {last} string")
+    fields = f"doc_id {id_type}, n_words long, n_removed long, {last} string"
+    if carry:
+        fields += f", carried {docs.select(F.struct(*carry).alias('c')).schema['c'].dataType.simpleString()}"
+    return with_answers(blocks, found, "places").mapInArrow(run, fields)

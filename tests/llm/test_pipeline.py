@@ -70,3 +70,22 @@ def test_stage_order():
     assert [n for n, _ in P.STAGES] == ["language_id", "near_dedup", "substring_dedup", "decontaminate", "bpe"]
     with pytest.raises(TypeError):
         P.run()
+
+
+def test_repeated_rows_and_null_ids(spark, sf):
+    item = max((r["text"] for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()), key=len)
+    once, other = " ".join(f"w{i}" for i in range(40)), " ".join(f"x{i}" for i in range(40))
+    cols = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    rows = [(1, once), (1, once), (1, once), (2, other), (None, other), (None, item), (3, item), (1, "short"), (None, None)]
+    docs = spark.createDataFrame([(d, t, "en", "a", len(t or "")) for d, t in rows], cols).repartition(3)
+
+    def left(stage, docs):
+        return sorted(((r["doc_id"], r["text"], r["lang"], r["n_chars"]) for r in stage(spark, docs, sf).collect()), key=str)
+
+    def expect(*rows):
+        return sorted(((d, t, "en", len(t or "")) for d, t in rows), key=str)
+
+    assert left(P.near_dedup, docs) == expect((1, once), (2, other), (3, item), (1, "short"), (None, None))
+    assert left(P.substring_dedup, docs) == expect((1, once), (1, ""), (1, ""), (2, ""), (None, other), (None, item), (3, ""), (1, "short"), (None, None))
+    assert left(P.decontaminate, docs) == expect(*(r for r in rows if r[1] != item))
+    assert (None, None) not in [r[:2] for r in left(P.language_id, docs)]
