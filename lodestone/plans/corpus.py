@@ -194,11 +194,11 @@ def capped_sample(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("rising_cap_sample", """
-WITH r AS (SELECT doc_id, source, md5('20260721|' || CAST(doc_id AS VARCHAR)) AS h FROM documents WHERE n_chars < 400), c AS (SELECT *, greatest(row_number() OVER (PARTITION BY source ORDER BY h), 2) AS cap FROM r)
+WITH r AS (SELECT doc_id, source, md5('20260721|' || CAST(doc_id AS VARCHAR)) AS h FROM documents), c AS (SELECT *, greatest(row_number() OVER (PARTITION BY source ORDER BY h), 2) AS cap FROM r)
 SELECT doc_id, source FROM c ORDER BY cap, h LIMIT 60
 """)
 def rising_cap_sample(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").where("n_chars < 400").select("doc_id", "source", sampling.hash_rank("doc_id").alias("h"))
+    d = table(spark, sf, "documents").select("doc_id", "source", sampling.hash_rank("doc_id").alias("h"))
     return sampling.rising_cap(d, "source", "h", 2, 60).select("doc_id", "source")
 
 

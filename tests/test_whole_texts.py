@@ -40,3 +40,8 @@ def test_graded_answers_read_whole_texts(run):
     got = run("graded_answers", "documents", [(i, t, "en", "web", len(t)) for i, t in rows], DOCS)
     # 1 abstains at its end; 6 shares the number at its end; 12 has no number but the differing ones of gold (0) and answer (2); 13 abstains by rule
     assert {r["qid"]: r["state"] for r in got} == {1: "honest_abstain", 6: "correct", 12: "overconfident", 13: "honest_abstain"}
+
+
+def test_rising_cap_sample_draws_from_all_documents(run):
+    rows = [(1, "a", "en", "web", 10), (2, "b", "en", "web", 400), (3, "c", "de", "news", 20_000), (4, "d", "de", "news", None)]
+    assert sorted(r["doc_id"] for r in run("rising_cap_sample", "documents", rows, DOCS)) == [1, 2, 3, 4]
