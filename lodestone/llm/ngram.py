@@ -1,7 +1,8 @@
-"""Language-model scoring with a weighted backoff automaton.
+"""Language-model scoring with the weights of a backoff automaton.
 
-Smoothed n-grams become an automaton: a state per context, an arc per n-gram
-seen after it, and a failure arc to the state of the shorter context.  Weights:
+The scores are those of an automaton with a state per context, an arc per n-gram
+seen after it, and a failure arc to the state of the shorter context.  The automaton
+itself isn't built: the weights come from looked-up counts.  Weights:
 
     P(w | h) = r(h) * c(h w) / c(h)  +  (1 - r(h)) * P(w | shorter h)
     r(h)     = RELIANCE * c(h) / (c(h) + DAMPING)
@@ -10,9 +11,9 @@ An arc carries log10 of the whole sum, a failure arc log10(1 - r(h)), so each
 state's probabilities sum to one.  The empty context has discounted relative
 frequencies, and the discounted mass goes to the class of unknown words.
 
-Each block of documents gets the part of the automaton that its texts can
-reach (exact corpus-wide counts of its n-grams).  One left-to-right pass over the
-block's words carries the state and adds up log-probabilities.
+Each block of documents gets the exact corpus-wide counts of its n-grams.  All
+tokens of the block are looked up at once, order by order; no state is carried
+from token to token.
 
 Defined results: null text is empty and consists of the end token; A-Z is
 lower-cased; with no training text every probability is 1; rows with a null id
@@ -108,7 +109,7 @@ class Root:
 
 
 class BackoffAutomaton:
-    """The states and arcs that one block's texts can reach."""
+    """The counts that give the weights of the states and arcs one block's texts can reach; neither is built."""
 
     def __init__(self, grams: list[tuple[np.ndarray, np.ndarray]], root: Root):
         self.grams, self.root = grams, root
@@ -124,8 +125,7 @@ class BackoffAutomaton:
     def run(self, seq: Sequence, bos_count: int) -> tuple[np.ndarray, np.ndarray]:
         """(log10 probability, count) of each token.
 
-        The state before a token is the longest context with a count; the arc is taken where the
-        n-gram has one, else the failure arc to the next shorter context.
+        Every order is computed for every token, from looked-up counts of the n-gram and its context.
         """
         tokens = np.flatnonzero(seq.is_token)
         single = self.count(1, seq.keys[0][tokens])
