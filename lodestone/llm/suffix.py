@@ -1,9 +1,11 @@
 """Benchmark decontamination with suffix arrays over the training shards.
 
 Each shard of documents becomes one word sequence; its suffix array orders every
-suffix that could match (runs of benchmark words that are long enough).  All
-suffixes of all test items are binary-searched in it at once, which gives their
-occurrences and longest verbatim matches, with locations.
+suffix that could match (runs of benchmark words that are long enough).  The test
+suffixes that start a whole window are binary-searched in it at once, for that
+window's words, which gives the windows' occurrences.  Longest verbatim matches
+with locations are searched by longest_matches() alone, in one shard in memory;
+runs shorter than the shortest window are not in the array.
 
 A window is ``width`` consecutive item words; an item of fewer, but not none, is
 one window.  Defined results: null or wordless texts have no words, match
