@@ -157,3 +157,26 @@ def test_top_k_in_query_blocks(spark, sf, monkeypatch):
     rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
     got = {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in queries.op7_top_k(spark, sf).collect()}
     assert got == top_brute(rows)
+
+
+def test_top_k_of_large_values(spark, monkeypatch):
+    """Scores that fill a long, and some beyond it; one block of queries and many."""
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.integers(-100_000, 100_000, 64)]) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(2)
+    named = df.select("vec_id", topk.quantise(F.col("embedding")).alias("weights"))
+    for limit in (topk.BROADCAST_LIMIT, 2_000):
+        monkeypatch.setattr(topk, "BROADCAST_LIMIT", limit)
+        got = {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(named, F.col("vec_id") % 50 == 0).collect()}
+        assert got == top_brute(rows)
+    huge = spark.createDataFrame([(0, [2**40, 1]), (1, [2**40, 0]), (2, [-(2**40), 0]), (3, [1, 1])], "vec_id bigint, weights array<bigint>")
+    got = [(r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(huge, F.col("vec_id") == 0).orderBy("rank").collect()]
+    assert got == [(1, 1, 2**63 - 1), (2, 3, 2**40 + 1), (3, 2, -(2**63) + 1)]
+
+
+def test_partition_selection():
+    rng = np.random.default_rng(5)
+    for n in (1, 5, 40):
+        for k in (1, 3, 5, 50):
+            s = rng.integers(-3, 3, n)
+            assert topk.select_best(s, min(k, n)).tolist() == sorted(range(n), key=lambda i: (-s[i], i))[:k]
