@@ -8,14 +8,19 @@ base symbol; each merge (u, v) -> w in rank order applies a gadget:
 * every state that still has a u-arc gains a w-arc,
 * the state reached by w starts as a copy of the state reached by v.
 
-The state is therefore the last token read.  Since every gadget copies rows of
-the arc table and then changes single entries, the table is kept as its edit
-history (`birth`, `left`, `right`, `cut`), and an arc is looked up by walking
-that history; looked-up arcs are memoised in a dense transition dictionary.
+Its state is therefore the last token read, and its arcs are kept as the
+gadgets' edit history (`birth`, `left`, `right`, `cut`).
 
-Words are encoded left to right: a character automaton (trie with suffix
-links) proposes the tokens that end at a position, and the arc table admits
-exactly one of them.  Decoding emits the arcs' labels.
+Composed with the tokens' spellings it becomes a deterministic automaton over
+*characters*, and that one encodes: after each prefix of a word exactly one token
+can end there, so a state is the node of the spelling automaton (the longest
+suffix that may still grow into a token) and the last tokens of the prefixes which
+that suffix spans.  `table[state][symbol]` is the next state; rows are built when
+they are first needed, from the gadgets' arcs, and stay.  Each state carries its
+label, the token that ends there: a word is encoded by one table step a symbol,
+and its ids are the labels on the way back from the last state.
+
+Decoding emits the labels of the ids' arcs.
 
 Texts: null is empty; white space separates words and yields no token, so an
 empty or blank text has no tokens.  Special tokens written out in a text are
@@ -44,8 +49,8 @@ END = "</w>"
 
 #: Chunks of a generation of one worker's cache.
 CACHE_CHUNKS = 130_000
-#: Arcs looked up that are kept.
-CACHE_ARCS = 300_000
+#: States of the character automaton that one worker keeps; beyond it the table is built anew as texts need it.
+TABLE_STATES = 150_000
 
 
 def byte_alphabet() -> str:
@@ -70,8 +75,8 @@ class MergeAutomaton:
         for rank, pair in enumerate(merges):
             u, v = pair if isinstance(pair, list) else pair.split(" ")
             self._gadget(rank, vocab[u], vocab[v], vocab[u + v])
-        self._arcs: dict[int, bool] = {}
         self._build_trie(vocab)
+        self._reset_table()
         self._alphabet = dict(enumerate(byte_alphabet()))
         if missing := [c + e for c in self._alphabet.values() for e in ("", END) if c + e not in vocab]:
             raise ValueError(f"the vocabulary lacks {len(missing)} single symbols")
@@ -88,16 +93,7 @@ class MergeAutomaton:
         self.birth[w], self.left[w], self.right[w] = rank, u, v
 
     def arc(self, a: int, b: int) -> bool:
-        """Has the state reached by token a an arc for token b?"""
-        key = a * self.size + b
-        known = self._arcs.get(key)
-        if known is None:
-            if len(self._arcs) > CACHE_ARCS:
-                self._arcs.clear()
-            known = self._arcs[key] = self._look_up(a, b)
-        return known
-
-    def _look_up(self, a: int, b: int) -> bool:
+        """Has the state reached by token a an arc for token b? Walks back through the gadgets that made both."""
         before, birth, size = 1 << 60, self.birth, self.size
         while True:
             if self.cut.get(a * size + b, before) < before:
@@ -124,17 +120,49 @@ class MergeAutomaton:
                     ends.append(None)
                 at = nxt
             ends[at] = (i, len(word))
-        fail, out = [0] * len(nodes), [()] * len(nodes)
+        fail, out, depth = [0] * len(nodes), [()] * len(nodes), [0] * len(nodes)
         queue = [0]
         for at in queue:
             for c, nxt in nodes[at].items():
+                depth[nxt] = depth[at] + 1
                 back = fail[at]
                 while at and back and c not in nodes[back]:
                     back = fail[back]
                 fail[nxt] = nodes[back].get(c, 0) if at else 0
                 queue.append(nxt)
             out[at] = ((ends[at],) if ends[at] else ()) + (out[fail[at]] if at else ())
-        self._goto, self._fail, self._out = nodes, fail, out
+        self._goto, self._fail, self._out, self._depth = nodes, fail, out, depth
+
+    def _reset_table(self) -> None:
+        """The start state alone: the root node, and no token yet (-1, which every token may follow)."""
+        self.table: list[dict[str, int]] = [{}]
+        self.token, self.length = [-1], [0]  # each state's label and its symbols
+        self._meaning: list[tuple[int, tuple[int, ...]]] = [(0, (-1,))]
+        self._state_of: dict[tuple[int, tuple[int, ...]], int] = {self._meaning[0]: 0}
+
+    def _grow(self, state: int, symbol: str) -> int:
+        """Build table[state][symbol]: step the spelling automaton, find the one token that ends here, name the state reached."""
+        node, last = self._meaning[state]
+        goto, fail = self._goto, self._fail
+        step = goto[node].get(symbol)
+        while step is None:  # the root has an arc for every symbol
+            node = fail[node]
+            step = goto[node].get(symbol)
+        # last[-n] is the token that ends n - 1 symbols before this one; a token as long as all of it starts the word, or follows last[0]
+        for token, length in self._out[step]:
+            before = last[-length]
+            if before < 0 or self.arc(before, token):
+                break
+        meaning = (step, (*last, token)[-1 - self._depth[step] :])
+        reached = self._state_of.get(meaning)
+        if reached is None:
+            reached = self._state_of[meaning] = len(self.table)
+            self.table.append({})
+            self.token.append(token)
+            self.length.append(length)
+            self._meaning.append(meaning)
+        self.table[state][symbol] = reached
+        return reached
 
     @staticmethod
     def _symbols(label: str) -> list[str]:
@@ -148,29 +176,18 @@ class MergeAutomaton:
             return known
         plain = word.isascii() and word.isalnum()  # such bytes stand for themselves
         mapped = word if plain else word.encode("utf-8").decode("latin-1").translate(self._alphabet)
-        goto, fail, out, arcs, arc, size = self._goto, self._fail, self._out, self._arcs, self.arc, self.size
-        last, start, at, i = [-1], [0], 0, 0
+        if len(self.table) > TABLE_STATES:
+            self._reset_table()
+        table, state, path = self.table, 0, []
         for c in (*mapped[:-1], mapped[-1] + END):
-            i += 1
-            step = goto[at].get(c)
-            while step is None:  # the root has an arc for every symbol
-                at = fail[at]
-                step = goto[at].get(c)
-            at = step
-            for token, length in out[at]:
-                j = i - length
-                if j:
-                    before = last[j]
-                    known = arcs.get(before * size + token)
-                    if not (arc(before, token) if known is None else known):
-                        continue
-                last.append(token)
-                start.append(j)
-                break
-        ids = []
-        while i:
-            ids.append(last[i])
-            i = start[i]
+            step = table[state].get(c)
+            state = self._grow(state, c) if step is None else step
+            path.append(state)
+        ids, i, token, length = [], len(path) - 1, self.token, self.length
+        while i >= 0:
+            state = path[i]
+            ids.append(token[state])
+            i -= length[state]
         found = tuple(reversed(ids))
         if len(word) < 64:
             if len(self._words) > CACHE_CHUNKS // 4:
@@ -179,9 +196,9 @@ class MergeAutomaton:
         return found
 
     def forget(self) -> None:
-        """Drop what was memoised; the automaton stays."""
+        """Drop remembered words and the table's rows; the gadgets stay."""
         self._words.clear()
-        self._arcs.clear()
+        self._reset_table()
 
     def encode_plain(self, text: str) -> list[int]:
         if not text.isascii():

@@ -36,6 +36,33 @@ def test_arcs_forbid_merged_pairs():
     assert not a.arc(t, h) and a.arc(th, t) and not a.arc(t, next(i for i, s in a.labels.items() if s == "he"))
 
 
+def test_encoding_follows_the_table(library, monkeypatch):
+    """A word's path through table[state][symbol] alone gives its ids; small tables, built anew again and again, too."""
+    a = B.automaton(VOCABULARY)
+    rng = random.Random(3)
+    text = ["".join(rng.choice("abcdeinrst") for _ in range(rng.randint(1, 14))) for _ in range(400)]
+    want = {w: tuple(library.encode(w, add_special_tokens=False).ids) for w in text}
+    a.forget()
+    assert len(a.table) == 1
+    assert {w: a.encode_word(w) for w in text} == want
+    for w in text:
+        state, path = 0, []
+        for c in (*w[:-1], w[-1] + B.END):
+            state = a.table[state][c]
+            path.append(state)
+        ids, i = [], len(path)
+        while i:
+            ids.insert(0, a.token[path[i - 1]])
+            i -= a.length[path[i - 1]]
+        assert tuple(ids) == want[w]
+    rows = sum(map(len, a.table))
+    a._words.clear()
+    assert {w: a.encode_word(w) for w in text} == want and sum(map(len, a.table)) == rows  # nothing is built twice
+    monkeypatch.setattr(B, "TABLE_STATES", 20)
+    a._words.clear()
+    assert {w: a.encode_word(w) for w in text} == want
+
+
 def test_documents(spark, odd_docs, no_docs, library):
     rows = B.encode_documents(odd_docs, VOCABULARY).collect()
     texts = {r["doc_id"]: r["text"] for r in odd_docs.collect()}
