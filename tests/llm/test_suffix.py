@@ -74,20 +74,76 @@ def test_suffixes_are_sorted():
     import numpy as np
 
     rng = np.random.default_rng(3)
-    words_ = np.r_[rng.integers(0, 4, 400), 0]
-    starts = np.flatnonzero(words_)
-    order = S.suffix_array(words_, starts, 64)
+    for n in (1, 2, 400):
+        words_ = np.r_[rng.integers(0, 4, n), np.tile([1, 2], n), 0]
+        order = S.suffix_array(words_, 10_000)
 
-    def suffix(i):
-        return tuple(words_[i : i + int(np.flatnonzero(words_[i:] == 0)[0])])
+        def suffix(i):
+            return tuple(words_[i : i + int(np.flatnonzero(words_[i:] == 0)[0])])
 
-    keys = [suffix(i) for i in order]
-    assert keys == sorted(keys) and sorted(order.tolist()) == starts.tolist()
+        keys = [suffix(i) for i in order]
+        assert keys == sorted(keys) and sorted(order.tolist()) == np.flatnonzero(words_).tolist()
 
 
-def test_longest_matches():
-    found = S.longest_matches([(7, "x a b c d y"), (8, "b c d e")], [("t", "a b c d e")])
-    assert ("t", 0, 4, 7, 1) in found and ("t", 1, 4, 8, 0) in found
+def longest_brute(docs, items, least=1):
+    out = set()
+    for i, t in items:
+        w = words(t)
+        for a in range(len(w)):
+            best = None
+            for d, x in docs:
+                x = words(x)
+                for b in range(len(x)):
+                    n = 0
+                    while a + n < len(w) and b + n < len(x) and w[a + n] == x[b + n]:
+                        n += 1
+                    if n >= least and (best is None or (-n, d, b) < best):
+                        best = (-n, d, b)
+            if best:
+                out.add((i, a, -best[0], best[1], best[2]))
+    return out
+
+
+def test_longest_matches(spark):
+    rng = random.Random(6)
+    voc = "abcd"
+    docs = [(i, " ".join(rng.choice([*voc, "z"]) for _ in range(rng.randrange(0, 30)))) for i in range(12)]
+    items = [(f"t{i}", " ".join(rng.choice(voc) for _ in range(rng.randrange(0, 12)))) for i in range(6)]
+    d, b = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3), spark.createDataFrame([*items, ("none", None)], "item_id string, text string")
+    for least in (1, 4):
+        got_ = S.longest_matches(d, b, least).collect()
+        want = longest_brute(docs, items, least)
+        assert {(r["item_id"], r["offset"], r["n_words"]) for r in got_} == {x[:3] for x in want} and len(got_) == len(want)
+        texts = dict(docs)
+        for r in got_:
+            own = words(dict(items)[r["item_id"]])[r["offset"] :][: r["n_words"]]
+            assert words(texts[r["doc_id"]])[r["at"] :][: r["n_words"]] == own
+    assert S.longest_matches(d, b.limit(0)).collect() == [] and S.longest_matches(d.limit(0), b).collect() == []
+
+
+def test_a_very_long_item():
+    """20,000 words, whole and in part in a document: memory in proportion to the words."""
+    import pickle
+    import tracemalloc
+
+    long = [f"w{i % 9973}" for i in range(20_000)]
+    tracemalloc.start()
+    test = S.test_suffixes([(1, " ".join(long).encode()), (2, b"short item of words")], 10)
+    shard = S.Shard([[x.encode() for x in long], [x.encode() for x in long[500:700]], [b"clean"]], test)
+    at, size, window, items = shard.windows()
+    assert tracemalloc.get_traced_memory()[1] < 300 << 20 and len(pickle.dumps(test)) < 4 << 20
+    tracemalloc.stop()
+    doc = (at[:, None] >= shard.begin[None, :-1]).sum(1) - 1
+    assert set(doc.tolist()) == {0, 1} and {test.items[x] for i in items for x in i.tolist()} == {1}
+
+
+def test_equal_windows_of_many_items(spark):
+    """A passage that stands in all items is found once, whoever holds it."""
+    passage = " ".join(f"p{i}" for i in range(12))
+    items = [(i, f"{passage} own{i}") for i in range(200)]
+    docs = [(i, f"x {passage} y" if i % 2 else "clean") for i in range(40)]
+    d, b = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    assert got(S.contamination(d, b)) == brute(docs, items)
 
 
 def test_query(spark, sf):
