@@ -1,25 +1,29 @@
 """Token-id files: one wavelet matrix per shard, with access, counting and occurrence lookup.
 
-File format.  A shard is one Parquet file whose rows are segments in order; a
-segment's payload is (little-endian):
+File format.  A shard is one Parquet file with one row; its payload is (little-endian):
 
-    magic "LWM1" | u64 tokens | u64 documents | u8 planes | per plane: u64 zeros, u64 size
-    | u64 size of the id block | zstd(document ids i64, lengths u32) | zstd(plane bits) ...
+    magic "LWM2" | u64 tokens | u64 documents | u8 planes | u64 size of the id block
+    | per plane: u64 zeros | per plane and page: u64 end of the page in the file, u64 ones before the page
+    | zstd(document ids i64, lengths u32, known u8) | zstd(page bits) ...
 
 Plane p holds bit (planes-1-p) of every id in the order that stable partitioning
-by the higher planes leaves.  Rank directories (one u64 per 512 bits) are cheap
-to rebuild and are made when a segment is opened.
+by the higher planes leaves, in pages of PAGE_BITS bits, each compressed alone.
+The stored directory gives the ones before each page, so a rank, a select or an
+access reads one page a plane (a few for select) and nothing else is unpacked.
 
 Texts: null counts as empty, so each document has at least its end id.  Rows
-with equal doc_id stand next to each other, by text; null ids come first.
+with equal doc_id stand next to each other, by a hash of the text, then the text;
+null ids come first.  Ids are integers.
 """
 
 from __future__ import annotations
 
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,67 +31,133 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_LIMIT, id_and_bytes, materialise
+from .common import BROADCAST_LIMIT, id_and_bytes, release_memory, shared_dir
 
-MAGIC = b"LWM1"
-#: Tokens of a segment: bounds the memory of a task that builds or reads one. A longer document makes a longer segment.
-SEGMENT_TOKENS = 1_500_000
-#: Text bytes of a shard, before compression.
-SHARD_BYTES = 48 << 20
+MAGIC = b"LWM2"
+#: Text bytes of a shard, before compression: bounds the memory of a task that builds or reads one. A longer document makes a longer shard.
+SHARD_BYTES = 24 << 20
+#: Bits of a page.
+PAGE_BITS = 1 << 18
 #: Distinct chunks that one worker remembers.
 CACHE_CHUNKS = 1_000_000
-_SUPER = 512
 
 
-class WaveletMatrix:
-    """Rank/select over a sequence of small integers, bit plane by bit plane."""
+class Planes:
+    """Bit planes in memory, as they are built."""
 
-    def __init__(self, planes: list[np.ndarray], zeros: list[int], n: int):
-        self.planes, self.zeros, self.n, self._directory = planes, zeros, n, {}
-
-    @classmethod
-    def build(cls, ids: np.ndarray, n_planes: int) -> WaveletMatrix:
-        planes, zeros = [], []
+    def __init__(self, ids: np.ndarray, n_planes: int):
+        self.n, self.bits, self.zeros = len(ids), [], []
         for p in range(n_planes - 1, -1, -1):
             bit = ((ids >> ids.dtype.type(p)) & ids.dtype.type(1)).astype(bool)
-            planes.append(np.packbits(bit, bitorder="little"))
+            self.bits.append(np.packbits(bit, bitorder="little"))
             low = ids.compress(~bit)
-            zeros.append(len(low))
+            self.zeros.append(len(low))
             ids = np.concatenate((low, ids.compress(bit)))
-        return cls(planes, zeros, len(ids))
 
-    def _bits(self, p: int) -> np.ndarray:
-        return np.unpackbits(self.planes[p], count=self.n, bitorder="little").view(bool)
 
-    def _ones_before(self, p: int, i: int) -> int:
-        """rank1 of plane p at i: a directory entry and at most 64 bytes of popcount."""
-        if p not in self._directory:
-            ones = np.bitwise_count(self.planes[p]).astype(np.uint64)
-            sums = np.add.reduceat(ones, np.arange(0, len(ones), _SUPER // 8)) if len(ones) else ones
-            self._directory[p] = np.concatenate((np.zeros(1, np.uint64), np.cumsum(sums, dtype=np.uint64)))
-        s, byte = i // _SUPER, i // 8
-        found = int(self._directory[p][s]) + int(np.bitwise_count(self.planes[p][s * _SUPER // 8 : byte]).sum())
-        return found + (int(self.planes[p][byte]) & ((1 << i % 8) - 1)).bit_count() if i % 8 else found
+def to_payload(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray, n_planes: int) -> bytes:
+    z = zstandard.ZstdCompressor(level=1)
+    planes = Planes(ids.astype(np.uint16 if n_planes <= 16 else np.uint32, copy=False), n_planes)
+    known = np.array([x is not None for x in doc_ids], np.uint8)
+    block = z.compress(np.array([x or 0 for x in doc_ids], "<i8").tobytes() + np.array(lengths, "<u4").tobytes() + known.tobytes())
+    directory, pages, at = [], [], 0
+    for bits in planes.bits:
+        ones = 0
+        for i in range(0, len(bits), PAGE_BITS // 8):
+            page = bits[i : i + PAGE_BITS // 8]
+            pages.append(z.compress(page.tobytes()))
+            at += len(pages[-1])
+            directory += [at, ones]
+            ones += int(np.bitwise_count(page).sum(dtype=np.int64))
+    head = MAGIC + struct.pack("<QQBQ", len(ids), len(doc_ids), n_planes, len(block))
+    return b"".join((head, np.array(planes.zeros, "<u8").tobytes(), np.array(directory, "<u8").tobytes(), block, *pages))
+
+
+class TokenShard:
+    """A shard's file: rank, select, access, counting and occurrences on the compressed bytes."""
+
+    def __init__(self, payload: bytes):
+        if payload[:4] != MAGIC:
+            raise ValueError("not a token shard")
+        self.payload = payload
+        self.n, self.n_docs, self.n_planes, size = struct.unpack_from("<QQBQ", payload, 4)
+        at = 4 + struct.calcsize("<QQBQ")
+        self.zeros = np.frombuffer(payload, "<u8", self.n_planes, at).astype(np.int64).tolist()
+        at += 8 * self.n_planes
+        self.n_pages = -(-self.n // PAGE_BITS)
+        directory = np.frombuffer(payload, "<u8", 2 * self.n_planes * self.n_pages, at).astype(np.int64).reshape(self.n_planes, self.n_pages, 2)
+        at += 16 * self.n_planes * self.n_pages
+        self._block = (at, size)
+        self._stop, self.ones = directory[:, :, 0] + at + size, directory[:, :, 1]
+        self._first = at + size
+        self._unpacked: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+
+    def documents(self) -> tuple[list[int | None], np.ndarray]:
+        """(document ids, lengths)."""
+        block = zstandard.ZstdDecompressor().decompress(self.payload[self._block[0] : sum(self._block)])
+        ids, lengths, known = np.frombuffer(block, "<i8", self.n_docs), np.frombuffer(block, "<u4", self.n_docs, 8 * self.n_docs), np.frombuffer(block, np.uint8, self.n_docs, 12 * self.n_docs)
+        return [x if y else None for x, y in zip(ids.tolist(), known.tolist(), strict=True)], lengths
+
+    def _page(self, p: int, page: int) -> np.ndarray:
+        """The bytes of one page, unpacked."""
+        flat = p * self.n_pages + page
+        stops = self._stop.reshape(-1)
+        return np.frombuffer(zstandard.ZstdDecompressor().decompress(self.payload[self._first if not flat else stops[flat - 1] : stops[flat]]), np.uint8)
+
+    def _counted(self, p: int, page: int) -> tuple[np.ndarray, np.ndarray]:
+        """A page and the ones before each of its bytes; the last 64 pages used are kept."""
+        found = self._unpacked.pop((p, page), None)
+        if found is None:
+            bits = self._page(p, page)
+            found = bits, np.concatenate((np.zeros(1, np.int64), np.cumsum(np.bitwise_count(bits), dtype=np.int64)))
+            if len(self._unpacked) >= 64:
+                self._unpacked.pop(next(iter(self._unpacked)))
+        self._unpacked[p, page] = found
+        return found
+
+    def _rank1(self, p: int, i: int) -> int:
+        """Ones of plane p before position i."""
+        if i >= self.n:
+            return self.n - self.zeros[p]
+        page, inner = divmod(i, PAGE_BITS)
+        bits, before = self._counted(p, page)
+        return int(self.ones[p, page]) + int(before[inner // 8]) + (int(bits[inner // 8]) & ((1 << inner % 8) - 1)).bit_count()
+
+    def _select(self, p: int, bit: int, k: int) -> int:
+        """Position of the k-th (from 0) given bit of plane p: its page by the directory, its byte by counts."""
+        starts = np.arange(self.n_pages, dtype=np.int64) * PAGE_BITS
+        before = self.ones[p] if bit else starts - self.ones[p]
+        page = int(np.searchsorted(before, k, "right")) - 1
+        bits, ones = self._counted(p, page)
+        counts = ones if bit else np.arange(len(ones), dtype=np.int64) * 8 - ones
+        byte = int(np.searchsorted(counts, k - int(before[page]), "right")) - 1
+        left = k - int(before[page]) - int(counts[byte])
+        for at in range(8):
+            if (int(bits[byte]) >> at & 1) == bit:
+                if not left:
+                    return page * PAGE_BITS + byte * 8 + at
+                left -= 1
+        raise IndexError(k)
 
     def access(self, i: int) -> int:
         """The id at position i."""
         if not 0 <= i < self.n:
             raise IndexError(i)
         value = 0
-        for p in range(len(self.planes)):
-            bit = self.planes[p][i // 8] >> (i % 8) & 1
-            ones = self._ones_before(p, i)
-            value = value * 2 + int(bit)
+        for p in range(self.n_planes):
+            page, inner = divmod(i, PAGE_BITS)
+            bit = int(self._counted(p, page)[0][inner // 8]) >> inner % 8 & 1
+            ones = self._rank1(p, i)
+            value = value * 2 + bit
             i = self.zeros[p] + ones if bit else i - ones
         return value
 
     def _bounds(self, value: int, start: int, stop: int) -> tuple[int, int]:
-        k = len(self.planes)
-        if value < 0 or value >> k:
+        if value < 0 or value >> self.n_planes:
             return 0, 0
-        for p in range(k):
-            a, b = self._ones_before(p, start), self._ones_before(p, stop)
-            start, stop = (self.zeros[p] + a, self.zeros[p] + b) if value >> (k - 1 - p) & 1 else (start - a, stop - b)
+        for p in range(self.n_planes):
+            a, b = self._rank1(p, start), self._rank1(p, stop)
+            start, stop = (self.zeros[p] + a, self.zeros[p] + b) if value >> (self.n_planes - 1 - p) & 1 else (start - a, stop - b)
         return start, stop
 
     def count(self, value: int, start: int = 0, stop: int | None = None) -> int:
@@ -98,77 +168,35 @@ class WaveletMatrix:
     def rank(self, value: int, i: int) -> int:
         return self.count(value, 0, i)
 
-    def _select_bit(self, p: int, bit: int, k: int) -> int:
-        """Position of the k-th (from 0) given bit of plane p, by binary search over ranks."""
-        low, high = 0, self.n
-        while low < high:
-            mid = (low + high) // 2
-            ones = self._ones_before(p, mid + 1)
-            if (ones if bit else mid + 1 - ones) > k:
-                high = mid
-            else:
-                low = mid + 1
-        return low
-
     def select(self, value: int, k: int) -> int:
         """Position of the k-th (from 0) occurrence of value; -1 if there is none."""
         a, b = self._bounds(value, 0, self.n)
         if not 0 <= k < b - a:
             return -1
-        at, n = a + k, len(self.planes)
-        for p in range(n - 1, -1, -1):
-            bit = value >> (n - 1 - p) & 1
-            at = self._select_bit(p, bit, at - self.zeros[p] if bit else at)
+        at = a + k
+        for p in range(self.n_planes - 1, -1, -1):
+            bit = value >> (self.n_planes - 1 - p) & 1
+            at = self._select(p, bit, at - self.zeros[p] if bit else at)
         return at
 
-    def occurrences(self, value: int) -> list[int]:
-        return [self.select(value, k) for k in range(self.count(value))]
+    def occurrences(self, value: int) -> Iterator[int]:
+        """Positions of value, ascending."""
+        for k in range(self.count(value)):
+            yield self.select(value, k)
 
     def to_array(self) -> np.ndarray:
         """All ids: partitions are undone from the lowest plane up, one scatter a plane."""
-        dtype = np.uint16 if len(self.planes) <= 16 else np.uint32
+        dtype = np.uint16 if self.n_planes <= 16 else np.uint32
         out = np.zeros(self.n, dtype)
-        for p in range(len(self.planes) - 1, -1, -1):
-            bit, back = self._bits(p), np.empty_like(out)
+        for p in range(self.n_planes - 1, -1, -1):
+            bits = np.concatenate([self._page(p, page) for page in range(self.n_pages)]) if self.n_pages else np.zeros(0, np.uint8)
+            bit, back = np.unpackbits(bits, count=self.n, bitorder="little").view(bool), np.empty_like(out)
             back[np.flatnonzero(~bit)] = out[: self.zeros[p]]
-            back[np.flatnonzero(bit)] = out[self.zeros[p] :] | dtype(1 << (len(self.planes) - 1 - p))
+            back[np.flatnonzero(bit)] = out[self.zeros[p] :] | dtype(1 << (self.n_planes - 1 - p))
             out = back
         return out
 
 
-def to_payload(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray, n_planes: int) -> bytes:
-    z = zstandard.ZstdCompressor(level=1)
-    matrix = WaveletMatrix.build(ids.astype(np.uint16 if n_planes <= 16 else np.uint32), n_planes)
-    known = np.array([x is not None for x in doc_ids], np.uint8)
-    block = z.compress(np.array([x or 0 for x in doc_ids], "<i8").tobytes() + np.array(lengths, "<u4").tobytes() + known.tobytes())
-    planes = [z.compress(p.tobytes()) for p in matrix.planes]
-    head = MAGIC + struct.pack("<QQB", len(ids), len(doc_ids), n_planes)
-    head += b"".join(struct.pack("<QQ", zeros, len(p)) for zeros, p in zip(matrix.zeros, planes, strict=True))
-    return head + struct.pack("<Q", len(block)) + block + b"".join(planes)
-
-
-def from_payload(payload: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix]:
-    """(document ids, lengths, matrix) of a segment."""
-    if payload[:4] != MAGIC:
-        raise ValueError("not a token segment")
-    n, docs, k = struct.unpack_from("<QQB", payload, 4)
-    at, heads = 21, []
-    for _ in range(k):
-        heads.append(struct.unpack_from("<QQ", payload, at))
-        at += 16
-    (size,) = struct.unpack_from("<Q", payload, at)
-    at += 8
-    z = zstandard.ZstdDecompressor()
-    block = z.decompress(payload[at : at + size])
-    at += size
-    ids, lengths, known = np.frombuffer(block, "<i8", docs), np.frombuffer(block, "<u4", docs, 8 * docs), np.frombuffer(block, np.uint8, docs, 12 * docs)
-    planes = []
-    for _, size in heads:
-        planes.append(np.frombuffer(z.decompress(payload[at : at + size]), np.uint8))
-        at += size
-    return [x if y else None for x, y in zip(ids.tolist(), known.tolist(), strict=True)], lengths, WaveletMatrix(planes, [zeros for zeros, _ in heads], n)
-
-
 #: ASCII characters that a pre-tokenizer of words, digits and other runs joins into one run (no apostrophe).
 _RUN = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -273,85 +301,134 @@ def _groups(texts: Iterator[tuple], size: int) -> Iterator[list[tuple]]:
         yield group
 
 
-def write_token_files(docs: DataFrame, vocabulary: str, end_id: int = 2, n_planes: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode, append ``end_id`` to each document and write the shard files; returns them as read back:
-    (shard, segment, first_token, n_tokens, payload), ids ascending over shards and segments.
+def planes_for(vocabulary: str, end_id: int) -> int:
+    """Planes that hold every id of a vocabulary file, and the end id."""
+    from tokenizers import Tokenizer
+
+    return max(1, max(*Tokenizer.from_file(vocabulary).get_vocab(with_added_tokens=True).values(), end_id).bit_length())
+
+
+def write_token_files(docs: DataFrame, vocabulary: str, end_id: int = 2, n_planes: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Encode, append ``end_id`` to each document and write one file a shard; returns them as read back:
+    (n_tokens, payload, shard), ids ascending over shards.  Planes follow from the vocabulary.
 
-    One range shuffle by doc_id; a task holds one segment at a time.
+    One range shuffle by doc_id and a hash of the text, so that a repeated or missing id fills no single shard.
     """
     source = id_and_bytes(docs, id_col, text_col)
     spark = docs.sparkSession
+    planes = planes_for(vocabulary, end_id) if n_planes is None else n_planes
     n_bytes = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // SHARD_BYTES))
-    ordered = source.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered = ordered.withColumn("shard", F.spark_partition_id())
+    ordered = source.withColumn("h", F.xxhash64("text")).repartitionByRange(shards, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text")
+    ordered = ordered.select("doc_id", "text", F.spark_partition_id().alias("shard"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state = {"shard": 0}
+        shard = 0
 
         def texts() -> Iterator[tuple]:
+            nonlocal shard
             for batch in batches:
                 if batch.num_rows:
-                    state["shard"] = batch.column("shard")[0].as_py()
+                    shard = batch.column("shard")[0].as_py()
                 yield from zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True)
 
         encoder = _encoder(vocabulary, end_id)
-        doc_ids, lengths, parts, held, first, segment = [], [], [], 0, 0, 0
-
-        def flush() -> pa.RecordBatch:
-            payload = to_payload(doc_ids, lengths, np.concatenate(parts), n_planes)
-            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((state["shard"], pa.int32()), (segment, pa.int32()), (first, pa.int64()), (held, pa.int64()), (payload, pa.binary()))], names=["shard", "segment", "first_token", "n_tokens", "payload"])
-
+        doc_ids, lengths, parts = [], [], []
         for group in _groups(texts(), 2 << 20):
             ids, sizes = encoder.encode([text for _, text in group])
+            if int(ids.max()) >> planes:
+                raise ValueError(f"id {int(ids.max())} needs more than {planes} planes")
             doc_ids += [doc_id for doc_id, _ in group]
             lengths += sizes.tolist()
-            parts.append(ids)
-            held += len(ids)
-            if held >= SEGMENT_TOKENS:
-                yield flush()
-                first, segment = first + held, segment + 1
-                doc_ids, lengths, parts, held = [], [], [], 0
+            parts.append(ids.astype(np.uint16 if planes <= 16 else np.uint32))
         if doc_ids:
-            yield flush()
+            payload = to_payload(doc_ids, lengths, np.concatenate(parts), planes)
+            yield pa.RecordBatch.from_arrays([pa.array([sum(lengths)], pa.int64()), pa.array([payload], pa.binary()), pa.array([shard], pa.int32())], names=["n_tokens", "payload", "shard"])
+            del payload, parts
+            release_memory()
 
-    return materialise(ordered.mapInArrow(run, "shard int, segment int, first_token long, n_tokens long, payload binary"), "tokens")
+    schema = "n_tokens long, payload binary, shard int"
+    path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    ordered.mapInArrow(run, schema).write.partitionBy("shard").option("compression", "uncompressed").parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def shard_starts(files: DataFrame) -> DataFrame:
-    """(shard, shard_start): one row a shard, sums over a few numbers per file, payloads unread."""
+    """(shard, start): one row a shard, sums over one number a file, payloads unread."""
     sums = files.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    return sums.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shard_start"))
+    return sums.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
 
 
-def read_documents(files: DataFrame) -> DataFrame:
-    """Per document, from the files alone: doc_id, start, n_tokens, ids_crc32."""
+def _located(files: DataFrame) -> DataFrame:
+    """(start, payload) of each shard; shard starts are broadcast while they are small."""
     starts = shard_starts(files)
     if files.select("shard").distinct().count() * 16 <= BROADCAST_LIMIT:
         starts = F.broadcast(starts)
+    return files.join(starts, "shard").select("start", "payload")
+
+
+def read_documents(files: DataFrame) -> DataFrame:
+    """Per document, from the files alone: doc_id, start, n_tokens, ids_crc32."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, payload in zip(batch.column("start").to_pylist(), batch.column("payload"), strict=True):
-                doc_ids, lengths, matrix = from_payload(payload.as_py())
+                shard = TokenShard(payload.as_py())
+                doc_ids, lengths = shard.documents()
                 stops = np.cumsum(lengths, dtype=np.int64)
-                raw = memoryview(matrix.to_array().astype("<u4").tobytes())
+                raw = memoryview(shard.to_array().astype("<u4").tobytes())
                 edges = [0, *(4 * stops).tolist()]
                 crcs = [zlib.crc32(raw[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
                 out = [pa.array(doc_ids, pa.int64()), pa.array(start + stops - lengths, pa.int64()), pa.array(lengths.astype(np.int64)), pa.array(crcs, pa.int64())]
                 yield pa.RecordBatch.from_arrays(out, names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                del raw, shard
+                release_memory()
 
-    located = files.join(starts, "shard").select((F.col("shard_start") + F.col("first_token")).alias("start"), "payload")
-    return located.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return _located(files).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_count(files: DataFrame, token: int) -> DataFrame:
-    """Occurrences of one id in each shard, from rank queries only: (shard, n)."""
+    """Occurrences of one id in each shard, from two rank queries a plane: (shard, n)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = [from_payload(p.as_py())[2].count(token) for p in batch.column("payload")]
+            n = [TokenShard(p.as_py()).count(token) for p in batch.column("payload")]
             yield pa.RecordBatch.from_arrays([batch.column("shard"), pa.array(n, pa.int64())], names=["shard", "n"])
 
-    return files.select("shard", "payload").mapInArrow(run, "shard int, n long").groupBy("shard").agg(F.sum("n").alias("n"))
+    return files.select("shard", "payload").mapInArrow(run, "shard int, n long")
+
+
+def token_occurrences(files: DataFrame, token: int) -> DataFrame:
+    """(position) of every occurrence of one id in the corpus, by select queries, 10,000 a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, payload in zip(batch.column("start").to_pylist(), batch.column("payload"), strict=True):
+                where = TokenShard(payload.as_py()).occurrences(token)
+                while some := list(islice(where, 10_000)):
+                    yield pa.RecordBatch.from_arrays([pa.array([start + x for x in some], pa.int64())], names=["position"])
+
+    return _located(files).mapInArrow(run, "position long")
+
+
+def tokens_at(files: DataFrame, positions: DataFrame) -> DataFrame:
+    """(position, token) of corpus positions, by access queries; positions beyond the corpus, and null, are left out.
+
+    Positions meet their shards by a join of ranges of shard numbers, so files without a position are not unpacked.
+    """
+    starts = shard_starts(files).withColumn("stop", F.lead("start").over(Window.orderBy("shard")))
+    total = files.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
+    bounds = F.broadcast(starts) if files.select("shard").distinct().count() * 24 <= BROADCAST_LIMIT else starts
+    asked = positions.select(F.col(positions.columns[0]).cast("long").alias("position")).where(F.col("position").between(0, total - 1)).distinct()
+    asked = asked.join(bounds, (F.col("position") >= F.col("start")) & (F.col("position") < F.coalesce("stop", F.lit(total))))
+    per = asked.select("shard", (F.col("position") - F.col("start")).alias("at"), "start")
+    per = per.groupBy("shard", "start", F.floor(F.col("at") / (4 * PAGE_BITS)).alias("part")).agg(F.array_sort(F.collect_list("at")).alias("at"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, at, payload in zip(batch.column("start").to_pylist(), batch.column("at").to_pylist(), batch.column("payload"), strict=True):
+                shard = TokenShard(payload.as_py())
+                yield pa.RecordBatch.from_arrays([pa.array([start + x for x in at], pa.int64()), pa.array([shard.access(x) for x in at], pa.int64())], names=["position", "token"])
+
+    return files.select("shard", "payload").join(per, "shard").select("start", "at", "payload").mapInArrow(run, "position long, token long")
