@@ -40,13 +40,43 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own_dirs[app].name}"
 
 
+#: Tables that this process wrote into the shared folder: (application, path, catalogue name or None).
+_written: list[tuple[str, str, str | None]] = []
+
+
+def written(spark: SparkSession, path: str, name: str | None = None) -> None:
+    _written.append((spark.sparkContext.applicationId, path, name))
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once into the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write ``df`` once into the shared folder and read it back: cuts lineage, survives lost executors.
+
+    The table stays until ``release_tables``, as a result that was not yet read may need it.
+    """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    written(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release_tables(spark: SparkSession, keep: int = 0) -> int:
+    """Delete the tables that operators wrote in this application, but the first ``keep`` and the last one; returns how many are left.
+
+    For when every result of theirs has been read or written; ``keep`` is what an earlier call returned.
+    """
+    app = spark.sparkContext.applicationId
+    mine = [x for x in _written if x[0] == app]
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for entry in mine[keep:-1]:
+        _, path, name = entry
+        if name:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(conf).delete(target, True)
+        _written.remove(entry)
+    return len([x for x in _written if x[0] == app])
+
+
 def crc_mod(id_col: Column, modulus: int) -> Column:
     """crc32 of the id's decimal text modulo ``modulus``; -1 for a null id."""
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % modulus, F.lit(-1).cast("long"))

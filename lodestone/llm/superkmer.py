@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import BLOCK_BYTES, Ids, compress, decompress, key_ranges, pack, squeeze, squeeze_sorted, totals, unseal, unseal_carried, unsqueeze, unsqueeze_sorted, with_answers
+from .blocks import BLOCK_BYTES, Ids, about, compress, decompress, key_ranges, pack, partitions, squeeze, squeeze_sorted, totals, unseal, unseal_carried, unsqueeze, unsqueeze_sorted, with_answers
 from .common import materialise, mix64, release_memory
 
 WINDOW, MINIMISER = 20, 10
@@ -129,7 +129,8 @@ def repeated_windows(blocks: DataFrame, k: int = WINDOW, m: int = MINIMISER) ->
     ranges = key_ranges(blocks)
     shift = np.uint64(64 - ranges.bit_length() + 1)
 
-    def keys_of(_: pa.Array, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    def keys_of(payload: bytes) -> list[tuple[np.ndarray, np.ndarray]]:
+        texts = unseal(payload)[1]
         keys = np.unique(Words.of([t.split() for t in texts], k).minimisers(k, m))
         return [(keys, np.ones(len(keys), np.int64))]
 
@@ -139,13 +140,15 @@ def repeated_windows(blocks: DataFrame, k: int = WINDOW, m: int = MINIMISER) ->
         for batch in batches:
             for block, payload, replies in zip(batch.column("block").to_pylist(), batch.column("payload"), batch.column("answers"), strict=True):
                 if replies.as_py():
-                    yield from parcels(block, payload.as_py(), np.concatenate([unsqueeze_sorted(r["keys"]) for r in replies.as_py()]))
+                    yield from parcels(block, payload.as_py(), replies.as_py())
                     release_memory()
 
-    def parcels(block: int, payload: bytes, wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def parcels(block: int, payload: bytes, replies: list[dict]) -> Iterator[pa.RecordBatch]:
         doc_ids, texts = unseal(payload)
         words = Words.of([t.split() for t in texts], k)
         minimisers = words.minimisers(k, m)
+        keys = np.unique(minimisers)
+        wanted = keys[np.concatenate([about(keys, r, ranges)[0] for r in replies])]
         first, count = super_kmers(minimisers, words.starts, np.isin(minimisers, wanted) & ~words.repeats(k))
         if not len(first):
             return
@@ -187,8 +190,8 @@ def repeated_windows(blocks: DataFrame, k: int = WINDOW, m: int = MINIMISER) ->
         rows = [(int(b), squeeze_sorted(np.sort(place[again & (owner[which] == b)]).astype(np.uint64))) for b in np.unique(owner[which][again])]
         return pa.table([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["block", "places"])
 
-    sent = with_answers(blocks, shared, "keys").mapInArrow(send, "bucket int, block long, docs binary, known binary, first binary, count binary, strings binary")
-    return materialise(sent.groupBy("bucket").applyInArrow(compare, "block long, places binary"), "windows")
+    sent = with_answers(blocks, shared, "range", "which", "totals").mapInArrow(send, "bucket int, block long, docs binary, known binary, first binary, count binary, strings binary")
+    return materialise(sent.repartition(partitions(blocks), "bucket").groupBy("bucket").applyInArrow(compare, "block long, places binary"), "windows")
 
 
 def remove_repeats(docs: DataFrame, k: int = WINDOW, m: int = MINIMISER, id_col: str = "doc_id", text_col: str = "text", keep: str = "text", block_bytes: int = BLOCK_BYTES, carry: Sequence[str] = ()) -> DataFrame:

@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_LIMIT, id_and_bytes, release_memory, shared_dir
+from .common import BROADCAST_LIMIT, id_and_bytes, release_memory, shared_dir, written
 
 MAGIC = b"LWM2"
 #: Text bytes of a shard, before compression: bounds the memory of a task that builds or reads one. A longer document makes a longer shard.
@@ -350,6 +350,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int = 2, n_plane
     schema = "n_tokens long, payload binary, shard int"
     path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     ordered.mapInArrow(run, schema).write.partitionBy("shard").option("compression", "uncompressed").parquet(path)
+    written(spark, path)
     return spark.read.schema(schema).parquet(path)
 
 

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,28 +18,43 @@ def held_out(doc_id):
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 7 == 2
 
 
-def lm_brute(rows):
-    """(held_out, n_tokens, n_known, base, score) per row, with the bigram model spelt out."""
+def lm_brute(rows, order=3):
+    """(held_out, n_tokens, n_known, base, score) per row, with the n-gram model spelt out."""
     seqs = [(d, lower_ascii((t or "").encode()).split() + ["END"]) for d, t in rows]
-    uni, bi = Counter(), Counter()
+    grams = [Counter() for _ in range(order + 1)]
     for d, s in seqs:
         if not held_out(d):
-            uni.update(s)
-            bi.update(zip(["BOS", *s], s))
+            s = ["BOS", *s]
+            for n in range(1, order + 1):
+                grams[n].update(tuple(s[i - n + 1 : i + 1]) for i in range(max(1, n - 1), len(s)))
+    uni = grams[1]
     n, v = sum(uni.values()), len(uni)
     once, twice = sum(c == 1 for c in uni.values()), sum(c == 2 for c in uni.values())
     cut = (once + 1) / (once + 2 * twice + 2)
+    ks = [1.0, 1.0]
+    for m in range(2, order + 1):
+        number, total = np.zeros(ngram.POWERS), np.zeros(ngram.POWERS)
+        for c in grams[m - 1].values():
+            number[c.bit_length() - 1] += 1
+            total[c.bit_length() - 1] += c
+        ks.append(ngram.damping(sum(c == 1 for c in grams[m].values()), number, total))
+    after = Counter({("BOS",): uni["END",]}) + uni
+
+    def p(history, w):
+        if not history:
+            c = uni[w,]
+            return 1.0 if n == 0 else (c - cut if c else cut * v) / n
+        ch = after[history] if len(history) == 1 else grams[len(history)][history]
+        lower = p(history[1:], w)
+        k = ks[len(history) + 1]
+        return (grams[len(history) + 1][(*history, w)] + k * lower) / (ch + k) if ch else lower
+
     out = []
     for d, s in seqs:
-        base = score = 0.0
-        for h, w in zip(["BOS", *s], s):
-            c = uni[w]
-            base += math.log10((c + 1) / (n + v + 1))
-            p = 1.0 if n == 0 else (c - cut if c else cut * v) / n
-            ch = uni["END"] if h == "BOS" else uni[h]
-            r = ngram.RELIANCE * ch / (ch + ngram.DAMPING) if ch else 0.0
-            score += math.log10(r * bi[h, w] / max(ch, 1) + (1 - r) * p)
-        out.append((d, held_out(d), len(s), sum(w in uni for w in s), n, round(base, 6), round(score, 6)))
+        padded = ["BOS", *s]
+        base = sum(math.log10((uni[w,] + 1) / (n + v + 1)) for w in s)
+        score = sum(math.log10(p(tuple(padded[max(0, i - order + 1) : i]), padded[i])) for i in range(1, len(padded)))
+        out.append((d, held_out(d), len(s), sum((w,) in uni for w in s), n, round(base, 6), round(score, 6)))
     return sorted(out, key=str)
 
 
@@ -76,10 +92,11 @@ def sample(spark, sf):
     return mixed.repartition(3).persist()
 
 
-@pytest.mark.parametrize("block_bytes", [5_000, 1 << 23])
-def test_lm_against_brute_force(sample, block_bytes):
+@pytest.mark.parametrize(("block_bytes", "order", "lane"), [(5_000, 3, 1024), (1 << 23, 3, 7), (1 << 23, 1, 1024), (50_000, 2, 50), (1 << 23, 4, 100)])
+def test_lm_against_brute_force(sample, block_bytes, order, lane, monkeypatch):
+    monkeypatch.setattr(ngram, "LANE", lane)
     rows = [(r["doc_id"], r["text"]) for r in sample.collect()]
-    assert lm_rows(ngram.score_documents(sample, block_bytes=block_bytes)) == lm_brute(rows)
+    assert lm_rows(ngram.score_documents(sample, order, block_bytes=block_bytes)) == lm_brute(rows, order)
 
 
 @pytest.mark.parametrize("block_bytes", [5_000, 1 << 23])
@@ -100,20 +117,48 @@ def test_nothing_to_learn_from(spark):
     assert {(r["score"], r["base_score"], r["n_known"]) for r in ngram.score_documents(only).collect()} == {(0.0, 0.0, 0)}
 
 
-def test_a_state_sums_to_one(spark):
-    """Probabilities after one word, of every known word, the end and an unknown word: each scored as a held-out text."""
-    learn = [d for d in range(100) if not held_out(d)]
-    test = [d for d in range(100, 400) if held_out(d)]
-    rows = list(zip(learn, ["a b a c", "a b b", "c", "a"], strict=False))
-    known = ["a", "b", "c"]
-    probes = list(zip(test, ["a", *(f"a {w}" for w in known), "a unseen"], strict=False))
-    scores = {r["doc_id"]: r["score"] for r in ngram.score_documents(spark.createDataFrame(rows + probes, "doc_id bigint, text string")).collect()}
-    s = {t: scores[d] for d, t in probes}
-    uni = Counter(w for _, t in rows for w in [*t.split(), "END"])
-    n, v = sum(uni.values()), len(uni)
-    cut = (sum(c == 1 for c in uni.values()) + 1) / (sum(c == 1 for c in uni.values()) + 2 * sum(c == 2 for c in uni.values()) + 2)
-    assert abs(sum((c - cut) / n for c in uni.values()) + cut * v / n - 1) < 1e-12
-    assert s["a unseen"] < min(s[f"a {w}"] for w in known) and s["a b"] > s["a c"]
+def automaton_of(texts, order):
+    """The automaton of one block that holds all of a corpus, and its block."""
+    block = ngram.Block.of(ngram.seal_words([None] * len(texts), [x.encode() for x in texts], pa.int64()), 7, 2)
+    keys = block.keys(order, 48)
+    counts = [ngram._distinct(k, block.is_token & (k != 0), block.train) for k in keys]
+    model = ngram.Model.of([blocks._figures(c) for _, c in counts])
+    return ngram.BackoffAutomaton(block, keys, counts, model), block, model
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_a_state_sums_to_one(order):
+    """Over all known words, and the class of unknown ones, from every state; failure arcs lead to shorter contexts."""
+    fsa, block, model = automaton_of(["a b a c d a b", "a b b", "c a b a c", "a", "d d d a b a"], order)
+    words = np.arange(1, fsa.width)  # all but the begin mark
+    assert len(fsa.fail) == len(fsa.fail_weight) > 5 and (fsa.fail[1:] < np.arange(1, len(fsa.fail))).all()
+    assert (fsa.arc[1:] > fsa.arc[:-1]).all() and (fsa.arc_next < len(fsa.fail)).all()
+    cut = (model.once + 1) / (model.once + 2 * model.twice + 2)
+    for state in range(len(fsa.fail)):
+        reached, weight = fsa.step(np.full(len(words), state), words)
+        unknown, at = np.log10(cut * model.distinct / model.tokens), state
+        while at:
+            unknown, at = unknown + fsa.fail_weight[at], fsa.fail[at]
+        assert abs((10**weight).sum() + 10**unknown - 1) < 1e-9
+
+
+def test_the_state_is_the_longest_known_context():
+    fsa, block, _ = automaton_of(["a b c", "b c d"], 3)
+    ids = {w: i for i, w in enumerate(["BOS", "END", "a", "b", "c", "d"])}
+    state = np.array([fsa.root_next[ids["BOS"]]])
+    for w, back in zip("abc", ("BOS", "a", "b"), strict=True):
+        state, _ = fsa.step(state, np.array([ids[w]]))
+        assert fsa.fail[state[0]] == fsa.root_next[ids[w]]  # a pair fails to its last word
+
+
+def test_what_occurs_twice_scores_higher(spark):
+    rng = np.random.default_rng(9)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 3000, 60)) for _ in range(120)]
+    rows = [(i, t) for i, t in enumerate([*texts, *texts[:20]]) if not held_out(i)]
+    got = {r["doc_id"]: r["score"] for r in ngram.score_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    twice = [got[i] for i, t in rows if i < 20 and (120 + i) in got]
+    once = [got[i] for i, _ in rows if 20 <= i < 120]
+    assert min(twice) > max(once)
 
 
 def test_kept_text(spark):
