@@ -5,7 +5,15 @@ expression with the literal tokens that every match contains.  A rule is filed
 under its rarest token (by how many URLs hold it; ties: longer, then smaller).
 A URL is cut into tokens, the tokens fetch candidate rules, and only those run
 their regular expressions.  Of matching host rules the longest decides; else
-matching pattern rules block; else the URL is allowed.
+matching pattern rules block, unless one allows; else the URL is allowed.
+
+A token is a run of letters and digits in folded form: lower-cased, and `ſ`, `ı`, `İ`
+and the like brought to the letter that a caseless expression takes them for, so a
+match that differs from its literal in case alone still has it as a token.
+
+Rule lists are text: a rule a line, `@@` before allowing ones, `!` before comments,
+`||host/path` for host-and-path rules, `/expression/` for regular expressions, whose
+literals are found by parsing them, and anything else a word between delimiters.
 
 Defined results: a null URL, or one without `://`, has empty host and path and
 is allowed unless a rule matches the empty strings.  Rows are judged one by one.
@@ -14,11 +22,13 @@ is allowed unless a rule matches the empty strings.  Rows are judged one by one.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, field
+from collections.abc import Iterable, Iterator, Sequence
+from dataclasses import dataclass
+from functools import cached_property, lru_cache
+from re import _parser as sre_parse
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,8 +38,60 @@ _TOKEN = re.compile(r"[^\W_]+")
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+@lru_cache(maxsize=1)
+def _folds() -> dict[int, str]:
+    """Letters that a caseless expression takes for another letter, which lower() does not give."""
+    out = {}
+    for code in range(128, 0x1F000):
+        c = chr(code)
+        if c.isalpha():
+            low = c.lower()
+            for plain in sorted({low[0], c.upper()[0].lower()[0]}):
+                if plain != low and re.fullmatch(plain, c, re.IGNORECASE):
+                    out[code] = plain
+    return out
+
+
+def fold(text: str) -> str:
+    """Lower-cased, and one form for letters that caseless expressions do not tell apart; the length stays."""
+    if text.isascii():
+        return text.lower()
+    folds = _folds()
+    return "".join(folds.get(ord(c)) or c.lower()[0] for c in text)
+
+
 def tokens_of(text: str) -> list[str]:
-    return _TOKEN.findall(text.lower())
+    return _TOKEN.findall(fold(text))
+
+
+def literals_of(pattern: str) -> tuple[str, ...]:
+    """Whole tokens of every match of a regular expression, by parsing it: runs of plain characters on the top
+    level that something else than a letter or digit, or an assertion of a border, ends on both sides.
+    """
+    tree, runs, run = sre_parse.parse(pattern), [], ""
+    left = False  # does the run begin at a border of tokens?
+    edge = sre_parse.parse(r"(?<![^\W_])")[0], sre_parse.parse(r"(?![^\W_])")[0]
+
+    def border(item) -> bool:
+        if item[0] is sre_parse.IN:  # a class of other characters only
+            return all(op is sre_parse.LITERAL and not _TOKEN.fullmatch(chr(x)) for op, x in item[1])
+        return str(item) in (str(edge[0]), str(edge[1])) or item[0] is sre_parse.AT and item[1] is not sre_parse.AT_NON_BOUNDARY
+
+    for item in [*tree, None]:
+        if item is not None and item[0] is sre_parse.LITERAL:
+            c = chr(item[1])
+            if _TOKEN.fullmatch(c):
+                run += c
+                continue
+            if run and left:
+                runs.append(run)
+            run, left = "", True
+            continue
+        # \b, ^ and $ are borders of tokens but for `_`, which is none of a token's characters and so a border too
+        if run and left and item is not None and border(item):
+            runs.append(run)
+        run, left = "", item is not None and border(item)
+    return tuple(fold(x) for x in runs)
 
 
 @dataclass(frozen=True)
@@ -41,10 +103,11 @@ class Rule:
     pattern: str
     literals: tuple[str, ...]
     host_rule: bool = False
-    compiled: re.Pattern = field(init=False, compare=False, repr=False)
 
-    def __post_init__(self) -> None:
-        object.__setattr__(self, "compiled", re.compile(self.pattern, re.DOTALL))
+    @cached_property
+    def compiled(self) -> re.Pattern:
+        """Compiled when a URL first fetches the rule."""
+        return re.compile(self.pattern, re.DOTALL)
 
 
 def host_rule(name: str, verdict: str) -> Rule:
@@ -63,6 +126,38 @@ def word_rule(word: str, verdict: str = "block") -> Rule:
     return Rule(word, verdict, rf"(?i)(?<![^\W_]){re.escape(word)}(?![^\W_])", tuple(tokens_of(word)))
 
 
+def pattern_rule(name: str, verdict: str, pattern: str) -> Rule:
+    """A caseless regular expression over host, NUL and path; its literals are found in it."""
+    return Rule(name, verdict, f"(?i){pattern}", literals_of(pattern))
+
+
+def read_rules(lines: Iterable[str]) -> list[Rule]:
+    """Rules of a list, in order; blank lines and comments are left out. A broken expression raises with its line."""
+    out = []
+    for i, line in enumerate(lines, 1):
+        line = line.strip()
+        if not line or line.startswith("!"):
+            continue
+        verdict, body = ("allow", line[2:]) if line.startswith("@@") else ("block", line)
+        try:
+            if body.startswith("||"):
+                out.append(host_rule(body[2:], verdict))
+            elif len(body) > 1 and body.startswith("/") and body.endswith("/"):
+                re.compile(body[1:-1])
+                out.append(pattern_rule(body, verdict, body[1:-1]))
+            else:
+                out.append(word_rule(body, verdict))
+        except re.error as e:
+            raise ValueError(f"line {i}: {e}") from e
+    return out
+
+
+def rules_from(spark: SparkSession, path: str) -> list[Rule]:
+    """Rules of a text file, or of a folder of them in order of their names, wherever Spark can read."""
+    rows = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), "value").orderBy("file").collect()
+    return [rule for r in rows for rule in read_rules(r["value"].splitlines())]
+
+
 #: The contract's rules.
 CONTRACT_RULES = (host_rule("net/", "block"), host_rule("example.net/en/", "allow"), host_rule("example.com/de/", "block"), host_rule("org/fr/", "allow"))
 #: The method's own rules for URLs that no host rule decides.
@@ -97,20 +192,24 @@ class RuleIndex:
 
     def judge(self, host: str, path: str) -> tuple[str | None, str]:
         """(deciding host rule or None, verdict)."""
-        subject, best, blocked = f"{host}\x00{path}", None, False
+        subject, best, blocked, excused = f"{host}\x00{path}", None, False, False
         index = self.by_token
         candidates = [rule for token in {*tokens_of(host), *tokens_of(path)} if token in index for rule in index[token]] + self.always
         for rule in candidates:
             if rule.compiled.search(subject):
                 if not rule.host_rule:
                     blocked |= rule.verdict == "block"
+                    excused |= rule.verdict == "allow"
                 elif best is None or (len(rule.name), rule.name) > (len(best.name), best.name):
                     best = rule
-        return (best.name, best.verdict) if best else (None, "block" if blocked else "allow")
+        return (best.name, best.verdict) if best else (None, "block" if blocked and not excused else "allow")
 
 
 def token_frequency(urls: Column, pages: DataFrame, rules: Sequence[Rule]) -> dict[str, int]:
-    """How many URLs hold each literal token; only the rules' own tokens are counted, so the driver gets at most as many."""
+    """How many URLs hold each literal token; only the rules' own tokens are counted, so the driver gets at most as many.
+
+    It decides under which token a rule is filed, never what matches, so lower-casing is near enough here.
+    """
     wanted = sorted({t for r in rules for t in r.literals})
     if not wanted:
         return {}

@@ -84,6 +84,53 @@ def test_url_index_equals_trying_all_rules(spark, sf):
     assert urlrules.judge_urls(pages.limit(0)).collect() == []
 
 
+def test_folding_follows_caseless_expressions():
+    """What (?i) takes for the same letter has one folded form: over all letters, against their own case forms."""
+    import re
+
+    for code in range(0x1F000):
+        c = chr(code)
+        if c.isalpha():
+            for other in {*c.lower(), *c.upper(), *c.casefold()}:
+                if len(other) == 1 and other.isalpha() and re.fullmatch(re.escape(other), c, re.IGNORECASE):
+                    assert urlrules.fold(other) == urlrules.fold(c), (c, other)
+    index = urlrules.RuleIndex([urlrules.word_rule("spam")], {})
+    assert index.judge("ſpam.example.com", "/") == (None, "block") == index.judge("x.com", "/SPAM")
+
+
+def test_literals_of_expressions():
+    for pattern, want in {r"\bspam\b": ("spam",), "foo-bar/baz": ("bar",), "a.b": (), "-track-x": ("track",), r"^ads?\.": (), r"^ads\.": ("ads",), r"x\d+-yes-no": ("yes",), r"-(a|b)-both-": ("both",), "_under_score": ("under",), "-ſet-": ("set",)}.items():
+        assert urlrules.literals_of(pattern) == want, pattern
+
+
+def test_rule_lists(spark, tmp_path):
+    (tmp_path / "rules.txt").write_text("! comment\n\n||tracker.example/px\nbadword\n/-promo-[0-9]+/\n@@||good.tracker.example/px\n@@/-promo-7/\n", encoding="utf-8")
+    rules = urlrules.rules_from(spark, str(tmp_path))
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(["http://a.tracker.example/px1", "http://good.tracker.example/px", "http://x/a-promo-5", "http://x/a-promo-7", "http://x/badword", "http://x/badwords"])], "page_id bigint, url string")
+    assert [r["verdict"] for r in urlrules.judge_urls(pages, rules).orderBy("page_id").collect()] == ["block", "allow", "block", "allow", "block", "allow"]
+    with pytest.raises(ValueError, match="line 2"):
+        urlrules.read_rules(["ok", "/(/"])
+
+
+def test_ten_thousand_rules(spark, sf):
+    """The index gives what trying every rule gives, and runs few expressions."""
+    rng = np.random.default_rng(8)
+    urls = [r["url"] for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
+    words = sorted({w for u in urls for w in urlrules.tokens_of(u or "")})
+    lines = []
+    for i in range(10_000):
+        a, b = (words[j] if i % 5 == 0 else f"w{j}x{i}" for j in rng.integers(0, len(words), 2))
+        lines.append([f"||{a}.{b}/{i % 3}", f"{a}-{b}", f"/-{a}[0-9]*[.-]{b}-/", f"@@||{a}.example/{b}", a if i < 400 else f"{a}-x{i}"][i % 5 if i % 5 else (i // 5) % 5])
+    rules = urlrules.read_rules(lines)
+    pages = spark.createDataFrame([*enumerate(urls)], "page_id bigint, url string")
+    rows = urlrules.judge_urls(pages, rules).collect()
+    index = urlrules.RuleIndex(rules, {})
+    flat = urlrules.RuleIndex([urlrules.Rule(r.name, r.verdict, r.pattern, (), r.host_rule) for r in rules], {})
+    for r in rows[:40]:
+        assert (r["rule"], r["verdict"]) == index.judge(r["host"], r["path"]) == flat.judge(r["host"], r["path"])
+    assert len(index.always) < 20 and len({r["verdict"] for r in rows}) == 2
+
+
 def test_rules_stand_under_their_rarest_token():
     index = urlrules.RuleIndex([urlrules.host_rule("example.net/en/", "allow")], {"example": 9, "net": 5, "en": 7})
     assert [*index.by_token] == ["net"]
