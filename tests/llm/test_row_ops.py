@@ -147,11 +147,57 @@ def test_template_compiler():
     assert tree == [("text", "ab1<s>")]
     out, spans = chat.render("{% for m in messages %}{{ m.role | upper }}:{% generation %}{{ m.text }}{% endgeneration %};{% endfor %}", iter([{"role": "u", "text": "hi"}, {"role": "a", "text": "yo"}]))
     assert out == "U:hi;A:yo;" and [out[a:b] for a, b in spans] == ["hi", "yo"]
-    for bad in ("{% for m in other %}{% endfor %}", "{{ m.__class__ }}", "{{ m.text | eval }}", "{% if x %}", "{{ f() }}", "{% include 'x' %}"):
+    for bad in ("{% for in other %}{% endfor %}", "{{ m.__class__ }}", "{{ _x }}", "{{ m.text | eval }}", "{% if x %}", "{{ f() }}", "{{ m.text.upper() }}", "{% include 'x' %}", "{{ m is callable }}", "{{ m[0 }}", "{% set x %}"):
         with pytest.raises(chat.TemplateError):
             chat.parse(bad)
 
 
+TALK = [{"role": "system", "content": "be brief"}, {"role": "user", "content": " hi "}, {"role": "assistant", "content": "yo"}, {"role": "user", "content": "more"}, {"role": "assistant", "content": "no"}]
+
+#: Templates in the manner of published ones, and what they make of TALK.
+PUBLISHED = [
+    (
+        "{% for message in messages %}{{ '<|' + message['role'] + '|>\\n' + message['content'] + eos_token + '\\n' }}{% if loop.last and add_generation_prompt %}{{ '<|assistant|>\\n' }}{% endif %}{% endfor %}",
+        "".join(f"<|{m['role']}|>\n{m['content']}</s>\n" for m in TALK),
+    ),
+    (
+        "{% if messages[0]['role'] == 'system' %}{% set loop_messages = messages[1:] %}{% set system = messages[0].content %}{% else %}{% set loop_messages = messages %}{% endif %}"
+        "{%- for m in loop_messages -%}  {% if loop.index0 == 0 and system is defined %}{{ '<<' ~ system ~ '>>' }}{% endif %}{{ '[U]' ~ m.content | trim if loop.index0 % 2 == 0 else '[A]' ~ m.content }}{% generation %}{{ m.content if m.role == 'assistant' }}{% endgeneration %}\n{%- endfor %}",
+        "<<be brief>>[U]hi[A]yoyo[U]more[A]nono",
+    ),
+    (
+        "{% set ns = namespace(n=0, seen='') %}{% for m in messages %}{% if m.role in ['x', 'user'] or m.role == 'user' %}{% set ns.n = ns.n + 1 %}{% set ns.seen = ns.seen ~ m.content[0:1] %}{% endif %}{% endfor %}{{ ns.n }}{{ ns.seen }}{{ messages | length }}{{ messages[-1].role }}{{ missing }}{{ not missing }}".replace("m.role in ['x', 'user'] or ", ""),
+        "2 m5assistantTrue",
+    ),
+    ("{% for m in messages %}[{{ m.role | first }}]{% endfor %}|{% for m in messages %}[{{ loop.index }}{{ ',' if not loop.last }}]{% endfor %}", "[s][u][a][u][a]|[1,][2,][3,][4,][5]"),
+]
+
+
+@pytest.mark.parametrize(("template", "want"), PUBLISHED)
+def test_templates_as_models_publish_them(template, want):
+    out, spans = chat.render(template, iter(TALK))
+    assert out == want
+    if "generation %}" in template:
+        assert [out[a:b] for a, b in spans if a < b] == ["yo", "no"]
+
+
+def test_generation_prompt_and_scopes():
+    t = "{% for m in messages %}{% set x = m.role %}{% endfor %}{{ x }}{% if add_generation_prompt %}GO{% endif %}"
+    assert "".join(p for p, _ in chat.compile_template(t, (("add_generation_prompt", True),))(iter(TALK))) == "GO"
+    assert chat.render(t, iter([]))[0] == ""
+
+
+def test_ids_of_any_type(spark):
+    from decimal import Decimal
+
+    for kind, ids in (("string", ["b", "a"]), ("decimal(9,2)", [Decimal("1.50"), Decimal("-2.00")]), ("date", None), ("smallint", [3, -4])):
+        import datetime
+
+        ids = ids or [datetime.date(2020, 1, 2), datetime.date(1999, 1, 1)]
+        df = spark.createDataFrame([(i, 0, "user", "hi") for i in [*ids, None]], f"conv_id {kind}, turn int, role string, text string")
+        assert {r["conv_id"] for r in chat.digest_chats(chat.format_chats(df)).collect()} == {*ids, None}
+
+
 def digest(rows):
     rows = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2] or "", r[3] or ""))
     said = "".join(r[3] or "" for r in rows if r[2] == "assistant")
