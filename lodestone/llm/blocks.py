@@ -74,7 +74,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_
 
     The columns named by ``carry`` travel with their rows, as one struct.  ``seal`` makes a block's payload.
     """
-    source = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("binary").alias("text"), F.struct(*carry).alias("carried")) if carry else id_and_bytes(docs, id_col, text_col)
+    source = id_and_bytes(docs, id_col, text_col, carry)
     spark = docs.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

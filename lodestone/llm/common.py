@@ -6,6 +6,7 @@ import ctypes
 import re
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -77,14 +78,24 @@ def release_tables(spark: SparkSession, keep: int = 0) -> int:
     return len([x for x in _written if x[0] == app])
 
 
+def broadcast_if_small(df: DataFrame, row_bytes: int) -> DataFrame:
+    """A written table, to be broadcast if its rows are within the limit: then the other side stays put, whatever its keys."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_LIMIT else df
+
+
+def packed(columns: Sequence[str]) -> Column:
+    """The columns as one struct, `carried`: no name of theirs can clash with an operator's own."""
+    return F.struct(*(F.col(f"`{c}`") for c in columns)).alias("carried")
+
+
 def crc_mod(id_col: Column, modulus: int) -> Column:
     """crc32 of the id's decimal text modulo ``modulus``; -1 for a null id."""
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % modulus, F.lit(-1).cast("long"))
 
 
-def id_and_bytes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Just (doc_id, text as UTF-8 bytes): extra or clashing columns never reach Python."""
-    return docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("binary").alias("text"))
+def id_and_bytes(docs: DataFrame, id_col: str, text_col: str, carry: Sequence[str] = ()) -> DataFrame:
+    """Just (doc_id, text as UTF-8 bytes): extra or clashing columns never reach Python, but as `carried` where asked for."""
+    return docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("binary").alias("text"), *([packed(carry)] if carry else []))
 
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))

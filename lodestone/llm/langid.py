@@ -5,18 +5,18 @@ a fixed-length window and classified by a softmax layer.  A text is cut into
 consecutive windows (all of it, the last one padded); its score per language
 is the windows' mean probability, weighted by their bytes.
 
-Defined results: null text, or one without a letter, gives `und` with score 0;
+Defined results: null text, or one without a letter (`\\p{L}`, in training and prediction alike), gives `und` with score 0;
 with no labelled row to learn from every text is `und`.  Rows are judged one by
 one, so repeated rows get the same result, and none is dropped.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,10 +26,11 @@ from .common import id_and_bytes, release_memory
 UNKNOWN = "und"
 #: Bytes of a window.
 WINDOW = 192
-#: Training windows per language, at most, and languages, at most (the most frequent): what the driver holds while it trains.
-TRAIN_WINDOWS = 2_000
-TRAIN_LANGUAGES = 200
-_LETTER = re.compile(r"[^\W\d_]")
+#: Bounds of the training sample, which the driver holds: windows per language, windows in all (beyond it each language
+#: gives an equal share, so none is left out), and languages (the most frequent; a label column with more is taken for broken).
+TRAIN_WINDOWS, TRAIN_TOTAL, TRAIN_LANGUAGES = 2_000, 400_000, 4_096
+LETTER = r"\p{L}"
+_LETTER = regex.compile(LETTER)
 
 
 class ByteConvNet:
@@ -124,18 +125,21 @@ def windows_of(text: bytes) -> np.ndarray:
     return out.reshape(n, WINDOW)
 
 
-def train_on(labelled: DataFrame, text_col: str, label_col: str, key: Column, per_language: int = TRAIN_WINDOWS) -> ByteConvNet | None:
-    """Fit on a bounded sample: at most ``per_language`` windows from as many texts, spread by the hash of ``key``.
+def train_on(labelled: DataFrame, text_col: str, label_col: str, key: Column, per_language: int = TRAIN_WINDOWS, total: int = TRAIN_TOTAL, languages: int = TRAIN_LANGUAGES) -> ByteConvNet | None:
+    """Fit on a bounded sample: at most ``per_language`` windows of a language and ``total`` in all, from as many texts,
+    spread by the hash of ``key``, of at most ``languages`` languages.
 
     A window starts at a pseudo-random place of its text.  Only the windows reach the driver:
     languages x per_language x WINDOW bytes, whatever the input's size.
     """
     rows = labelled.select(F.col(label_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(key).alias("h"))
-    rows = rows.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(TRAIN_LANGUAGES).collect()
+    rows = rows.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(LETTER))
+    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
     if not sizes:
         return None
     labels = sorted(r["lang"] for r in sizes)
+    number = {label: i for i, label in enumerate(labels)}
+    per_language = max(1, min(per_language, total // len(labels)))
     share = F.create_map(*(F.lit(x) for r in sizes for x in (r["lang"], min(1.0, 1.5 * per_language / r["count"]))))
     rows = rows.where(F.pmod("h", F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
     at = F.pmod(F.shiftright("h", 20), F.greatest(F.length("text") - WINDOW // 2, F.lit(1))).cast("int") + 1
@@ -147,14 +151,17 @@ def train_on(labelled: DataFrame, text_col: str, label_col: str, key: Column, pe
         seen[r["lang"]] = seen.get(r["lang"], 0) + 1
         if seen[r["lang"]] <= per_language:
             xs.append(windows_of(r["piece"].encode()[:WINDOW])[0])
-            ys.append(labels.index(r["lang"]))
+            ys.append(number[r["lang"]])
     return ByteConvNet(labels).train(np.stack(xs), np.array(ys)) if xs else None
 
 
-def identify(docs: DataFrame, model: ByteConvNet | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, lang_pred, score, n_windows) of every whole text; row-wise, no shuffle."""
-    source = id_and_bytes(docs, id_col, text_col)
-    fields = T.StructType([T.StructField("doc_id", source.schema["doc_id"].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("n_windows", T.LongType())])
+def identify(docs: DataFrame, model: ByteConvNet | None, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, lang_pred, score, n_windows) of every whole text; row-wise, no shuffle.
+
+    The row's columns named by ``carry`` come along as the struct ``carried``.
+    """
+    source = id_and_bytes(docs, id_col, text_col, carry)
+    fields = T.StructType([T.StructField("doc_id", source.schema["doc_id"].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("n_windows", T.LongType()), *source.schema.fields[2:]])
 
     def judge(texts: list[bytes | None]) -> tuple[list, list, list]:
         usable = [i for i, t in enumerate(texts) if model and t and _LETTER.search(t.decode("utf-8", "replace"))]
@@ -182,7 +189,7 @@ def identify(docs: DataFrame, model: ByteConvNet | None, id_col: str = "doc_id",
             for at in range(0, whole.num_rows, 2_000):
                 batch = whole.slice(at, 2_000)
                 pred, score, count = judge(batch.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(count, pa.int64())], names=fields.fieldNames())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(count, pa.int64()), *batch.columns[2:]], names=fields.fieldNames())
             release_memory()
 
     return source.mapInArrow(run, fields)

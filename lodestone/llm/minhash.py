@@ -9,7 +9,8 @@ Chernoff-like concentration.  Bands of equal coordinates give candidates.
 
 Links are decided on full sets:
 
-1. documents with equal sets are one class, at once linked (copies are never paired);
+1. documents with equal sets are one class, at once linked (copies are never paired): equal sizes and equal sums, over the
+   whole sets, of two digests made from independent 64-bit hashes of the words;
 2. class representatives that share a band hang on the band's smallest member; the
    connected parts of these stars are candidate clusters;
 3. a cluster is cut by set size (linked sets differ by less than the threshold's
@@ -35,12 +36,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .blocks import Ids
-from .common import BROADCAST_LIMIT, id_and_bytes, lower_ascii, materialise, mix64, release_memory
+from .common import BROADCAST_LIMIT, broadcast_if_small, id_and_bytes, lower_ascii, materialise, mix64, release_memory
 from .components import connected_components
 
 BANDS, ROWS = 32, 5
@@ -50,6 +52,10 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
+def _second_hash(word: bytes) -> int:
+    return xxhash.xxh64_intdigest(word, 0x10DE)
+
+
 def shingle_ids(words: list[bytes], ids: Ids, size: int) -> np.ndarray:
     """One row of word ids per shingle; -1 pads a text shorter than a shingle."""
     flat = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
@@ -96,17 +102,15 @@ def features(docs: DataFrame, shingle: int, threshold: int, bands: int, rows: in
         ids, rows_ = Ids(), []
         for text in texts:
             rows_.append(shingle_ids(lower_ascii(text or b"").split(), ids, shingle))
-        hashes = np.r_[mix64(ids.hashes()), np.uint64(0x51ED)]  # the last stands for -1
-        sets = []
-        for r in rows_:
-            h = np.full(len(r), shingle, np.uint64)
+        words = [np.r_[mix64(h), np.uint64(0x51ED)] for h in (ids.hashes(), np.fromiter(map(_second_hash, ids), np.uint64, len(ids)))]  # the last stands for -1
+        sizes, sets, a, b = np.zeros(len(rows_), np.int64), [], np.zeros(len(rows_), np.uint64), np.zeros(len(rows_), np.uint64)
+        for i, r in enumerate(rows_):
+            g, h = np.full(len(r), shingle, np.uint64), np.full(len(r), shingle, np.uint64)
             for c in range(shingle):
-                h = mix64(h * _STEP + hashes[r[:, c]])
-            sets.append(np.unique(h))
-        sizes = np.array([*map(len, sets)], np.int64)
-        with np.errstate(over="ignore"):
-            a = np.array([int(mix64(s).sum(dtype=np.uint64)) for s in sets], np.uint64)
-            b = np.array([int(mix64(s ^ _STEP).sum(dtype=np.uint64)) for s in sets], np.uint64)
+                g, h = mix64(g * _STEP + words[0][r[:, c]]), mix64(h * _STEP + words[1][r[:, c]])
+            distinct, at = np.unique(g, return_index=True)
+            sets.append(distinct)
+            sizes[i], a[i], b[i] = len(distinct), mix64(distinct).sum(dtype=np.uint64), mix64(h[at]).sum(dtype=np.uint64)
         big = np.flatnonzero(sizes >= max(least, 1))
         keys: list = [[]] * len(texts)
         if len(big):
@@ -185,7 +189,8 @@ def _spots(members: DataFrame, threshold: int) -> DataFrame:
     spots = own.select("id", "n_shingles", "cluster", F.explode(both).alias("s")).select("id", "n_shingles", "cluster", "s.*")
     parts = F.ceil(F.greatest(F.col("n") / GROUP_DOCS, F.col("elements") / GROUP_ELEMENTS)).cast("int")
     groups = spots.groupBy("cluster", "c").agg(F.count("*").alias("n"), F.sum("own").alias("owned"), F.sum("n_shingles").alias("elements")).where("owned > 0 and n > 1")
-    return spots.join(groups.select("cluster", "c", parts.alias("parts")), ["cluster", "c"]).select("id", "cluster", "c", "parts")
+    groups = materialise(groups.select("cluster", "c", parts.alias("parts")), "groups")  # combined before their shuffle: a row a task and group
+    return spots.join(broadcast_if_small(groups, 40), ["cluster", "c"]).select("id", "cluster", "c", "parts")
 
 
 def _first_keys(spots: DataFrame) -> DataFrame:
@@ -203,7 +208,8 @@ def _rest_keys(spots: DataFrame, labels: DataFrame) -> DataFrame:
     counts = hot.groupBy("cluster", "c", "label").agg(F.count("*").alias("k"))
     main = counts.groupBy("cluster", "c").agg(F.max(F.struct("k", "label")).alias("m"), F.sum("k").alias("n"))
     slots = F.ceil(2 * (F.col("n") - F.col("m.k")) / GROUP_DOCS).cast("int")
-    hot = hot.join(main.select("cluster", "c", F.col("m.label").alias("main"), slots.alias("slots")), ["cluster", "c"]).where("slots > 0")
+    main = materialise(main.select("cluster", "c", F.col("m.label").alias("main"), slots.alias("slots")), "main")
+    hot = hot.join(broadcast_if_small(main, 48), ["cluster", "c"]).where("slots > 0")
     every = hot.withColumn("parts", 2 * F.col("parts")).withColumn("sub", F.pmod(F.xxhash64("id"), "parts").cast("int"))
     all_ = every.select("id", "cluster", "c", "sub", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"))
     rest = every.where("label <> main").select("id", "cluster", "c", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("sub"), F.pmod(F.xxhash64("id", F.lit(3)), "slots").cast("int").alias("slot"))

@@ -15,8 +15,7 @@ rows are judged each; an empty benchmark leaves every document clean.
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -227,11 +226,12 @@ _FIELDS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.Stru
 
 
 def _search(docs: DataFrame, test: Suffixes) -> DataFrame:
-    """(doc_id, n_words, spans, items) per document, in one pass without a shuffle."""
-    fields = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("n_words", T.LongType()), T.StructField("spans", _FIELDS), T.StructField("items", T.ArrayType(T.StringType()))])
+    """(doc_id, n_words, spans, items, and carried if it is there) per document, in one pass without a shuffle."""
+    carried = docs.schema.fields[2:]
+    fields = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("n_words", T.LongType()), T.StructField("spans", _FIELDS), T.StructField("items", T.ArrayType(T.StringType())), *carried])
     span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
-    def judge(ids: list, documents: list[list[bytes]], kind: pa.DataType) -> pa.RecordBatch:
+    def judge(ids: list, documents: list[list[bytes]], kind: pa.DataType, rest: list[pa.Array]) -> pa.RecordBatch:
         shard = Shard(documents, test)
         at, size, window, names = shard.windows()
         spans: list[list] = [[] for _ in documents]
@@ -249,26 +249,28 @@ def _search(docs: DataFrame, test: Suffixes) -> DataFrame:
             last = np.r_[first[1:] - 1, len(start) - 1]
             for d, a, b in zip(doc[first].tolist(), start[first].tolist(), top[last].tolist(), strict=True):
                 spans[d].append({"start": a - int(shard.begin[d]), "stop": b - int(shard.begin[d])})
-        return pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array([*map(len, documents)], pa.int64()), pa.array(spans, span), pa.array([sorted(x) for x in items], pa.list_(pa.string()))], names=fields.fieldNames())
+        return pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array([*map(len, documents)], pa.int64()), pa.array(spans, span), pa.array([sorted(x) for x in items], pa.list_(pa.string())), *([pa.concat_arrays(rest)] if carried else [])], names=fields.fieldNames())
 
     return docs.mapInArrow(lambda batches: (judge(*shard) for shard in _shards(batches)), fields)
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[list[bytes]], pa.DataType]]:
-    """(ids, words, type of the ids) of a task's documents, SHARD_BYTES of text at a time."""
-    ids, documents, held, kind = [], [], 0, pa.int64()
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[list[bytes]], pa.DataType, list[pa.Array]]]:
+    """(ids, words, type of the ids, pieces of a third column) of a task's documents, SHARD_BYTES of text at a time."""
+    ids, documents, rest, held, kind = [], [], [], 0, pa.int64()
     for batch in batches:
-        kind = batch.schema.field("doc_id").type
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+        kind, first = batch.schema.field("doc_id").type, 0
+        for i, (doc_id, text) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True), 1):
             ids.append(doc_id)
             documents.append(split_words(text))
             held += len(text or b"")
             if held >= SHARD_BYTES:
-                yield ids, documents, kind
-                ids, documents, held = [], [], 0
+                yield ids, documents, kind, [*rest, *(c.slice(first, i - first) for c in batch.columns[2:])]
+                ids, documents, rest, held, first = [], [], [], 0, i
                 release_memory()
+        if first < batch.num_rows:
+            rest += [c.slice(first) for c in batch.columns[2:]]
     if ids:
-        yield ids, documents, kind
+        yield ids, documents, kind, rest
 
 
 def _parts(benchmark: DataFrame, item_col: str, text_col: str, width: int) -> Iterator[tuple[int, Suffixes]]:
@@ -281,14 +283,15 @@ def _parts(benchmark: DataFrame, item_col: str, text_col: str, width: int) -> It
         yield parts, test_suffixes(sorted(rows, key=str), width)
 
 
-def find_matches(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def find_matches(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
     """Per document row: doc_id, n_words, spans (disjoint hit word ranges), items (ids as strings, sorted).
+    The row's columns named by ``carry`` come along as the struct ``carried``.
 
     The benchmark travels to the documents in parts of at most BENCHMARK_BYTES text, one pass each, and
     the driver holds one part at a time; only if there is more than one part are documents written, once,
     with a number for each row, by which the parts' findings come together.
     """
-    source, found = id_and_bytes(docs, id_col, text_col), None
+    source, found = id_and_bytes(docs, id_col, text_col, carry), None
     for parts, test in _parts(benchmark, item_col, item_text_col, width):
         if parts == 1:
             return _search(source, test)
@@ -299,7 +302,8 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col:
         found = one if found is None else found.unionAll(one)
     whole = found.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     whole = whole.withColumn("spans", merged(F.array_sort("spans"))).withColumnRenamed("doc_id", "row")
-    return numbered.select("row", "doc_id").join(whole, "row").select("doc_id", "n_words", "spans", "items")
+    rest = ["carried"] if carry else []
+    return numbered.select("row", "doc_id", *rest).join(whole, "row").select("doc_id", "n_words", "spans", "items", *rest)
 
 
 def merged(spans):
@@ -314,11 +318,11 @@ def merged(spans):
     return F.aggregate(spans, empty, add)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, **columns: str) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    found = find_matches(docs, benchmark, width, **columns)
+def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, **options) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and carried where columns are; options as in find_matches."""
+    found = find_matches(docs, benchmark, width, **options)
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["stop"] - s["start"])
-    return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
+    return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"), *(["carried"] if options.get("carry") else []))
 
 
 def longest_matches(docs: DataFrame, benchmark: DataFrame, least: int = 1, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -335,7 +339,7 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, least: int = 1, id_co
         offset = np.arange(len(test.start)) - np.repeat(np.flatnonzero(np.diff(test.item, prepend=-1)), np.bincount(test.item)) if len(test.item) else np.zeros(0, np.int64)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for ids, documents, kind in _shards(batches):
+            for ids, documents, kind, _ in _shards(batches):
                 shard = Shard(documents, test, least)
                 words, place, _ = shard.longest()
                 rows = np.flatnonzero((words >= least) & (place >= 0))
@@ -351,7 +355,3 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, least: int = 1, id_co
         found = one if found is None else found.unionAll(one)
     best = F.min(F.struct((-F.col("n_words")).alias("less"), "doc_id", "at")).alias("b")
     return found.groupBy("item_id", "offset").agg(best).select("item_id", "offset", (-F.col("b.less")).alias("n_words"), "b.doc_id", "b.at")
-
-
-def digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()

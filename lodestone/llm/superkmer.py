@@ -24,10 +24,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .blocks import BLOCK_BYTES, Ids, about, compress, decompress, key_ranges, pack, partitions, squeeze, squeeze_sorted, totals, unseal, unseal_carried, unsqueeze, unsqueeze_sorted, with_answers
-from .common import materialise, mix64, release_memory
+from .common import materialise, mix64, packed, release_memory
 
 WINDOW, MINIMISER = 20, 10
 _BASE = 0x9E3779B97F4A7C15
@@ -233,5 +232,5 @@ def remove_repeats(docs: DataFrame, k: int = WINDOW, m: int = MINIMISER, id_col:
 
     fields = f"doc_id {id_type}, n_words long, n_removed long, {last} string"
     if carry:
-        fields += f", carried {docs.select(F.struct(*carry).alias('c')).schema['c'].dataType.simpleString()}"
+        fields += f", carried {docs.select(packed(carry)).schema['carried'].dataType.simpleString()}"
     return with_answers(blocks, found, "places").mapInArrow(run, fields)

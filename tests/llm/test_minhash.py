@@ -108,3 +108,18 @@ def test_query(spark, sf):
     from lodestone.llm import queries
 
     assert queries.op9_near_dedup(spark, sf).where(F.col("kept")).count() > 0
+
+
+def test_no_link_at_the_threshold_is_missed(spark):
+    """200 pairs of similarity 0.80 to 0.85, by replacing words of a text."""
+    rng, rows = random.Random(5), []
+    for i in range(200):
+        a = [f"w{rng.randrange(10**9)}" for _ in range(120)]
+        b = list(a)
+        for j in rng.sample(range(5, 115, 2), 5 + i % 2):
+            b[j] = f"x{rng.randrange(10**9)}"
+        sets = [{(x, y) for x, y in zip(t, t[1:])} for t in (a, b)]
+        assert 0.80 <= len(sets[0] & sets[1]) / len(sets[0] | sets[1]) <= 0.85
+        rows += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(b))]
+    got = {r["doc_id"]: r["component_id"] for r in M.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), shingle=2).collect()}
+    assert got == {d: d - d % 2 for d, _ in rows}

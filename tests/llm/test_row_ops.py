@@ -30,6 +30,62 @@ def test_language_id_odd_rows(odd_docs, no_docs):
     assert {r["lang_pred"] for r in langid.identify(odd_docs, None).collect()} == {"und"}
 
 
+def plain_network(net, text):
+    """(mean probability per language) spelt out: every filter at every place of every window."""
+    total, weight = np.zeros(len(net.labels)), 0
+    for i in range(0, len(text), langid.WINDOW):
+        x = list(text[i : i + langid.WINDOW])
+        own = sum(b != 0 for b in x) or 1
+        x += [0] * (langid.WINDOW - len(x))
+        emb = net.emb[x].astype(float)
+        pooled, at = [], 0
+        for width, filters in net.WIDTHS:
+            for f in range(at, at + filters):
+                w = net.conv[: width * net.DIM, f].reshape(width, net.DIM)
+                places = range(langid.WINDOW - net.span + 1)
+                scores = sum((emb[j : j + len(places)] * w[j]).sum(1) for j in range(width))
+                pooled.append(max(0.0, float(scores.max()) + float(net.bias[f])))
+            at += filters
+        logits = np.array(pooled) @ net.out.astype(float) + net.out_bias
+        e = np.exp(logits - logits.max())
+        total += e / e.sum() * own
+        weight += own
+    return total / weight
+
+
+def test_language_id_query_against_a_plain_network(spark, sf):
+    """Every row of the query, by a model trained on the same rows and run by loops; held-out rows by their own crc."""
+    import unicodedata
+    import zlib
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    held = {r["doc_id"]: zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2 for r in docs.collect()}
+    learn = docs.where(F.col("doc_id").isin([d for d, h in held.items() if not h]))
+    net = langid.train_on(learn, "text", "lang", F.col("doc_id"))
+    got = {r["doc_id"]: r for r in queries.op1_language_id(spark, sf).collect()}
+    assert set(got) == set(held)
+    for r in docs.collect():
+        row, text = got[r["doc_id"]], (r["text"] or "")
+        assert row["held_out"] == held[r["doc_id"]]
+        if not any(unicodedata.category(c).startswith("L") for c in text):
+            assert (row["lang_pred"], row["score"]) == ("und", 0.0)
+        elif len(text) < 6000:
+            p = plain_network(net, text.encode())
+            assert row["lang_pred"] == net.labels[int(p.argmax())] and abs(row["score"] - p.max()) < 1e-4
+
+
+def test_letters_are_of_category_l(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["²", "½", "Ⅷ", "12 _ !", "ª", "é", "字", "\u0301"])], "doc_id bigint, text string")
+    net = langid.ByteConvNet(["en", "fr"])
+    assert {r["doc_id"] for r in langid.identify(docs, net).collect() if r["lang_pred"] != "und"} == {4, 5, 6}
+
+
+def test_many_languages_share_the_sample(spark):
+    docs = spark.createDataFrame([(i, f"text {i}", f"l{i % 30}") for i in range(300)], "doc_id bigint, text string, lang string")
+    net = langid.train_on(docs, "text", "lang", F.col("doc_id"), total=60)
+    assert len(net.labels) == 30
+
+
 def test_windows_cover_the_text():
     text = bytes(range(1, 256)) * 3
     w = langid.windows_of(text)
