@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import re
 import tempfile
@@ -10,6 +11,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,21 +26,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+    """This application's own folder within the one that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where it is unset a folder of our own serves, in local mode only: on a
-    cluster a machine-local folder would not be visible to other machines.
+    Where that is unset a folder of our own serves, in local mode only: on a cluster a machine-local
+    folder would not be visible to other machines.  It is removed when the interpreter ends.
     """
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not re.match(r"local(\[|$)", spark.sparkContext.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
-        holder = tempfile.TemporaryDirectory(prefix="lodestone-")
-        _own_dirs[app] = holder  # kept alive, and removed when the interpreter ends
-    return f"file://{_own_dirs[app].name}"
+        found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not found and not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        _own_dirs[app] = f"{found.rstrip('/') if found else 'file://' + tempfile.gettempdir()}/lodestone-{app}"
+        atexit.register(_delete, spark.sparkContext._jvm, _own_dirs[app])
+    return _own_dirs[app]
+
+
+def _delete(jvm, path: str) -> None:
+    """Remove a folder, on whichever store; at the interpreter's end the JVM may be gone already, and its folder stays."""
+    try:
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(target, True)
+    except (Py4JError, OSError):
+        pass
 
 
 #: Tables that this process wrote into the shared folder: (application, path, catalogue name or None).
@@ -60,22 +69,24 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release_tables(spark: SparkSession, keep: int = 0) -> int:
-    """Delete the tables that operators wrote in this application, but the first ``keep`` and the last one; returns how many are left.
+def tables_written(spark: SparkSession) -> int:
+    """How many such tables of this application there are."""
+    return sum(x[0] == spark.sparkContext.applicationId for x in _written)
 
-    For when every result of theirs has been read or written; ``keep`` is what an earlier call returned.
+
+def release_tables(spark: SparkSession, since: int = 0, last: bool = True) -> None:
+    """Delete the tables that operators wrote after there were ``since`` of them, but for the last one if ``last`` is to stay.
+
+    For when all results that read them have been read or written themselves.
     """
-    app = spark.sparkContext.applicationId
-    mine = [x for x in _written if x[0] == app]
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for entry in mine[keep:-1]:
+    mine = [x for x in _written if x[0] == spark.sparkContext.applicationId][since:]
+    for entry in mine[:-1] if last else mine:
         _, path, name = entry
         if name:
             spark.sql(f"DROP TABLE IF EXISTS {name}")
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(conf).delete(target, True)
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
         _written.remove(entry)
-    return len([x for x in _written if x[0] == app])
 
 
 def broadcast_if_small(df: DataFrame, row_bytes: int) -> DataFrame:

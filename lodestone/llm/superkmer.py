@@ -24,6 +24,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from .blocks import BLOCK_BYTES, Ids, about, compress, decompress, key_ranges, pack, partitions, squeeze, squeeze_sorted, totals, unseal, unseal_carried, unsqueeze, unsqueeze_sorted, with_answers
 from .common import materialise, mix64, packed, release_memory
@@ -200,7 +201,6 @@ def remove_repeats(docs: DataFrame, k: int = WINDOW, m: int = MINIMISER, id_col:
     """
     blocks = pack(docs, id_col, text_col, block_bytes, carry)
     found = repeated_windows(blocks, k, m)
-    id_type = docs.schema[id_col].dataType.simpleString()
     last = "kept_text" if keep == "text" else "kept_sha256"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,7 +230,6 @@ def remove_repeats(docs: DataFrame, k: int = WINDOW, m: int = MINIMISER, id_col:
         columns = {"doc_id": doc_ids, "n_words": pa.array(np.diff(words.begin)), "n_removed": pa.array(removed.astype(np.int64)), last: pa.array(left, pa.string())}
         return pa.RecordBatch.from_pydict(columns | ({"carried": unseal_carried(payload)} if carry else {}))
 
-    fields = f"doc_id {id_type}, n_words long, n_removed long, {last} string"
-    if carry:
-        fields += f", carried {docs.select(packed(carry)).schema['carried'].dataType.simpleString()}"
-    return with_answers(blocks, found, "places").mapInArrow(run, fields)
+    fields = [T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField(last, T.StringType())]
+    fields += docs.select(packed(carry)).schema.fields if carry else []
+    return with_answers(blocks, found, "places").mapInArrow(run, T.StructType(fields))

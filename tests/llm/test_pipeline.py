@@ -66,6 +66,30 @@ def test_stages_keep_columns_and_odd_rows(spark, sf, odd_docs, no_docs):
     assert P.STAGES[-1][1](spark, odd_docs.select(cols), sf).count() == odd_docs.count()
 
 
+def test_clashing_columns_and_odd_names(spark, sf, odd_docs):
+    """Extra columns with the operators' own names, and names that need quoting, come through every stage with their rows."""
+    own = ["kept_text", "component_id", "contaminated", "carried", "row", "no_text", "_key", "score", "a.b", "h"]
+    docs = odd_docs.select("doc_id", "text", "lang", "source", "n_chars", *(F.concat_ws("|", F.lit(c), "doc_id").alias(c) for c in own))
+    for name, stage in P.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert rows and all(r[c] == "|".join([c, *([str(r["doc_id"])] if r["doc_id"] is not None else [])]) for r in rows for c in own), name
+
+
+def test_nothing_is_left_behind(spark, sf):
+    from lodestone.llm import common
+
+    before = common.tables_written(spark)
+    out = P.run(spark, sf)
+    assert common.tables_written(spark) == before + 1 and out.count() > 0
+    common.release_tables(spark, last=False)
+    assert common.tables_written(spark) == 0
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(common.shared_dir(spark))
+    assert not len(folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(folder)) and not [t.name for t in spark.catalog.listTables() if t.name.startswith("lodestone_blocks")]
+
+
 def test_stage_order():
     assert [n for n, _ in P.STAGES] == ["language_id", "near_dedup", "substring_dedup", "decontaminate", "bpe"]
     with pytest.raises(TypeError):
