@@ -38,10 +38,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import BLOCK_BYTES, POWERS, Ids, compress, decompress, key_ranges, look_up, pack, squeeze, totals, unsqueeze, with_answers
+from .blocks import POWERS, Ids, compress, decompress, key_ranges, look_up, pack, squeeze, totals, unsqueeze, with_answers
 from .common import lower_ascii, mix64, release_memory
 
 ORDER = 3
+#: Text bytes of a block: its automaton takes some 50 times as much memory.
+LM_BLOCK_BYTES = 4 << 20
 #: Tokens of a lane.
 LANE = 1024
 #: Least bits of the key of an n-gram of several words; single words have 64.
@@ -93,7 +95,7 @@ class Block:
             fields.append(payload[at : at + size])
             at += size
         doc_ids = pa.ipc.open_stream(decompress(fields[0])).read_next_batch().column("doc_id")
-        lengths, ids = unsqueeze(fields[1], np.uint32).astype(np.int64), unsqueeze(fields[2], np.uint32).astype(np.int64)
+        lengths, ids = unsqueeze(fields[1], np.uint32).astype(np.int64), unsqueeze(fields[2], np.uint32).view(np.int32)
         begin = np.r_[0, np.cumsum(lengths)]
         is_token = np.ones(len(ids), bool)
         is_token[begin[:-1]] = False
@@ -197,17 +199,18 @@ class BackoffAutomaton:
         for n in range(2, order + 1):
             at = np.flatnonzero(keys[n - 1])
             own, total = counts[n - 1]
-            number = np.zeros(len(ids), np.int64)
+            number = np.zeros(len(ids), np.int32)
             number[at] = np.searchsorted(own, keys[n - 1][at])
-            one = np.zeros(len(own), np.int64)  # a position of each n-gram
+            one = np.zeros(len(own), np.int32)  # a position of each n-gram
             one[number[at]] = at
+            keys[n - 1] = at = None
             before, lower = gram[one - 1], gram[one]
             k, c = model.k[n - 2], context[before]
             p = np.where(c > 0, (total + k * p[lower]) / (c + k), p[lower])
             seen = np.flatnonzero(total > 0)
-            source = state[before[seen]]
+            source = state[before[seen]].astype(np.int64)
             if n < order:  # n-grams as contexts
-                grown = np.zeros(len(own), np.int64)
+                grown = np.zeros(len(own), np.int32)
                 inner = seen[ids[one[seen]] != 1]
                 grown[inner] = n_states + np.arange(len(inner))
                 n_states += len(inner)
@@ -216,13 +219,16 @@ class BackoffAutomaton:
             else:
                 grown = state[lower]
             arcs.append((source * self.width + ids[one[seen]], np.log10(p[seen]), grown[seen]))
-            gram, context, state = number, total, grown
-        self.fail, self.fail_weight = np.concatenate(fail), np.concatenate(fail_weight)
+            gram, context, state = number, total.astype(np.float64), grown
+            del own, total, one, before, lower, c
+        del gram, context
+        self.fail, self.fail_weight = np.concatenate(fail).astype(np.int32), np.concatenate(fail_weight)
         key = np.concatenate([a[0] for a in arcs]) if arcs else np.zeros(0, np.int64)
         by = np.argsort(key)
         self.arc = key[by]
+        del key
         self.arc_weight = np.concatenate([a[1] for a in arcs])[by] if arcs else np.zeros(0)
-        self.arc_next = np.concatenate([a[2] for a in arcs])[by] if arcs else key
+        self.arc_next = np.concatenate([a[2] for a in arcs])[by].astype(np.int32) if arcs else np.zeros(0, np.int32)
 
     def step(self, states: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(states reached, log10 weights of the arcs taken) by reading one word in each state."""
@@ -230,7 +236,7 @@ class BackoffAutomaton:
         open_, at_state = np.arange(len(words)), states
         while len(open_):
             word = words[open_]
-            key = at_state * self.width + word
+            key = at_state.astype(np.int64) * self.width + word
             place = np.searchsorted(self.arc, key)
             has = (place < len(self.arc)) & (at_state > 0)
             has[has] = self.arc[place[has]] == key[has]
@@ -270,7 +276,7 @@ class BackoffAutomaton:
         return np.bincount(doc, score, len(first))
 
 
-def score_documents(docs: DataFrame, order: int = ORDER, modulus: int = 7, remainder: int = 2, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def score_documents(docs: DataFrame, order: int = ORDER, modulus: int = 7, remainder: int = 2, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = LM_BLOCK_BYTES) -> DataFrame:
     """Per document row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from rows whose crc32(id as text) mod ``modulus`` is not ``remainder``.  Two shuffles, of
