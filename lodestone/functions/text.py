@@ -229,7 +229,7 @@ def in_sequence(candidates: Column, number: str = "number") -> Column:
     return F.aggregate(candidates, start, add, lambda acc: acc["kept"])
 
 
-#: Confidence words in order of search, abstention phrases, states in which evidence is present.
+#: Confidence words in order of search, abstention phrases, states in which evidence is present, an echoed template.
 CONFIDENCE = ("높음", "중간", "낮음", "모름")
 CONFIDENT = ("높음", "중간")
 ABSTENTION = ("근거 없", "근거가 없", "확인할 수 없", "알 수 없", "판단할 수 없", "모르", "모름", "해당 없", "정보가 없", "규정되어 있지 않", "명시되어 있지 않", "찾을 수 없")
@@ -238,21 +238,27 @@ _TEMPLATE = r"[<〈][^>〉]*[|｜][^>〉]*[>〉]"
 
 
 def parse_answer(raw: Column) -> Column:
-    """struct(answer, basis, confidence, conf_parse) of a formatted model answer."""
-    raw = strip(replace(F.coalesce(raw, F.lit("")), r"(?s)<think>.*?</think>"))
-    think, at = F.instr(raw, "<think>"), F.instr(raw, "답")
-    raw = F.when((think > 0) & (at > think), F.substring(raw, at, F.length(raw))).otherwise(raw)
-    raw = replace(raw, r"</?think>")
-    pick = lambda label, rest: F.regexp_extract(raw, rf"(?s){label}\s*[:：]\s*(.+?)(?=\n\s*(?:{rest})|$)", 1)
-    has_answer = raw.rlike(r"(?s)답\s*[:：]\s*.")
-    answer = F.when(has_answer, strip(pick("답", "근거|확신"))).otherwise(strip(raw))
-    basis = strip(pick("근거", "확신|답"))
-    stated = strip(F.regexp_extract(raw, r"확신도\s*[:：]\s*(.+?)(?=\n|$)", 1))
-    echo = stated.rlike(_TEMPLATE)
-    word = decide([(stated.contains(w), w) for w in CONFIDENCE], "")
-    why = F.when(echo, "template_echo").when(word != "", "ok").when(stated == "", "missing").otherwise("unparsed")
-    answer = F.when(~echo & answer.rlike(_TEMPLATE), strip(replace(answer, _TEMPLATE))).otherwise(answer)
-    return F.struct(answer.alias("answer"), basis.alias("basis"), F.when(echo, "").otherwise(word).alias("confidence"), why.alias("conf_parse"))
+    """struct(answer, basis, confidence, conf_parse) of a formatted model answer; each step is computed once a row."""
+
+    def visible(raw: Column) -> Column:
+        """What follows an unfinished thought, from its first answer label on."""
+        think, at = F.instr(raw, "<think>"), F.instr(raw, "답")
+        return replace(F.when((think > 0) & (at > think), F.substring(raw, at, F.length(raw))).otherwise(raw), r"</?think>")
+
+    def fields(raw: Column) -> Column:
+        pick = lambda label, rest: strip(F.regexp_extract(raw, rf"(?s){label}\s*[:：]\s*(.+?)(?=\n\s*(?:{rest})|$)", 1))
+        answer = F.when(raw.rlike(r"(?s)답\s*[:：]\s*."), pick("답", "근거|확신")).otherwise(strip(raw))
+        stated = strip(F.regexp_extract(raw, r"확신도\s*[:：]\s*(.+?)(?=\n|$)", 1))
+        return F.struct(answer.alias("answer"), pick("근거", "확신|답").alias("basis"), stated.alias("stated"))
+
+    def judged(f: Column) -> Column:
+        echo, word = f["stated"].rlike(_TEMPLATE), decide([(f["stated"].contains(w), w) for w in CONFIDENCE], "")
+        why = F.when(echo, "template_echo").when(word != "", "ok").when(f["stated"] == "", "missing").otherwise("unparsed")
+        answer = F.when(~echo & f["answer"].rlike(_TEMPLATE), strip(replace(f["answer"], _TEMPLATE))).otherwise(f["answer"])
+        return F.struct(answer.alias("answer"), f["basis"].alias("basis"), F.when(echo, "").otherwise(word).alias("confidence"), why.alias("conf_parse"))
+
+    cleaned = strip(replace(F.coalesce(raw, F.lit("")), r"(?s)<think>.*?</think>"))
+    return let(let(let(cleaned, visible), fields), judged)
 
 
 def is_abstention(answer: Column, basis: Column, confidence: Column) -> Column:
@@ -263,12 +269,15 @@ def is_abstention(answer: Column, basis: Column, confidence: Column) -> Column:
 def keyword_match(answer: Column, gold: Column) -> Column:
     """'yes', 'no' or 'ambiguous': shared words, and numbers other than article numbers must not contradict."""
     gold, answer = F.coalesce(gold, F.lit("")), F.coalesce(answer, F.lit(""))
-    want, got = key_terms(gold), key_terms(answer)
-    share = F.size(F.array_intersect(want, got)) / F.size(want)
     digits = lambda c: F.array_distinct(F.regexp_extract_all(replace(c, ARTICLE, " "), F.lit(r"\d+"), F.lit(0)))
-    n, m = digits(gold), digits(answer)
-    numeric = F.when(~F.arrays_overlap(n, m), "no").when(share >= 0.3, "yes").otherwise("ambiguous")
-    return F.when((gold == "") | (F.size(want) == 0), "ambiguous").when(F.size(n) > 0, numeric).when(share >= 0.7, "yes").otherwise("ambiguous")
+    parts = F.struct(key_terms(gold).alias("want"), key_terms(answer).alias("got"), digits(gold).alias("n"), digits(answer).alias("m"), (gold == "").alias("blank"))
+
+    def verdict(p: Column) -> Column:
+        share = F.size(F.array_intersect(p["want"], p["got"])) / F.size(p["want"])
+        numeric = F.when(~F.arrays_overlap(p["n"], p["m"]), "no").when(share >= 0.3, "yes").otherwise("ambiguous")
+        return F.when(p["blank"] | (F.size(p["want"]) == 0), "ambiguous").when(F.size(p["n"]) > 0, numeric).when(share >= 0.7, "yes").otherwise("ambiguous")
+
+    return let(parts, verdict)
 
 
 def cited_articles(c: Column) -> Column:

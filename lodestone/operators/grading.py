@@ -12,6 +12,11 @@ def judge_key(question: Column, gold: Column, answer: Column) -> Column:
     return X.fingerprint(question, gold, answer)
 
 
+def settled(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with more columns, each computed once a row: they come out of a generator, across which the optimiser moves no expression."""
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(name) for name, c in columns.items())))))
+
+
 def classify(responses: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
     """Adds answer, basis, confidence, conf_parse, state, correct, abstained, acc_method and cited_ok.
 
@@ -19,13 +24,11 @@ def classify(responses: DataFrame, verdicts: DataFrame | None = None) -> DataFra
     ``correct`` and ``cited_ok`` are null where an outcome is undecided or does not apply.
     ``verdicts`` is (key, verdict); without one an ambiguous answer stays in review.
     """
-    p = X.parse_answer(F.col("raw_answer"))
-    rows = responses.withColumn("_p", p).select("*", "_p.*").drop("_p")
-    rows = rows.withColumn("_abst", X.is_abstention(F.col("answer"), F.col("basis"), F.col("confidence")))
-    rows = rows.withColumn("_kw", X.keyword_match(F.col("answer"), F.col("gold_short")))
-    rows = rows.withColumn("_key", judge_key(F.col("question"), F.col("gold_short"), F.col("answer")))
+    rows = settled(responses, _p=X.parse_answer(F.col("raw_answer"))).select("*", "_p.*").drop("_p")
+    rows = settled(rows, _abst=X.is_abstention(F.col("answer"), F.col("basis"), F.col("confidence")), _kw=X.keyword_match(F.col("answer"), F.col("gold_short")), _cited=X.citation_ok(F.col("basis"), F.col("gold_articles")))
     if verdicts is not None:
-        rows = rows.join(verdicts.select(F.col("key").alias("_key"), F.col("verdict").alias("_jv")), "_key", "left")
+        rows = settled(rows, _key=judge_key(F.col("question"), F.col("gold_short"), F.col("answer")))
+        rows = rows.join(verdicts.select(F.col("key").alias("_key"), F.col("verdict").alias("_jv")), "_key", "left").drop("_key")
     else:
         rows = rows.withColumn("_jv", F.lit(None).cast("string"))
     failed, answerable = F.coalesce(F.col("error"), F.lit("")) != "", F.coalesce(F.col("answerable"), F.lit(True))
@@ -36,8 +39,59 @@ def classify(responses: DataFrame, verdicts: DataFrame | None = None) -> DataFra
     state = F.when(failed, "error").when(abst, "honest_abstain").when(~answerable, wrong).when(verdict == "yes", "correct").when(verdict == "partial", "partial").when(verdict == "no", wrong).otherwise("review")
     correct = F.when(failed, None).when(~answerable, abst).when(abst, ~F.coalesce(F.col("q_status"), F.lit("")).isin(*X.EVIDENCE)).when(verdict.isin("yes", "partial"), True).when(verdict == "no", False)
     method = F.when(failed, "none").when(~answerable, "oos_rule").when(abst, "abstain_rule").when(F.col("_kw") != "ambiguous", "keyword").when(verdict != "review", "judge").otherwise("pending")
-    out = rows.withColumn("state", state).withColumn("correct", correct).withColumn("abstained", F.when(~failed, abst)).withColumn("acc_method", method)
-    return out.withColumn("cited_ok", F.when(judged, X.citation_ok(F.col("basis"), F.col("gold_articles")))).drop("_abst", "_kw", "_key", "_jv")
+    out = settled(rows, state=state, correct=correct, abstained=F.when(~failed, abst), acc_method=method, cited_ok=F.when(judged, F.col("_cited")))
+    return out.drop("_abst", "_kw", "_cited", "_jv")
+
+
+def with_slots(responses: DataFrame, slots: DataFrame, content: DataFrame, limit_rows: int = 200_000) -> DataFrame:
+    """Responses with their question's slot (those without one are dropped) and q_status: by (condition, qid) from the
+    content statuses, else the response's own, else full.
+
+    ``slots`` is (qid, answerable, gold_short, question, gold_articles, level), ``content`` (condition, qid, status).
+    The slots are broadcast while there are at most ``limit_rows``.
+    """
+    slots = F.broadcast(slots) if slots.count() <= limit_rows else slots
+    own = responses.withColumnRenamed("q_status", "q_status_unit").join(slots, "qid")
+    return own.join(content.select("condition", "qid", F.col("status").alias("_cs")), ["condition", "qid"], "left").withColumn("q_status", F.coalesce("_cs", "q_status_unit", F.lit("full"))).drop("_cs")
+
+
+def with_condition_meta(rows: DataFrame, meta: DataFrame) -> DataFrame:
+    """Adds cov_pct and char_pct of the condition, null for one without; ``meta`` has a row a condition (condition, cov_pct, char_pct)."""
+    return rows.join(F.broadcast(meta.select("condition", "cov_pct", "char_pct")), "condition", "left")
+
+
+def grade(responses: DataFrame, slots: DataFrame, content: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
+    """Responses, joined with their slots and statuses, graded."""
+    return classify(with_slots(responses, slots, content), verdicts)
+
+
+def pending_verdicts(responses: DataFrame, cache: DataFrame) -> DataFrame:
+    """(key, question, gold_short, answer) that a judge must still decide: ambiguous answers whose key is not in the cache (key, verdict)."""
+    return ambiguous_keys(responses).join(cache.select("key"), "key", "left_anti")
+
+
+def outcomes(graded: DataFrame) -> DataFrame:
+    """Graded rows with the analysis' variables: abstain, overconf, judged (neither review nor error), answered, oos."""
+    judged = ~F.col("state").isin("review", "error")
+    abstain = F.col("state") == "honest_abstain"
+    return graded.withColumns({"abstain": abstain, "overconf": F.col("state") == "overconfident", "judged": judged, "answered": judged & ~abstain, "oos": F.col("q_status") == "oos"})
+
+
+def analysis_sample(rows: DataFrame, models: list[str] | None = None, conditions: list[str] | None = None, balanced: bool = False) -> DataFrame:
+    """Retrieval rows with a known condition; optionally of models that a key names, of listed conditions, or of conditions that every model has."""
+    out = rows.where((F.coalesce("arm", F.lit("rag")) == "rag") & F.col("cov_pct").isNotNull())
+    if models:
+        named = F.lit(False)
+        for key in models:
+            named = named | X.model_matches(F.col("model"), key)
+        out = out.where(named)
+    if conditions:
+        out = out.where(F.col("condition").isin(*conditions))
+    if balanced:
+        from lodestone.operators.corpus import complete_groups
+
+        out = out.join(F.broadcast(complete_groups(out, "condition", "model").select("condition")), "condition")
+    return out
 
 
 def ambiguous_keys(responses: DataFrame) -> DataFrame:
@@ -58,18 +112,22 @@ def majority(votes: DataFrame, n_judges: int | None = None) -> DataFrame:
     return keys.join(best, "key", "left").select("key", F.when(F.col("b.count") > judges / 2, F.col("b.vote")).otherwise("review").alias("verdict"))
 
 
+#: States that count as an answer.
+ANSWERED = ("correct", "partial", "overconfident", "hedged_wrong")
+
+
 def cells(graded: DataFrame, *keys: str) -> DataFrame:
-    """Counts per state, by keys, and accuracy with partial as a half among decided answers."""
+    """Counts per state, by keys; accuracy, partial as a half, among all but review and error (abstentions included); the overconfident share of all."""
     k = lambda s: F.count(F.when(F.col("state") == s, 1)).alias(s)
     states = ("correct", "honest_abstain", "overconfident", "hedged_wrong", "partial", "review", "error")
     g = graded.groupBy(*keys).agg(F.count("*").alias("n"), *map(k, states))
-    decided = F.col("correct") + F.col("partial") + F.col("overconfident") + F.col("hedged_wrong")
-    return g.withColumn("accuracy", F.round(X.share(F.col("correct") + F.col("partial") * 0.5, decided), 6)).withColumn("overconf_rate", F.round(X.share(F.col("overconfident"), F.col("n")), 6))
+    judged = F.col("n") - F.col("review") - F.col("error")
+    return g.withColumn("accuracy", F.round(X.share(F.col("correct") + F.col("partial") * 0.5, judged), 6)).withColumn("overconf_rate", F.round(X.share(F.col("overconfident"), F.col("n")), 6))
 
 
 def calibration(graded: DataFrame, *keys: str) -> DataFrame:
-    """Accuracy of confident and of hesitant answers (answered and decided ones), and the gap."""
-    rows = graded.where("correct is not null and not coalesce(abstained, true)")
+    """Accuracy of confident and of hesitant answers, and the gap: answers only, decided ones with a parsed confidence (an echoed template is none)."""
+    rows = graded.where(F.col("state").isin(*ANSWERED) & F.col("correct").isNotNull() & (F.col("confidence") != ""))
     high = F.col("confidence").isin(*X.CONFIDENT)
     part = lambda c, name: [F.count(F.when(c, 1)).alias(f"n_{name}"), F.count(F.when(c & F.col("correct"), 1)).alias(f"k_{name}")]
     g = rows.groupBy(*keys).agg(*part(high, "high"), *part(~high, "low"))
@@ -78,36 +136,62 @@ def calibration(graded: DataFrame, *keys: str) -> DataFrame:
 
 
 def cell_statistics(facts: DataFrame, *keys: str) -> DataFrame:
-    """(k, n) pairs of six rates, each over its own denominator.
+    """(k, n) pairs of six rates, each over its own denominator; ``facts`` as from ``outcomes``.
 
-    Needs oos, abstain, overconf, correct and cited_ok; null ``correct`` or ``cited_ok`` is in no denominator of its rate.
+    Abstention over all rows; overconfidence and overall correctness over judged rows, unanswerable ones and
+    abstentions included; correctness of answers over answered rows that are decided.
     """
     n = lambda c, name: F.count(F.when(c, 1)).alias(name)
-    oos, abst, decided = F.col("oos"), F.col("abstain"), F.col("correct").isNotNull()
+    oos, abst, judged = F.col("oos"), F.col("abstain"), F.col("judged")
+    answered = F.col("answered") & F.col("correct").isNotNull()
     return facts.groupBy(*keys).agg(
         F.count("*").alias("n"),
         n(abst, "k_abstain"),
-        n(F.col("overconf"), "k_overconf"), n(decided, "n_overconf"),
-        n(~abst & F.col("correct"), "k_correct_answered"), n(~abst & decided, "n_correct_answered"),
-        n(~oos & F.col("correct"), "k_correct_all"), n(~oos & decided, "n_correct_all"),
+        n(judged & F.col("overconf"), "k_overconf"), n(judged, "n_judged"),
+        n(answered & F.col("correct"), "k_correct_answered"), n(answered, "n_correct_answered"),
+        n(judged & F.col("correct"), "k_correct_all"),
         n(F.col("cited_ok"), "k_cited"), n(F.col("cited_ok").isNotNull(), "n_cited"),
         n(oos & abst, "k_oos_abstain"), n(oos, "n_oos"),
     )
 
 
+def closed_book(facts: DataFrame, condition: str, word: str = "높음") -> DataFrame:
+    """Per model with closed-book rows: how many of those, and of the retrieval rows under ``condition``, state the confidence, and Fisher's p.
+
+    One aggregate by model; models without both kinds of row are left out.
+    """
+    from lodestone.operators.stats import fisher
+
+    closed, said = F.col("arm") == "closedbook", F.col("confidence") == word
+    rag = ~closed & (F.col("condition") == condition) & F.col("cov_pct").isNotNull()
+    n = lambda c, name: F.count(F.when(c, 1)).alias(name)
+    g = facts.withColumn("arm", F.coalesce("arm", F.lit("rag"))).groupBy("model").agg(n(closed & said, "k_closed"), n(closed, "n_closed"), n(rag & said, "k_rag"), n(rag, "n_rag")).where("n_closed > 0 and n_rag > 0")
+    return g.withColumn("p", F.round(fisher(F.col("k_closed"), F.col("n_closed") - F.col("k_closed"), F.col("k_rag"), F.col("n_rag") - F.col("k_rag")), 9))
+
+
 def truncation_suspects(responses: DataFrame, predict: int) -> DataFrame:
     return responses.withColumn("trunc_suspect", F.coalesce(F.col("prompt_eval_count") >= F.col("num_ctx") - predict - 16, F.lit(False)))
 
 
+#: Fixed value: how answers of failed runs begin in older response files.
+LEGACY_FAILURE = "[생성 실패"
+
+
 def run_summary(responses: DataFrame, *keys: str) -> DataFrame:
-    bad = F.coalesce(F.col("error"), F.lit("")) != ""
-    return responses.groupBy(*keys).agg(F.count("*").alias("n"), F.count(F.when(~bad, 1)).alias("n_ok"), F.count(F.when(bad, 1)).alias("n_error"), F.count(F.when(F.col("trunc_suspect"), 1)).alias("n_trunc"), F.max("prompt_eval_count").alias("max_prompt_tokens"))
+    """n, n_ok (an answer that is not blank), n_error, n_trunc and the longest prompt."""
+    bad, said = F.coalesce(F.col("error"), F.lit("")) != "", X.strip(F.coalesce("raw_answer", F.lit(""))) != ""
+    return responses.groupBy(*keys).agg(F.count("*").alias("n"), F.count(F.when(said, 1)).alias("n_ok"), F.count(F.when(bad, 1)).alias("n_error"), F.count(F.when(F.col("trunc_suspect"), 1)).alias("n_trunc"), F.max("prompt_eval_count").alias("max_prompt_tokens"))
+
+
+def failed_response() -> Column:
+    """An error, a blank answer, or an answer that begins with the older failure text."""
+    raw = F.coalesce("raw_answer", F.lit(""))
+    return (F.coalesce(F.col("error"), F.lit("")) != "") | (X.strip(raw) == "") | raw.startswith(LEGACY_FAILURE)
 
 
 def finished(responses: DataFrame, key: str, n_questions: int) -> DataFrame:
-    """(key, done): as many rows as questions, and none with an error or a blank answer."""
-    bad = (F.coalesce(F.col("error"), F.lit("")) != "") | (F.trim(F.coalesce("raw_answer", F.lit(""))) == "")
-    g = responses.groupBy(key).agg(F.count("*").alias("n"), F.count(F.when(bad, 1)).alias("n_bad"))
+    """(key, done): as many rows as questions, and no failed response."""
+    g = responses.groupBy(key).agg(F.count("*").alias("n"), F.count(F.when(failed_response(), 1)).alias("n_bad"))
     return g.select(key, ((F.col("n") >= n_questions) & (F.col("n_bad") == 0)).alias("done"))
 
 
@@ -124,8 +208,8 @@ def label_flips(a: DataFrame, b: DataFrame, *keys: str) -> DataFrame:
     return left.join(right, list(keys)).groupBy("before", "after").agg(F.count("*").alias("n"))
 
 
-def overconfidence_split(graded: DataFrame, *keys: str) -> DataFrame:
-    """Overconfident answers among questions with and without an answer in scope."""
-    over = F.col("state") == "overconfident"
+def overconfidence_split(facts: DataFrame, *keys: str) -> DataFrame:
+    """Overconfident answers among judged rows, in scope and out of it; ``facts`` as from ``outcomes``."""
+    oos, over = F.col("oos"), F.col("overconf")
     n = lambda c, name: F.count(F.when(c, 1)).alias(name)
-    return graded.groupBy(*keys).agg(n(F.col("answerable"), "n_in_scope"), n(F.col("answerable") & over, "k_in_scope"), n(~F.col("answerable"), "n_out"), n(~F.col("answerable") & over, "k_out"))
+    return facts.where("judged").groupBy(*keys).agg(n(~oos, "n_in_scope"), n(~oos & over, "k_in_scope"), n(oos, "n_out"), n(oos & over, "k_out"))

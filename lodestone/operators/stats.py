@@ -27,7 +27,14 @@ def format_interval(k: Column, n: Column) -> Column:
 
 
 def _log_factorial(n: Column) -> Column:
-    return F.aggregate(F.when(n >= 2, F.sequence(F.lit(2).cast("long"), n.cast("long"))).otherwise(F.array().cast("array<bigint>")), F.lit(0.0), lambda s, i: s + F.log(i.cast("double")))
+    """log n! by Stirling's series at n + 8, taken down by the seven factors above n."""
+    n = n.cast("double")
+    x = n + 8
+    series = (x - 0.5) * F.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5) - 1 / (1680 * x**7) + 1 / (1188 * x**9)
+    above = n + 1
+    for i in range(2, 8):
+        above = above * (n + i)
+    return series - F.log(above)
 
 
 def mcnemar(b: Column, c: Column) -> Column:
@@ -77,6 +84,15 @@ def logit_cluster(data: DataFrame, outcome: str, predictors: Sequence[str], clus
     names = ["const", *predictors]
     k = len(names)
     rows = data.select(*(F.col(c).cast("double").alias(f"x{i + 1}") for i, c in enumerate(predictors)), F.col(outcome).cast("double").alias("y"), F.col(cluster).alias("g")).dropna().withColumn("x0", F.lit(1.0))
+    rows = rows.persist()  # read in every round; k + 2 columns
+    try:
+        return _newton(rows, names, rounds, tol, ridge)
+    finally:
+        rows.unpersist()
+
+
+def _newton(rows: DataFrame, names: list[str], rounds: int, tol: float, ridge: float) -> list[dict]:
+    k = len(names)
     xs = [F.col(f"x{i}") for i in range(k)]
     beta = np.zeros(k)
 
@@ -115,13 +131,66 @@ def logit_cluster(data: DataFrame, outcome: str, predictors: Sequence[str], clus
 
 
 def contrasts(facts: DataFrame, pair: str, unit: str, pairs: Sequence[tuple[str, str]], metrics: Sequence[str], least: int = 10) -> DataFrame:
-    """One row a (pair, metric): discordant counts and exact p, where at least ``least`` units are paired."""
-    out = None
-    for first, second in pairs:
-        for metric in metrics:
-            one = discordant(facts, pair, unit, metric, first, second).select(F.lit(first).alias("first"), F.lit(second).alias("second"), F.lit(metric).alias("metric"), "*")
-            out = one if out is None else out.unionByName(one)
-    return out.where(F.col("n") >= least).withColumn("p", mcnemar(F.col("b"), F.col("c")))
+    """One row a (pair, metric): discordant counts and exact p, where at least ``least`` units are paired.
+
+    One aggregate by unit and one over units, whatever the number of pairs and metrics.
+    """
+    levels = sorted({x for p in pairs for x in p})
+    v = lambda level, metric: f"v{levels.index(level)}_{metrics.index(metric)}"
+    units = facts.where(F.col(pair).isin(*levels)).groupBy(unit).agg(*(F.max(F.when(F.col(pair) == x, F.col(m).cast("int"))).alias(v(x, m)) for x in levels for m in metrics))
+
+    def counts(first: str, second: str, metric: str) -> Column:
+        x, z = F.col(v(first, metric)), F.col(v(second, metric))
+        n = lambda c, name: F.count(F.when(c, 1)).alias(name)
+        return F.struct(F.lit(first).alias("first"), F.lit(second).alias("second"), F.lit(metric).alias("metric"), n(x.isNotNull() & z.isNotNull(), "n"), n((x == 1) & (z == 1), "both"), n((x == 1) & (z == 0), "b"), n((x == 0) & (z == 1), "c"), n((x == 0) & (z == 0), "neither"))
+
+    found = units.agg(F.array(*(counts(a, b, m) for a, b in pairs for m in metrics)).alias("all")).select(F.inline("all"))
+    return found.where(F.col("n") >= least).withColumn("p", mcnemar(F.col("b"), F.col("c")))
+
+
+#: Outcomes of the regressions: name, rows, 0/1 column.
+OUTCOMES = (
+    ("cite_ok", "cited_ok is not null", "cited_ok"),
+    ("correct_answered", "answered and correct is not null", "correct"),
+    ("overconf_answered", "answered", "overconf"),
+    ("abstain", "true", "abstain"),
+    ("correct_all", "judged and correct is not null", "correct"),
+    ("overconf_all", "judged", "overconf"),
+    ("oos_abstain", "oos", "abstain"),
+)
+
+
+def regression_samples(facts: DataFrame, least: int = 50, events: int = 10, oos_clusters: int = 5) -> DataFrame:
+    """(outcome, n, events, n_clusters, fits): of each outcome's rows with known predictors, whether a regression can be fitted.
+
+    It takes ``least`` rows, and ``events`` events and non-events; the one on unanswerable questions ``oos_clusters`` questions too.
+    One pass: outcomes are conditions of one aggregate.
+    """
+    known = F.col("cov_pct").isNotNull() & F.col("char_pct").isNotNull()
+    parts = []
+    for name, rows, y in OUTCOMES:
+        here = known & F.expr(rows)
+        parts.append(F.struct(F.lit(name).alias("outcome"), F.count(F.when(here, 1)).alias("n"), F.count(F.when(here & F.col(y), 1)).alias("events"), F.countDistinct(F.when(here, F.col("qid"))).alias("n_clusters")))
+    found = facts.agg(F.array(*parts).alias("all")).select(F.inline("all"))
+    enough = (F.col("n") >= least) & (F.col("events") >= events) & (F.col("n") - F.col("events") >= events)
+    return found.withColumn("fits", enough & ((F.col("outcome") != "oos_abstain") | (F.col("n_clusters") >= oos_clusters)))
+
+
+def regressions(facts: DataFrame, **guards: int) -> list[dict]:
+    """Terms of all regressions that can be fitted: coverage and characters per ten points, and a dummy for each model but the first, errors clustered by question."""
+    fits = {r["outcome"] for r in regression_samples(facts, **guards).collect() if r["fits"]}
+    out = []
+    for name, rows, y in OUTCOMES:
+        if name not in fits:
+            continue
+        data = facts.where(rows).where("cov_pct is not null and char_pct is not null")
+        models = sorted(r[0] for r in data.select("model").distinct().collect())
+        dummies = {f"model={m}": (F.col("model") == m).cast("int") for m in models[1:]}
+        data = data.select("qid", F.col(y).cast("int").alias("y"), (F.col("cov_pct") / 10).alias("cov10"), (F.col("char_pct") / 10).alias("char10"), *(c.alias(f"d{i}") for i, c in enumerate(dummies.values())))
+        terms = logit_cluster(data, "y", ["cov10", "char10", *(f"d{i}" for i in range(len(dummies)))], "qid")
+        names = {f"d{i}": m for i, m in enumerate(dummies)}
+        out += [{"outcome": name} | t | {"term": names.get(t["term"], t["term"])} for t in terms]
+    return out
 
 
 def fit_ready(data: DataFrame, outcome: str, least: int = 50, events: int = 10) -> bool:

@@ -12,62 +12,146 @@ from lodestone.operators import slots as S
 from lodestone.plans.tables import table
 from lodestone.registry import query
 
+#: What responses state as their confidence, by turns: the four words, an echoed template, something else.
 _CONF = ["높음", "중간", "낮음", "모름", "<높음|중간>", "아마"]
-_RESP = """
-rs AS (SELECT doc_id AS qid, source AS model, lang AS condition, doc_id % 11 AS m, CASE WHEN doc_id % 13 = 0 THEN '근거가 없어 확인할 수 없음' ELSE text || ' ' || CAST(doc_id % 5 AS VARCHAR) END AS ans,
- '제' || CAST(doc_id % 7 + 1 AS VARCHAR) || '조' AS basis, ['높음', '중간', '낮음', '모름', '<높음|중간>', '아마'][CAST(doc_id % 6 AS INTEGER) + 1] AS cr,
- text || CASE WHEN doc_id % 3 = 0 THEN ' ' || CAST(doc_id % 4 AS VARCHAR) ELSE '' END AS gold, doc_id % 9 <> 0 AS answerable FROM documents),
-pa AS (SELECT *, trim(ans) AS a, CASE WHEN cr LIKE '<%' THEN '' WHEN cr = '아마' THEN '' ELSE cr END AS conf, CASE WHEN cr LIKE '<%' THEN 'template_echo' WHEN cr = '아마' THEN 'unparsed' ELSE 'ok' END AS conf_parse FROM rs),
-kw AS (SELECT *, doc_tok(gold) AS gtok, doc_tok(a) AS atok FROM pa)
-""".replace("doc_tok(gold)", r"list_distinct(list_filter(regexp_split_to_array(gold, '[^\p{L}\p{N}_]+'), lambda w: length(w) >= 2))").replace("doc_tok(a)", r"list_distinct(list_filter(regexp_split_to_array(a, '[^\p{L}\p{N}_]+'), lambda w: length(w) >= 2))")
-_GRADED = _RESP + r""",
-km AS (SELECT *, len(list_intersect(gtok, atok)) / len(gtok) AS ratio, list_distinct(regexp_extract_all(gold, '[0-9]+')) AS ng, list_distinct(regexp_extract_all(a, '[0-9]+')) AS na,
- (a || ' ' || basis LIKE '%확인할 수 없%' OR a || ' ' || basis LIKE '%모르%' OR conf = '모름') AS abst FROM kw),
-vd AS (SELECT *, CASE WHEN gold = '' OR len(gtok) = 0 THEN 'ambiguous' WHEN len(ng) > 0 THEN CASE WHEN len(list_intersect(ng, na)) = 0 THEN 'no' WHEN ratio >= 0.3 THEN 'yes' ELSE 'ambiguous' END WHEN ratio >= 0.7 THEN 'yes' ELSE 'ambiguous' END AS kwv FROM km),
-gr AS (SELECT qid, model, condition, conf AS confidence, conf_parse, abst AS abstained, answerable,
- CASE WHEN abst THEN 'honest_abstain' WHEN NOT answerable OR kwv = 'no' THEN CASE WHEN conf IN ('높음', '중간') THEN 'overconfident' ELSE 'hedged_wrong' END WHEN kwv = 'yes' THEN 'correct' ELSE 'review' END AS state,
- CASE WHEN NOT answerable THEN abst WHEN abst THEN m > 3 WHEN kwv = 'yes' THEN true WHEN kwv = 'no' THEN false END AS correct,
- CASE WHEN answerable AND NOT abst THEN basis = '제' || CAST(qid % 5 + 1 AS VARCHAR) || '조' END AS cited_ok FROM vd)
+#: How a response is written, by turns: A the answer, B its basis, C the confidence.
+_SHAPES = ["<think>생각</think>답: A\n근거: B\n확신도: C", "답: A\n근거: B\n확신도: C", "<think>끝나지 않은 생각\n답: A\n근거: B\n확신도: C", "A", "답: A\n확신도: C", "답：A\n근거：B\n확신도：C", "근거: B\n답: A\n확신도: C"]
+
+_TOKENS = r"list_distinct(list_filter(regexp_split_to_array({0}, '[^\p{{L}}\p{{N}}_]+'), lambda w: length(w) >= 2))"
+_GRADED = rf"""
+rs AS (SELECT doc_id AS qid, source AS model, lang AS condition, CASE WHEN doc_id % 17 = 0 THEN 'closedbook' ELSE 'rag' END AS arm, coalesce(doc_id % 19 = 0, false) AS failed, doc_id % 23 = 0 AS blank, doc_id % 7 AS shape,
+ CASE WHEN doc_id % 13 = 0 THEN '근거가 없어 확인할 수 없음' ELSE coalesce(text, '') || ' ' || CAST(doc_id % 5 AS VARCHAR) END AS ans, ['높음', '중간', '낮음', '모름', '<높음|중간>', '아마'][CAST(doc_id % 6 AS INTEGER) + 1] AS said,
+ CASE WHEN doc_id % 10 = 0 THEN 'oos' WHEN doc_id % 11 <= 3 THEN 'full' ELSE 'none' END AS own_status, doc_id % 10 <> 0 AS answerable,
+ CASE doc_id % 4 WHEN 0 THEN coalesce(text, '') || ' ' || CAST(doc_id % 3 AS VARCHAR) WHEN 1 THEN translate(coalesce(text, ''), 'aeiou', 'uoiea') WHEN 2 THEN '' ELSE coalesce(text, '') END AS gold
+ FROM documents WHERE doc_id % 29 <> 0),
+pa AS (SELECT * EXCLUDE (said), CASE WHEN blank THEN '' ELSE regexp_replace(ans, '^\s+|\s+$', '', 'g') END AS a, CASE WHEN blank OR shape IN (3, 4) THEN '' ELSE '제' || CAST(qid % 7 + 1 AS VARCHAR) || '조' END AS basis,
+ CASE WHEN blank OR shape = 3 THEN 'missing' WHEN said LIKE '<%' THEN 'template_echo' WHEN said = '아마' THEN 'unparsed' ELSE 'ok' END AS conf_parse, CASE WHEN blank OR shape = 3 OR said LIKE '<%' OR said = '아마' THEN '' ELSE said END AS conf,
+ CASE WHEN qid % 3 = 0 THEN ['surrogate', 'none', 'partial', 'full'][CAST(qid % 4 AS INTEGER) + 1] ELSE own_status END AS q_status FROM rs),
+kw AS (SELECT *, {_TOKENS.format('gold')} AS gtok, {_TOKENS.format('a')} AS atok, list_distinct(regexp_extract_all(gold, '[0-9]+')) AS ng, list_distinct(regexp_extract_all(a, '[0-9]+')) AS na,
+ a LIKE '%확인할 수 없%' OR conf = '모름' AS abst FROM pa),
+vd AS (SELECT *, CASE WHEN gold = '' OR len(gtok) = 0 THEN 'ambiguous' WHEN len(ng) > 0 THEN CASE WHEN len(list_intersect(ng, na)) = 0 THEN 'no' WHEN len(list_intersect(gtok, atok)) / len(gtok) >= 0.3 THEN 'yes' ELSE 'ambiguous' END WHEN len(list_intersect(gtok, atok)) / len(gtok) >= 0.7 THEN 'yes' ELSE 'ambiguous' END AS rule FROM kw),
+ju AS (SELECT *, CASE WHEN rule <> 'ambiguous' THEN rule ELSE ['yes', 'partial', 'no', 'review', 'review'][CAST(qid % 5 AS INTEGER) + 1] END AS verdict FROM vd),
+gr AS (SELECT qid, model, condition, arm, q_status, conf AS confidence, conf_parse, CASE WHEN NOT failed THEN abst END AS abstained, answerable,
+ CASE WHEN failed THEN 'none' WHEN NOT answerable THEN 'oos_rule' WHEN abst THEN 'abstain_rule' WHEN rule <> 'ambiguous' THEN 'keyword' WHEN verdict <> 'review' THEN 'judge' ELSE 'pending' END AS acc_method,
+ CASE WHEN failed THEN 'error' WHEN abst THEN 'honest_abstain' WHEN NOT answerable OR verdict = 'no' THEN CASE WHEN conf IN ('높음', '중간') THEN 'overconfident' ELSE 'hedged_wrong' END WHEN verdict = 'yes' THEN 'correct' WHEN verdict = 'partial' THEN 'partial' ELSE 'review' END AS state,
+ CASE WHEN failed THEN NULL WHEN NOT answerable THEN abst WHEN abst THEN q_status NOT IN ('full', 'partial', 'surrogate') WHEN verdict IN ('yes', 'partial') THEN true WHEN verdict = 'no' THEN false END AS correct,
+ CASE WHEN NOT failed AND answerable AND NOT abst THEN basis = '제' || CAST(qid % 5 + 1 AS VARCHAR) || '조' END AS cited_ok FROM ju),
+me(condition, cov_pct, char_pct) AS (VALUES ('en', 100.0, 80.0), ('de', 70.0, 55.5), ('fr', 40.0, 30.0)),
+fa AS (SELECT gr.*, cov_pct, char_pct, state = 'honest_abstain' AS abstain, state = 'overconfident' AS overconf, state NOT IN ('review', 'error') AS judged, state NOT IN ('review', 'error', 'honest_abstain') AS answered, q_status = 'oos' AS oos FROM gr LEFT JOIN me ON me.condition = gr.condition),
+rag AS (SELECT * FROM fa WHERE arm = 'rag' AND cov_pct IS NOT NULL)
 """
 
 
 def responses(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents")
+    """A response to each document as its own question, in every shape that models answer in, some failed or blank."""
+    i, text = F.col("doc_id"), F.coalesce("text", F.lit(""))
+    answer = F.when(i % 13 == 0, "근거가 없어 확인할 수 없음").otherwise(F.concat(text, F.lit(" "), (i % 5).cast("string")))
+    pick = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (i % n + 1).cast("int"))
+    basis = F.concat(F.lit("제"), (i % 7 + 1).cast("string"), F.lit("조"))
+    raw = F.replace(F.replace(F.replace(pick(_SHAPES, 7), F.lit("C"), pick(_CONF, 6)), F.lit("B"), basis), F.lit("A"), answer)
+    status = F.when(i % 10 == 0, "oos").when(i % 11 <= 3, "full").otherwise("none")
+    arm = F.when(i % 17 == 0, "closedbook").otherwise("rag")
+    return table(spark, sf, "documents").select(i.alias("qid"), F.col("source").alias("model"), F.col("lang").alias("condition"), arm.alias("arm"), F.when(i % 23 == 0, " \n").otherwise(raw).alias("raw_answer"), F.when(i % 19 == 0, "timeout").alias("error"), status.alias("q_status"))
+
+
+def slots(spark: SparkSession, sf: str) -> DataFrame:
+    i, text = F.col("doc_id"), F.coalesce("text", F.lit(""))
+    gold = F.when(i % 4 == 0, F.concat(text, F.lit(" "), (i % 3).cast("string"))).when(i % 4 == 1, F.translate(text, "aeiou", "uoiea")).when(i % 4 == 2, "").otherwise(text)
+    return table(spark, sf, "documents").where(i % 29 != 0).select(i.alias("qid"), (i % 10 != 0).alias("answerable"), gold.alias("gold_short"), F.concat(F.lit("q"), i.cast("string")).alias("question"), F.array((i % 5 + 1).cast("string")).alias("gold_articles"), F.lit(1).alias("level"))
+
+
+def graded(spark: SparkSession, sf: str) -> DataFrame:
+    """Responses graded with content statuses for a third of them and a judge's verdicts on three of five ambiguous answers."""
     i = F.col("doc_id")
-    answer = F.when(i % 13 == 0, "근거가 없어 확인할 수 없음").otherwise(F.concat("text", F.lit(" "), (i % 5).cast("string")))
-    conf = F.element_at(F.array(*map(F.lit, _CONF)), (i % 6 + 1).cast("int"))
-    raw = F.concat(F.lit("<think>생각</think>답: "), answer, F.lit("\n근거: 제"), (i % 7 + 1).cast("string"), F.lit("조\n확신도: "), conf)
-    status = F.when(i % 11 <= 3, "full").otherwise("none")
-    gold = F.concat("text", F.when(i % 3 == 0, F.concat(F.lit(" "), (i % 4).cast("string"))).otherwise(""))
-    return d.select(i.alias("qid"), F.col("source").alias("model"), F.col("lang").alias("condition"), raw.alias("raw_answer"), F.lit(None).cast("string").alias("error"), (i % 9 != 0).alias("answerable"), gold.alias("gold_short"), F.lit("").alias("question"), F.array((i % 5 + 1).cast("string")).alias("gold_articles"), status.alias("q_status"))
+    content = table(spark, sf, "documents").where(i % 3 == 0).select(F.col("lang").alias("condition"), i.alias("qid"), F.element_at(F.array(*map(F.lit, ("surrogate", "none", "partial", "full"))), (i % 4 + 1).cast("int")).alias("status"))
+    rows = G.with_slots(responses(spark, sf), slots(spark, sf), content)
+    n = F.substring("question", 2, 30).cast("long") % 5
+    asked = G.ambiguous_keys(rows)
+    return G.classify(rows, asked.where(n < 3).select("key", F.when(n == 0, "yes").when(n == 1, "partial").otherwise("no").alias("verdict")))
 
 
-@query("graded_answers", f"WITH {_GRADED} SELECT qid, state, correct, abstained, cited_ok, confidence, conf_parse FROM gr")
+def analysed(spark: SparkSession, sf: str) -> DataFrame:
+    meta = spark.createDataFrame([("en", 100.0, 80.0), ("de", 70.0, 55.5), ("fr", 40.0, 30.0)], "condition string, cov_pct double, char_pct double")
+    return G.outcomes(G.with_condition_meta(graded(spark, sf), meta))
+
+
+@query("graded_answers", f"WITH {_GRADED} SELECT qid, state, correct, abstained, cited_ok, confidence, conf_parse, acc_method, q_status FROM gr")
 def graded_answers(spark: SparkSession, sf: str) -> DataFrame:
-    return G.classify(responses(spark, sf)).select("qid", "state", "correct", "abstained", "cited_ok", "confidence", "conf_parse")
+    return graded(spark, sf).select("qid", "state", "correct", "abstained", "cited_ok", "confidence", "conf_parse", "acc_method", "q_status")
+
+
+@query("pending_verdicts", f"WITH {_GRADED} SELECT qid, rule FROM vd WHERE NOT failed AND answerable AND NOT abst AND rule = 'ambiguous' AND qid % 5 <> 0")
+def pending_verdicts(spark: SparkSession, sf: str) -> DataFrame:
+    """Ambiguous answers that a cache of verdicts, which has every fifth question, does not decide."""
+    rows = G.with_slots(responses(spark, sf), slots(spark, sf), spark.createDataFrame([], "condition string, qid long, status string"))
+    qid = F.substring("question", 2, 30).cast("long")
+    cache = G.ambiguous_keys(rows).where(qid % 5 == 0).select("key", F.lit("yes").alias("verdict"))
+    return G.pending_verdicts(rows, cache).select(qid.alias("qid"), F.lit("ambiguous").alias("rule"))
 
 
-@query("grade_cells", f"WITH {_GRADED} SELECT condition, model, count(*) AS n, count(*) FILTER (WHERE state = 'correct') AS correct, count(*) FILTER (WHERE state = 'honest_abstain') AS honest_abstain, count(*) FILTER (WHERE state = 'overconfident') AS overconfident, count(*) FILTER (WHERE state = 'hedged_wrong') AS hedged_wrong, count(*) FILTER (WHERE state = 'partial') AS partial, count(*) FILTER (WHERE state = 'review') AS review, count(*) FILTER (WHERE state = 'error') AS error, round(count(*) FILTER (WHERE state = 'correct') / nullif(count(*) FILTER (WHERE state IN ('correct', 'partial', 'overconfident', 'hedged_wrong')), 0), 6) AS accuracy, round(count(*) FILTER (WHERE state = 'overconfident') / count(*), 6) AS overconf_rate FROM gr GROUP BY condition, model")
+_ANSWERED = "('correct', 'partial', 'overconfident', 'hedged_wrong')"
+
+
+@query("grade_cells", f"WITH {_GRADED}, c AS (SELECT condition, model, count(*) AS n, " + ", ".join(f"count(*) FILTER (WHERE state = '{x}') AS {x}" for x in ("correct", "honest_abstain", "overconfident", "hedged_wrong", "partial", "review", "error")) + " FROM gr GROUP BY condition, model) SELECT *, round((correct + 0.5 * partial) / nullif(n - review - error, 0), 6) AS accuracy, round(overconfident / n, 6) AS overconf_rate FROM c")
 def grade_cells(spark: SparkSession, sf: str) -> DataFrame:
-    return G.cells(G.classify(responses(spark, sf)), "condition", "model")
+    return G.cells(graded(spark, sf), "condition", "model")
 
 
-@query("calibration", f"WITH {_GRADED}, c AS (SELECT condition, confidence IN ('높음', '중간') AS high, correct FROM gr WHERE correct IS NOT NULL AND NOT abstained), g AS (SELECT condition, count(*) FILTER (WHERE high) AS n_high, count(*) FILTER (WHERE high AND correct) AS k_high, count(*) FILTER (WHERE NOT high) AS n_low, count(*) FILTER (WHERE NOT high AND correct) AS k_low FROM c GROUP BY condition) SELECT *, round(k_high / nullif(n_high, 0), 6) AS acc_high, round(k_low / nullif(n_low, 0), 6) AS acc_low, round(round(k_high / nullif(n_high, 0), 6) - round(k_low / nullif(n_low, 0), 6), 6) AS gap FROM g")
+@query("calibration", f"WITH {_GRADED}, c AS (SELECT condition, model, confidence IN ('높음', '중간') AS high, correct FROM gr WHERE state IN {_ANSWERED} AND correct IS NOT NULL AND confidence <> ''), g AS (SELECT condition, model, count(*) FILTER (WHERE high) AS n_high, count(*) FILTER (WHERE high AND correct) AS k_high, count(*) FILTER (WHERE NOT high) AS n_low, count(*) FILTER (WHERE NOT high AND correct) AS k_low FROM c GROUP BY condition, model) SELECT *, round(k_high / nullif(n_high, 0), 6) AS acc_high, round(k_low / nullif(n_low, 0), 6) AS acc_low, round(round(k_high / nullif(n_high, 0), 6) - round(k_low / nullif(n_low, 0), 6), 6) AS gap FROM g")
 def calibration(spark: SparkSession, sf: str) -> DataFrame:
-    return G.calibration(G.classify(responses(spark, sf)), "condition")
+    return G.calibration(graded(spark, sf), "condition", "model")
 
 
 @query("confidence_distribution", f"WITH {_GRADED} SELECT model, CASE WHEN confidence = '' THEN '[' || conf_parse || ']' ELSE confidence END AS confidence, count(*) AS n FROM gr GROUP BY 1, 2")
 def confidence_distribution(spark: SparkSession, sf: str) -> DataFrame:
-    g = G.classify(responses(spark, sf))
     said = F.when(F.col("confidence") == "", F.concat(F.lit("["), F.col("conf_parse"), F.lit("]"))).otherwise(F.col("confidence"))
-    return g.groupBy("model", said.alias("confidence")).agg(F.count("*").alias("n"))
+    return graded(spark, sf).groupBy("model", said.alias("confidence")).agg(F.count("*").alias("n"))
+
+
+@query("citation_rates", f"WITH {_GRADED} SELECT model, condition, count(*) FILTER (WHERE cited_ok) AS k, count(*) AS n FROM gr WHERE cited_ok IS NOT NULL GROUP BY model, condition")
+def citation_rates(spark: SparkSession, sf: str) -> DataFrame:
+    return graded(spark, sf).where("cited_ok is not null").groupBy("model", "condition").agg(F.count(F.when(F.col("cited_ok"), 1)).alias("k"), F.count("*").alias("n"))
 
 
-@query("cell_statistics", f"WITH {_GRADED}, f AS (SELECT *, NOT answerable AS oos, state = 'honest_abstain' AS abstain, state = 'overconfident' AS overconf FROM gr) SELECT condition, count(*) AS n, count(*) FILTER (WHERE abstain) AS k_abstain, count(*) FILTER (WHERE overconf) AS k_overconf, count(*) FILTER (WHERE correct IS NOT NULL) AS n_overconf, count(*) FILTER (WHERE NOT abstain AND correct) AS k_correct_answered, count(*) FILTER (WHERE NOT abstain AND correct IS NOT NULL) AS n_correct_answered, count(*) FILTER (WHERE NOT oos AND correct) AS k_correct_all, count(*) FILTER (WHERE NOT oos AND correct IS NOT NULL) AS n_correct_all, count(*) FILTER (WHERE cited_ok) AS k_cited, count(*) FILTER (WHERE cited_ok IS NOT NULL) AS n_cited, count(*) FILTER (WHERE oos AND abstain) AS k_oos_abstain, count(*) FILTER (WHERE oos) AS n_oos FROM f GROUP BY condition")
+@query("cell_statistics", f"WITH {_GRADED} SELECT model, condition, count(*) AS n, count(*) FILTER (WHERE abstain) AS k_abstain, count(*) FILTER (WHERE judged AND overconf) AS k_overconf, count(*) FILTER (WHERE judged) AS n_judged, count(*) FILTER (WHERE answered AND correct) AS k_correct_answered, count(*) FILTER (WHERE answered AND correct IS NOT NULL) AS n_correct_answered, count(*) FILTER (WHERE judged AND correct) AS k_correct_all, count(*) FILTER (WHERE cited_ok) AS k_cited, count(*) FILTER (WHERE cited_ok IS NOT NULL) AS n_cited, count(*) FILTER (WHERE oos AND abstain) AS k_oos_abstain, count(*) FILTER (WHERE oos) AS n_oos FROM rag GROUP BY model, condition")
 def cell_statistics(spark: SparkSession, sf: str) -> DataFrame:
-    g = G.classify(responses(spark, sf))
-    return G.cell_statistics(g.withColumn("oos", ~F.col("answerable")).withColumn("abstain", F.col("state") == "honest_abstain").withColumn("overconf", F.col("state") == "overconfident"), "condition")
+    return G.cell_statistics(G.analysis_sample(analysed(spark, sf)), "model", "condition")
+
+
+@query("balanced_sample", f"WITH {_GRADED}, k AS (SELECT condition FROM rag WHERE regexp_matches(model, '(^|[^0-9a-z])src[12]$') GROUP BY condition HAVING count(DISTINCT model) = (SELECT count(DISTINCT model) FROM rag WHERE regexp_matches(model, '(^|[^0-9a-z])src[12]$'))) SELECT qid, model, condition, judged, answered, oos FROM rag WHERE regexp_matches(model, '(^|[^0-9a-z])src[12]$') AND condition IN (SELECT condition FROM k) AND condition IN ('en', 'fr')")
+def balanced_sample(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of two models, under listed conditions that both have."""
+    rows = analysed(spark, sf)
+    rows = rows.where(F.col("model").rlike("src[12]$"))
+    return G.analysis_sample(rows, models=["src1", "src2"], conditions=["en", "fr"], balanced=True).select("qid", "model", "condition", "judged", "answered", "oos")
+
+
+@query("regression_samples", f"""WITH {_GRADED}, o AS (SELECT 'cite_ok' AS outcome, qid, cited_ok AS y FROM rag WHERE cited_ok IS NOT NULL UNION ALL SELECT 'correct_answered', qid, correct FROM rag WHERE answered AND correct IS NOT NULL UNION ALL SELECT 'overconf_answered', qid, overconf FROM rag WHERE answered UNION ALL SELECT 'abstain', qid, abstain FROM rag
+ UNION ALL SELECT 'correct_all', qid, correct FROM rag WHERE judged AND correct IS NOT NULL UNION ALL SELECT 'overconf_all', qid, overconf FROM rag WHERE judged UNION ALL SELECT 'oos_abstain', qid, abstain FROM rag WHERE oos),
+v(outcome) AS (VALUES ('cite_ok'), ('correct_answered'), ('overconf_answered'), ('abstain'), ('correct_all'), ('overconf_all'), ('oos_abstain')),
+s AS (SELECT v.outcome, count(o.outcome) AS n, count(*) FILTER (WHERE y) AS events, count(DISTINCT qid) AS n_clusters FROM v LEFT JOIN o ON o.outcome = v.outcome GROUP BY v.outcome) SELECT *, n >= 50 AND events >= 10 AND n - events >= 10 AND (outcome <> 'oos_abstain' OR n_clusters >= 5) AS fits FROM s""")
+def regression_samples(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.regression_samples(G.analysis_sample(analysed(spark, sf)))
+
+
+@query("regressions")
+def regressions(spark: SparkSession, sf: str) -> DataFrame:
+    """All outcomes on coverage, characters and models. Newton steps are beyond SQL; tests hold them against numpy on gathered rows."""
+    facts = G.analysis_sample(analysed(spark, sf)).withColumn("model", F.substring("model", 1, 4))
+    rows = stats.regressions(facts.select("qid", "model", "cov_pct", "char_pct", "cited_ok", "answered", "judged", "correct", "overconf", "abstain", "oos").persist())
+    return spark.createDataFrame([tuple(r.values()) for r in rows], "outcome string, term string, coef double, se double, z double, p double, odds_ratio double, ci_lo double, ci_hi double")
+
+
+_LF = "lgamma({0} + 1)"
+
+
+@query("closed_book_contrast", f"""WITH {_GRADED}, g AS (SELECT model, count(*) FILTER (WHERE arm = 'closedbook' AND confidence = '높음') AS k_closed, count(*) FILTER (WHERE arm = 'closedbook') AS n_closed, count(*) FILTER (WHERE arm = 'rag' AND condition = 'en' AND confidence = '높음') AS k_rag, count(*) FILTER (WHERE arm = 'rag' AND condition = 'en') AS n_rag FROM fa GROUP BY model HAVING count(*) FILTER (WHERE arm = 'closedbook') > 0 AND count(*) FILTER (WHERE arm = 'rag' AND condition = 'en') > 0),
+x AS (SELECT *, n_closed + n_rag AS t, k_closed + k_rag AS c1, unnest(range(greatest(0, k_closed + k_rag - n_rag), least(n_closed, k_closed + k_rag) + 1)) AS i FROM g),
+l AS (SELECT *, lgamma(n_closed + 1) + lgamma(n_rag + 1) + lgamma(c1 + 1) + lgamma(t - c1 + 1) - lgamma(t + 1) AS f FROM x),
+q AS (SELECT *, f - lgamma(i + 1) - lgamma(n_closed - i + 1) - lgamma(c1 - i + 1) - lgamma(n_rag - c1 + i + 1) AS lp, f - lgamma(k_closed + 1) - lgamma(n_closed - k_closed + 1) - lgamma(k_rag + 1) - lgamma(n_rag - k_rag + 1) AS seen FROM l)
+SELECT model, k_closed, n_closed, k_rag, n_rag, round(least(1, sum(CASE WHEN lp <= seen + 1e-7 THEN exp(lp) ELSE 0 END)), 9) AS p FROM q GROUP BY ALL""")
+def closed_book_contrast(spark: SparkSession, sf: str) -> DataFrame:
+    return G.closed_book(analysed(spark, sf), "en")
 
 
 @query("judge_majority", """
@@ -121,21 +205,25 @@ def logit_quality(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([tuple(r.values()) for r in rows], "term string, coef double, se double, z double, p double, odds_ratio double, ci_lo double, ci_hi double")
 
 
-@query("run_summary", """
-SELECT event_type, count(*) AS n, count(*) FILTER (WHERE CAST(json_extract_string(props, '$.k') AS INTEGER) >= 5) AS n_ok, count(*) FILTER (WHERE CAST(json_extract_string(props, '$.k') AS INTEGER) < 5) AS n_error, count(*) FILTER (WHERE CAST(value * 100 AS BIGINT) >= 16384 - 1024 - 16) AS n_trunc, max(CAST(value * 100 AS BIGINT)) AS max_prompt_tokens FROM events GROUP BY event_type
-""")
-def run_summary(spark: SparkSession, sf: str) -> DataFrame:
+_EVENTS = "e AS (SELECT event_type AS key, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, CAST(value * 100 AS BIGINT) AS tokens FROM events)"
+
+
+def _run_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as responses: some failed, some blank, some with the older failure text."""
     k = F.from_json("props", "k int")["k"]
-    e = table(spark, sf, "events").select("event_type", F.when(k < 5, "failed").alias("error"), F.round(F.col("value") * 100).cast("long").alias("prompt_eval_count"), F.lit(16384).alias("num_ctx"))
-    return G.run_summary(G.truncation_suspects(e, 1024), "event_type")
+    raw = F.when(k == 1, " \n").when(k == 2, F.concat(F.lit(G.LEGACY_FAILURE), F.lit(": timeout]"))).otherwise("답: a")
+    return table(spark, sf, "events").select(F.col("event_type").alias("key"), F.when(k == 0, "failed").alias("error"), F.when(k != 0, raw).alias("raw_answer"), F.round(F.col("value") * 100).cast("long").alias("prompt_eval_count"), F.lit(16384).alias("num_ctx"), k.alias("k"))
 
 
-@query("finished_runs", """
-WITH e AS (SELECT event_type AS key, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events) SELECT key, count(*) >= 2000 AND count(*) FILTER (WHERE k = 0) = 0 AS done FROM e GROUP BY key
-""")
+@query("run_summary", f"WITH {_EVENTS} SELECT key, count(*) AS n, count(*) FILTER (WHERE k > 1) AS n_ok, count(*) FILTER (WHERE k = 0) AS n_error, count(*) FILTER (WHERE tokens >= 16384 - 1024 - 16) AS n_trunc, max(tokens) AS max_prompt_tokens FROM e GROUP BY key")
+def run_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return G.run_summary(G.truncation_suspects(_run_rows(spark, sf), 1024), "key")
+
+
+@query("finished_runs", f"WITH {_EVENTS}, r AS (SELECT key || CASE WHEN k > 2 THEN '' ELSE '_failing' END AS run, k FROM e) SELECT run, count(*) >= 500 AND count(*) FILTER (WHERE k IN (0, 1, 2)) = 0 AS done FROM r GROUP BY run")
 def finished_runs(spark: SparkSession, sf: str) -> DataFrame:
-    k = F.from_json("props", "k int")["k"]
-    return G.finished(table(spark, sf, "events").select(F.col("event_type").alias("key"), F.when(k == 0, "x").alias("error"), F.lit("a").alias("raw_answer")), "key", 2000)
+    rows = _run_rows(spark, sf).withColumn("run", F.concat("key", F.when(F.col("k") > 2, "").otherwise("_failing")))
+    return G.finished(rows, "run", 500)
 
 
 @query("merged_slots", """
@@ -174,9 +262,9 @@ def answer_terms(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.size(X.key_terms(F.col("text"))).alias("n_terms"), F.size(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\d+"), F.lit(0)))).alias("n_numbers"))
 
 
-@query("overconfidence_split", f"WITH {_GRADED} SELECT model, count(*) FILTER (WHERE answerable) AS n_in_scope, count(*) FILTER (WHERE answerable AND state = 'overconfident') AS k_in_scope, count(*) FILTER (WHERE NOT answerable) AS n_out, count(*) FILTER (WHERE NOT answerable AND state = 'overconfident') AS k_out FROM gr GROUP BY model")
+@query("overconfidence_split", f"WITH {_GRADED} SELECT model, condition, count(*) FILTER (WHERE NOT oos) AS n_in_scope, count(*) FILTER (WHERE NOT oos AND overconf) AS k_in_scope, count(*) FILTER (WHERE oos) AS n_out, count(*) FILTER (WHERE oos AND overconf) AS k_out FROM rag WHERE judged GROUP BY model, condition")
 def overconfidence_split(spark: SparkSession, sf: str) -> DataFrame:
-    return G.overconfidence_split(G.classify(responses(spark, sf)), "model")
+    return G.overconfidence_split(G.analysis_sample(analysed(spark, sf)), "model", "condition")
 
 
 @query("paired_contrasts", f"""WITH {_FACTS}, m AS (SELECT lang, unit, 'quality' AS metric, quality AS v FROM f UNION ALL SELECT lang, unit, 'toxic', toxic FROM f), q(x1, x2) AS (VALUES ('en', 'de'), ('en', 'fr'), ('de', 'fr')),
