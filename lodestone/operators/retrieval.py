@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
+from lodestone.session import broadcast_if_small, stored
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -18,30 +19,61 @@ def chunks(parts: DataFrame, key: str, order: list[str], text: str = "text") ->
 
 
 def bm25_index(docs: DataFrame, doc_id: str = "doc_id", tokens: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(postings(term, doc_id, tf), lengths(doc_id, dl), idf(term, idf)); negative idf becomes EPSILON times the mean idf."""
+    """(postings(term, doc_id, tf), lengths(doc_id, dl), idf(term, idf)); negative idf becomes EPSILON times the mean idf.
+
+    Texts are read and cut into tokens once: the posting table is written, and all figures come from it.
+    """
     tokens = X.tokens(F.coalesce(F.col("text"), F.lit(""))) if tokens is None else tokens
     listed = docs.select(F.col(doc_id).alias("doc_id"), tokens.alias("t"))
-    lengths = listed.select("doc_id", F.size("t").alias("dl"))
-    postings = listed.select("doc_id", F.explode("t").alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
-    n = lengths.agg(F.count("*").alias("n")).withColumn("_k", F.lit(1))
-    raw = postings.groupBy("term").agg(F.count("*").alias("df")).withColumn("_k", F.lit(1)).join(F.broadcast(n), "_k")
-    raw = raw.select("term", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("raw"))
-    mean = raw.agg(F.avg("raw").alias("mean")).withColumn("_k", F.lit(1))
-    idf = raw.withColumn("_k", F.lit(1)).join(F.broadcast(mean), "_k").select("term", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    return postings, lengths, idf
-
-
-def bm25_scores(queries: DataFrame, docs: DataFrame, qid: str = "item_id", doc_id: str = "doc_id") -> DataFrame:
+    # a document without tokens keeps one row, with no term, so that it counts in the lengths
+    postings = stored(listed.select("doc_id", F.explode_outer("t").alias("term")).groupBy("term", "doc_id").agg(F.count("term").alias("tf")), "postings")
+    lengths = stored(postings.groupBy("doc_id").agg(F.sum("tf").alias("dl")), "lengths")
+    n = lengths.agg(F.count("*").alias("n")).first()["n"]
+    raw = postings.where("term is not null").groupBy("term").agg(F.count("*").alias("df"))
+    raw = stored(raw.select("term", F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("raw")), "idf")
+    mean = raw.agg(F.avg("raw").alias("mean")).first()["mean"] or 0.0
+    return postings.where("term is not null"), lengths, raw.select("term", F.when(F.col("raw") < 0, F.lit(EPSILON * mean)).otherwise(F.col("raw")).alias("idf"))
+
+
+def index_is_sound(postings: DataFrame, lengths: DataFrame, idf: DataFrame) -> DataFrame:
+    """One row of counts that are 0 in a sound index: postings without a length, without an idf, repeated ones, and lengths that differ from their sum."""
+    no_length = postings.join(lengths, "doc_id", "left_anti").agg(F.count("*").alias("no_length"))
+    no_idf = postings.join(idf, "term", "left_anti").agg(F.count("*").alias("no_idf"))
+    repeated = postings.groupBy("term", "doc_id").count().where("count > 1").agg(F.count("*").alias("repeated"))
+    sums = postings.groupBy("doc_id").agg(F.sum("tf").alias("s"))
+    wrong = lengths.join(sums, "doc_id", "left").where("dl <> coalesce(s, 0)").agg(F.count("*").alias("wrong_length"))
+    one = lambda df: F.broadcast(df.withColumn("_k", F.lit(1)))  # noqa: E731  a single row each
+    return no_length.withColumn("_k", F.lit(1)).join(one(no_idf), "_k").join(one(repeated), "_k").join(one(wrong), "_k").drop("_k")
+
+
+def save_index(index: tuple[DataFrame, DataFrame, DataFrame], path: str) -> None:
+    """Write an index's three tables under a path."""
+    for name, df in zip(("postings", "lengths", "idf"), index, strict=True):
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def load_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """An index's tables; raises if one is missing or they do not fit together."""
+    index = tuple(spark.read.parquet(f"{path}/{name}") for name in ("postings", "lengths", "idf"))
+    faults = {k: v for k, v in index_is_sound(*index).first().asDict().items() if v}
+    if faults:
+        raise ValueError(f"broken index: {faults}")
+    return index
+
+
+def bm25_scores(queries: DataFrame, docs: DataFrame, qid: str = "item_id", doc_id: str = "doc_id", index: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
     """(qid, doc_id, bm25) for documents with a query term; a repeated query term counts again.
 
-    Statistics come from the whole corpus; postings are cut to the queries' terms before they meet.
+    Statistics come from the whole corpus; the queries' terms get their idf first and travel to the postings, which
+    stay where they are as long as the terms are few, and only what they hit goes on.
     """
-    postings, lengths, idf = bm25_index(docs, doc_id)
+    postings, lengths, idf = index or bm25_index(docs, doc_id)
     terms = queries.select(F.col(qid).alias("qid"), F.explode(X.tokens(F.coalesce(F.col("text"), F.lit("")))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
-    mean = lengths.agg(F.avg("dl").alias("avgdl")).withColumn("_k", F.lit(1))
-    hits = postings.join(terms, "term").join(idf, "term").join(lengths, "doc_id").withColumn("_k", F.lit(1)).join(F.broadcast(mean), "_k")
-    tf = F.col("tf")
-    weight = F.col("qtf") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    terms = stored(terms.join(idf, "term").select("qid", "term", (F.col("qtf") * F.col("idf")).alias("qw")), "terms")
+    mean = lengths.agg(F.avg("dl").alias("avgdl")).first()["avgdl"] or 1.0
+    norm = lengths.select("doc_id", (K1 * (1 - B + B * F.col("dl") / F.lit(float(mean) or 1.0))).alias("norm"))
+    hits = postings.join(broadcast_if_small(terms, 64), "term").join(broadcast_if_small(norm, 32), "doc_id")
+    weight = F.col("qw") * F.col("tf") * (K1 + 1) / (F.col("tf") + F.col("norm"))
     return hits.groupBy("qid", "doc_id").agg(F.sum(weight).alias("bm25"))
 
 
@@ -58,27 +90,43 @@ def unit_vector(v: Column) -> Column:
 def cosine_scores(queries: DataFrame, vectors: DataFrame, limit_bytes: int = 32 << 20) -> DataFrame:
     """(qid, vec_id, cos) of a stated query set against all vectors, neither being the other's row.
 
-    Queries are a table (qid, v), grouped into blocks that travel to the vectors; each candidate row
-    is compared with a block inside one expression.
+    Queries are a table (qid, v), cut into blocks of at most ``limit_bytes``; each block alone travels to the vectors,
+    in a pass of its own, and a candidate row is compared with it inside one expression.
     """
-    dims = F.size("v")
-    size = queries.agg(F.coalesce(F.sum(8 * dims + 16), F.lit(0))).first()[0]
+    size = queries.agg(F.coalesce(F.sum(8 * F.size("v") + 16), F.lit(0))).first()[0]
     blocks = max(1, -(-size // limit_bytes))
-    packed = queries.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int")).groupBy("block").agg(F.collect_list(F.struct("qid", unit_vector(F.col("v")).alias("q"))).alias("qs"))
-    rows = vectors.select("vec_id", unit_vector(F.col("v")).alias("u"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    met = rows.join(F.broadcast(packed), "block").select("vec_id", F.explode(F.transform("qs", lambda s: F.struct(s["qid"].alias("qid"), dot(s["q"], F.col("u")).alias("cos")))).alias("s"))
-    return met.select("s.qid", "vec_id", "s.cos").where("qid <> vec_id and cos is not null")
+    unit = queries.select("qid", unit_vector(F.col("v")).alias("q"), F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int").alias("block"))
+    unit = stored(unit, "queries") if blocks > 1 else unit
+    rows = vectors.select("vec_id", unit_vector(F.col("v")).alias("u"), F.lit(1).alias("_k"))
+    out = None
+    for block in range(blocks):
+        packed = unit.where(F.col("block") == block).groupBy().agg(F.collect_list(F.struct("qid", "q")).alias("qs")).withColumn("_k", F.lit(1))
+        met = rows.join(F.broadcast(packed), "_k").select("vec_id", F.explode(F.transform("qs", lambda s: F.struct(s["qid"].alias("qid"), dot(s["q"], F.col("u")).alias("cos")))).alias("s"))
+        one = met.select("s.qid", "vec_id", "s.cos").where("qid <> vec_id and cos is not null")
+        out = one if out is None else out.unionAll(one)
+    return out
 
 
 def fused(scores: DataFrame, alpha: float = 0.5, mode: str = "hybrid") -> DataFrame:
     """Adds score to (qid, doc_id, vec, bm25): each signal scaled to [0, 1] within the query's live documents, then mixed.
 
-    mode 'vector' or 'bm25' uses that signal as it is.
+    mode 'vector' or 'bm25' uses that signal as it is; a signal that the table lacks raises.  Least and greatest values
+    are an aggregate that combines before its shuffle, one row a query, joined back: no task holds a query's documents.
     """
+    if missing := {"vector": {"vec"}, "bm25": {"bm25"}}.get(mode, {"vec", "bm25"}) - set(scores.columns):
+        raise ValueError(f"no signal {', '.join(sorted(missing))}: choose another mode")
     if mode != "hybrid":
         return scores.withColumn("score", F.col("vec" if mode == "vector" else "bm25"))
-    w = Window.partitionBy("qid")
-    return scores.withColumn("score", alpha * X.min_max(F.col("vec"), w) + (1 - alpha) * X.min_max(F.col("bm25"), w))
+    scores = stored(scores, "scores")
+    ends = stored(scores.groupBy("qid").agg(*(f(c).alias(f"_{f.__name__}_{c}") for c in ("vec", "bm25") for f in (F.min, F.max))), "ends")
+    scaled = lambda c: F.when(F.col(f"_max_{c}") - F.col(f"_min_{c}") < 1e-9, 0.0).otherwise((F.col(c) - F.col(f"_min_{c}")) / (F.col(f"_max_{c}") - F.col(f"_min_{c}")))
+    out = scores.join(broadcast_if_small(ends, 64), "qid")
+    return out.withColumn("score", alpha * scaled("vec") + (1 - alpha) * scaled("bm25")).select(*scores.columns, "score")
+
+
+def alive(scores: DataFrame, live: DataFrame, item: str = "doc_id") -> DataFrame:
+    """Scores of live documents only: what a condition removed takes no part, in scaling neither."""
+    return scores.join(live.select(item).distinct(), item, "left_semi")
 
 
 def top_k(scores: DataFrame, k: int = 5, by: str = "score", item: str = "doc_id") -> DataFrame:
@@ -87,11 +135,15 @@ def top_k(scores: DataFrame, k: int = 5, by: str = "score", item: str = "doc_id"
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def recall(retrieved: DataFrame, gold: DataFrame) -> DataFrame:
-    """(qid, n_gold, n_hit, recall, any_hit) of (qid, doc_id) rows; questions without gold are left out."""
-    hit = gold.join(retrieved.select("qid", "doc_id", F.lit(1).alias("hit")).distinct(), ["qid", "doc_id"], "left")
-    g = hit.groupBy("qid").agg(F.count("*").alias("n_gold"), F.count("hit").alias("n_hit"))
-    return g.withColumn("recall", F.round(F.col("n_hit") / F.col("n_gold"), 6)).withColumn("any_hit", F.col("n_hit") > 0)
+def recall(retrieved: DataFrame, gold: DataFrame, live: DataFrame) -> DataFrame:
+    """(qid, n_gold, n_alive, n_hit, recall, any_hit): of a question's gold that is alive, how much was retrieved.
+
+    ``live`` is (doc_id); questions none of whose gold is alive are left out.
+    """
+    hit = retrieved.select("qid", "doc_id", F.lit(1).alias("hit")).distinct()
+    rows = gold.select("qid", "doc_id").distinct().join(live.select("doc_id", F.lit(1).alias("alive")).distinct(), "doc_id", "left").join(hit, ["qid", "doc_id"], "left")
+    g = rows.groupBy("qid").agg(F.count("*").alias("n_gold"), F.count("alive").alias("n_alive"), F.count(F.when(F.col("alive") == 1, F.col("hit"))).alias("n_hit")).where("n_alive > 0")
+    return g.withColumn("recall", F.round(F.col("n_hit") / F.col("n_alive"), 6)).withColumn("any_hit", F.col("n_hit") > 0)
 
 
 def auto_status(n_gold: Column, n_live: Column, answerable: Column) -> Column:
