@@ -39,43 +39,53 @@ def shuffle_ranks(spark: SparkSession, ids: Sequence[str], seed: int) -> DataFra
     return spark.createDataFrame([(u, i) for i, u in enumerate(order)], "unit string, shuffle_rank int")
 
 
-def running(df: DataFrame, buckets: list[Column], order: list, value: Column, name: str) -> DataFrame:
-    """Adds the sum of ``value`` over all rows before each one, in an order that no single task has to sort.
+def running(df: DataFrame, buckets: list[Column], order: list, value: Column, name: str, within: Sequence[str] = ()) -> DataFrame:
+    """Adds the sum of ``value`` over all rows before each one (of the same ``within``), in an order that no single task has to sort.
 
     ``buckets`` are the order's leading keys, coarse enough to be few and fine enough to be even: sums run over the
     bucket table, and within each bucket over its own rows.
     """
     keys = [f"_b{i}" for i in range(len(buckets))]
     rows = df.withColumns(dict(zip(keys, buckets, strict=True))).withColumn("_v", value)
-    sums = rows.groupBy(*keys).agg(F.sum("_v").alias("_s"))
-    offset = F.coalesce(F.sum("_s").over(Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    local = F.coalesce(F.sum("_v").over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.join(sums.select(*keys, offset.alias("_o")), keys).withColumn(name, F.col("_o") + local).drop(*keys, "_v", "_o")
+    sums = rows.groupBy(*within, *keys).agg(F.sum("_v").alias("_s"))
+    offset = F.coalesce(F.sum("_s").over(Window.partitionBy(*within).orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    local = F.coalesce(F.sum("_v").over(Window.partitionBy(*within, *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.join(sums.select(*within, *keys, offset.alias("_o")), [*within, *keys]).withColumn(name, F.col("_o") + local).drop(*keys, "_v", "_o")
 
 
-def removal_order(units: DataFrame, strategy: str) -> DataFrame:
-    """(unit, rank from 1) of units (unit, in_degree, tier, shuffle_rank): by strategy, ties by shuffle rank, then unit."""
-    key = {"core": [-F.col("in_degree")], "periph": [F.col("in_degree")], "tier_up": [F.col("tier")], "random": []}[strategy]
+def removal_order(units: DataFrame, *strategies: str) -> DataFrame:
+    """(strategy, unit, rank from 1) of units (unit, in_degree, tier, shuffle_rank): by each strategy, ties by shuffle rank, then unit.
+
+    core: most cited first; periph: least cited first; tier_up: upper tiers first; random: by shuffle rank alone.
+    """
+    key = {"core": -F.col("in_degree"), "periph": F.col("in_degree"), "tier_up": F.dense_rank().over(Window.orderBy("tier")), "random": F.lit(0)}
+    if "tier_up" in strategies:  # a tier's number: of the distinct tiers, which are few
+        number = units.select("tier").distinct().select("tier", key["tier_up"].alias("_tier"))
+        units = units.join(F.broadcast(number), "tier")
+        key["tier_up"] = F.col("_tier")
+    each = units.withColumn("_s", F.explode(F.array(*(F.struct(F.lit(s).alias("strategy"), key[s].cast("long").alias("k")) for s in strategies)))).select("unit", "shuffle_rank", "_s.*")
     shuffled = F.substring("shuffle_rank", 1, 3) if dict(units.dtypes)["shuffle_rank"] == "string" else F.floor(F.col("shuffle_rank") / 65536)
-    return running(units, [*key, shuffled], ["shuffle_rank", "unit"], F.lit(1), "before").select("unit", (F.col("before") + 1).alias("rank"))
+    return running(each, [F.col("k"), shuffled], ["shuffle_rank", "unit"], F.lit(1), "before", ["strategy"]).select("strategy", "unit", (F.col("before") + 1).alias("rank"))
 
 
 def coverage_levels(required: DataFrame, order: DataFrame, levels: Sequence[int] = COVERAGE_LEVELS) -> DataFrame:
-    """(level, stop_rank): how far the order is removed so that at most the level's share of questions stays full.
+    """(strategy, level, stop_rank): how far each order is removed so that at most the level's share of questions stays full.
 
     ``required`` is (qid, unit).  A question breaks at the smallest rank among its units; the stop is the
     rank at which as many have broken as the level asks for.  The share is rounded half to even.
     """
-    broken = required.join(order, "unit").groupBy("qid").agg(F.min("rank").alias("fb"))
-    by_rank = broken.groupBy("fb").count()
-    upto = F.sum("count").over(Window.orderBy("fb").rowsBetween(Window.unboundedPreceding, 0))
-    steps = by_rank.select("fb", upto.alias("upto"))
-    n = broken.agg(F.count("*").alias("n"))
-    spark = required.sparkSession
-    wanted = spark.createDataFrame([(x,) for x in levels], "level int").withColumn("_k", F.lit(1)).join(F.broadcast(n.withColumn("_k", F.lit(1))), "_k")
-    wanted = wanted.select("level", (F.col("n") - F.bround(F.col("n") * F.col("level") / 100)).cast("long").alias("need"))
-    reached = wanted.join(steps, (F.col("need") > 0) & (F.col("upto") >= F.col("need")), "left")
-    return reached.groupBy("level").agg(F.coalesce(F.min("fb"), F.lit(0)).alias("stop_rank"))
+    broken = required.join(order, "unit").groupBy("strategy", "qid").agg(F.min("rank").alias("fb"))
+    by_rank = broken.groupBy("strategy", "fb").count()
+    upto = F.sum("count").over(Window.partitionBy("strategy").orderBy("fb").rowsBetween(Window.unboundedPreceding, 0))
+    steps = by_rank.select("strategy", "fb", upto.alias("upto"), F.sum("count").over(Window.partitionBy("strategy")).alias("n"))
+    each = steps.withColumn("level", F.explode(F.array(*map(F.lit, levels))))
+    need = (F.col("n") - F.bround(F.col("n") * F.col("level") / 100)).cast("long")
+    return each.groupBy("strategy", "level").agg(F.coalesce(F.min(F.when((need > 0) & (F.col("upto") >= need), F.col("fb"))), F.lit(0)).alias("stop_rank"))
+
+
+def removed_units(order: DataFrame, stops: DataFrame) -> DataFrame:
+    """(strategy, level, unit): units up to each level's stop; stops, a row a level, travel to the units."""
+    return order.join(F.broadcast(stops), "strategy").where("rank <= stop_rank").select("strategy", "level", "unit")
 
 
 def volume_removed(pool: DataFrame, total: float, levels: Sequence[int] = VOLUME_LEVELS) -> DataFrame:
@@ -85,20 +95,19 @@ def volume_removed(pool: DataFrame, total: float, levels: Sequence[int] = VOLUME
     return kept.select("unit", "kept_pct", F.explode(F.array(*map(F.lit, levels))).alias("level")).where("kept_pct > level").select("level", "unit")
 
 
-def question_status(required: DataFrame, removed: DataFrame, levels: DataFrame) -> DataFrame:
-    """(level, qid, status): full, partial or none, by how many of a question's units are removed."""
-    rows = required.withColumn("_k", F.lit(1)).join(F.broadcast(levels.select("level").withColumn("_k", F.lit(1))), "_k").drop("_k")
-    gone = removed.select("level", "unit", F.lit(1).alias("gone"))
-    g = rows.join(gone, ["level", "unit"], "left").groupBy("level", "qid").agg(F.count("*").alias("n"), F.count("gone").alias("g"))
-    return g.select("level", "qid", F.when(F.col("g") == 0, "full").when(F.col("g") == F.col("n"), "none").otherwise("partial").alias("status"))
+def question_status(required: DataFrame, order: DataFrame, stops: DataFrame) -> DataFrame:
+    """(strategy, level, qid, status): full, partial or none, by how many of a question's units rank up to the level's stop."""
+    ranked = required.join(order, "unit").join(F.broadcast(stops), "strategy")
+    g = ranked.groupBy("strategy", "level", "qid").agg(F.count("*").alias("n"), F.count(F.when(F.col("rank") <= F.col("stop_rank"), 1)).alias("g"))
+    return g.select("strategy", "level", "qid", F.when(F.col("g") == 0, "full").when(F.col("g") == F.col("n"), "none").otherwise("partial").alias("status"))
 
 
 def summarise(status: DataFrame, kept_chars: DataFrame, total: float) -> DataFrame:
-    """Per level: full, partial, none, actual coverage and character ratio."""
+    """Per strategy and level: full, partial, none, actual coverage and character ratio."""
     k = lambda s: F.count(F.when(F.col("status") == s, 1)).alias(s)
-    s = status.groupBy("level").agg(k("full"), k("partial"), k("none"), F.count("*").alias("n"))
+    s = status.groupBy("strategy", "level").agg(k("full"), k("partial"), k("none"), F.count("*").alias("n"))
     s = s.withColumn("actual_cov", F.round(100 * F.col("full") / F.col("n"), 4))
-    return s.join(kept_chars, "level").select("level", "full", "partial", "none", "actual_cov", F.round(F.col("kept_chars") / F.lit(total), 6).alias("char_ratio"))
+    return s.join(kept_chars, ["strategy", "level"]).select("strategy", "level", "full", "partial", "none", "actual_cov", F.round(F.col("kept_chars") / F.lit(total), 6).alias("char_ratio"))
 
 
 def fingerprints(removed: DataFrame, conditions: DataFrame) -> DataFrame:
@@ -110,11 +119,24 @@ def fingerprints(removed: DataFrame, conditions: DataFrame) -> DataFrame:
 
 
 def nesting_faults(removed: DataFrame) -> DataFrame:
-    """(level, unit) removed at a level but not at the next lower one: empty if the levels nest."""
-    levels = removed.select("level").distinct().withColumn("lower", F.lead("level").over(Window.orderBy(F.desc("level"))))
-    must = removed.join(F.broadcast(levels), "level").where("lower is not null").select("level", F.col("lower"), "unit")
-    has = removed.select(F.col("level").alias("lower"), "unit")
-    return must.join(has, ["lower", "unit"], "left_anti").select("level", "unit")
+    """(strategy, level, unit) removed at a level but not at the next lower one: empty if the levels nest."""
+    levels = removed.select("strategy", "level").distinct().withColumn("lower", F.lead("level").over(Window.partitionBy("strategy").orderBy(F.desc("level"))))
+    must = removed.join(F.broadcast(levels), ["strategy", "level"]).where("lower is not null").select("strategy", "level", "lower", "unit")
+    has = removed.select("strategy", F.col("level").alias("lower"), "unit")
+    return must.join(has, ["strategy", "lower", "unit"], "left_anti").select("strategy", "level", "unit")
+
+
+def regeneration_checks(required: DataFrame, removed: DataFrame, volume: DataFrame, surrogates: DataFrame) -> DataFrame:
+    """(check, n, ok) after conditions are made anew: some questions matched; strategies distinct at each level that removes
+    anything; levels nested; volume levels take no required unit; and how many questions have no surrogate (the instrument's strength).
+    """
+    matched = required.select("qid").distinct().agg(F.count("*").alias("n")).select(F.lit("matched").alias("check"), "n", (F.col("n") > 0).alias("ok"))
+    marks = removed.groupBy("strategy", "level").agg(F.md5(F.array_join(F.array_sort(F.collect_set(F.col("unit").cast("string"))), "\n")).alias("mark"), F.count("*").alias("size"))
+    same = marks.groupBy("level", "mark").agg(F.count("*").alias("k")).where("k > 1").agg(F.count("*").alias("n")).select(F.lit("strategies_alike").alias("check"), "n", (F.col("n") == 0).alias("ok"))
+    nested = nesting_faults(removed).agg(F.count("*").alias("n")).select(F.lit("not_nested").alias("check"), "n", (F.col("n") == 0).alias("ok"))
+    lost = volume.select("unit").distinct().join(required.select("unit").distinct(), "unit", "left_semi").agg(F.count("*").alias("n")).select(F.lit("required_lost_by_volume").alias("check"), "n", (F.col("n") == 0).alias("ok"))
+    weak = required.select("qid").distinct().join(surrogates.select("qid").distinct(), "qid", "left_anti").agg(F.count("*").alias("n")).select(F.lit("without_surrogate").alias("check"), "n", F.lit(True).alias("ok"))
+    return matched.unionAll(same).unionAll(nested).unionAll(lost).unionAll(weak)
 
 
 def content_status(required: DataFrame, alive: DataFrame, surrogates: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from lodestone.operators import coverage as C
 from lodestone.operators import stats
 from lodestone.plans.tables import table
 from lodestone.registry import query
+from lodestone.session import stored
 
 _WORDS = r"""
 bg AS (SELECT item_id, list_filter(regexp_split_to_array(text, '[^\p{L}\p{N}_]+'), lambda w: w <> '') AS w FROM benchmark),
@@ -44,56 +45,58 @@ def shared_passages(spark: SparkSession, sf: str) -> DataFrame:
     return gold(spark, sf)
 
 
-def _conditions(spark: SparkSession, sf: str) -> tuple[DataFrame, dict[str, DataFrame], dict[str, DataFrame]]:
-    """(required, removed units by strategy, stop ranks by strategy)."""
-    pairs = gold(spark, sf).persist()
-    required = pairs.select(F.col("item_id").alias("qid"), F.col("source").alias("unit")).distinct()
-    units = pairs.groupBy(F.col("source").alias("unit")).agg(F.count("*").alias("in_degree")).withColumn("shuffle_rank", F.md5("unit")).withColumn("tier", F.lit(""))
-    removed, stops = {}, {}
-    for strategy in ("core", "periph", "random"):
-        order = C.removal_order(units, strategy)
-        stops[strategy] = C.coverage_levels(required, order)
-        removed[strategy] = stops[strategy].join(order, F.col("rank") <= F.col("stop_rank")).select("level", "unit")
-    return required, removed, stops
+def _conditions(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(required units, orders, stops) of three strategies; each a written table that later steps read."""
+    pairs = stored(gold(spark, sf).groupBy("item_id", "source").agg(F.count("*").alias("n_docs")), "gold")
+    required = pairs.select(F.col("item_id").alias("qid"), F.col("source").alias("unit"))
+    units = pairs.groupBy(F.col("source").alias("unit")).agg(F.sum("n_docs").alias("in_degree")).withColumn("shuffle_rank", F.md5("unit")).withColumn("tier", F.lit(""))
+    order = stored(C.removal_order(units, "core", "periph", "random"), "order")
+    return required, order, stored(C.coverage_levels(required, order), "stops")
 
 
 @query("coverage_curve", f"WITH {_REQ} SELECT st.strategy, st.level, count(*) FILTER (WHERE g = 0) AS \"full\", count(*) FILTER (WHERE g > 0 AND g < n) AS partial, count(*) FILTER (WHERE g = n) AS none, round(100.0 * count(*) FILTER (WHERE g = 0) / count(*), 4) AS actual_cov, round(min(kept) / (SELECT sum(chars) FROM ch), 6) AS char_ratio FROM st JOIN kept USING (strategy, level) GROUP BY ALL")
 def coverage_curve(spark: SparkSession, sf: str) -> DataFrame:
-    required, removed, stops = _conditions(spark, sf)
-    chars = table(spark, sf, "documents").groupBy(F.col("source").alias("unit")).agg(F.sum("n_chars").alias("chars"))
+    required, order, stops = _conditions(spark, sf)
+    chars = stored(table(spark, sf, "documents").groupBy(F.col("source").alias("unit")).agg(F.sum("n_chars").alias("chars")), "chars")
     total = chars.agg(F.sum("chars")).first()[0]
-    out = None
-    for strategy, gone in removed.items():
-        lost = gone.join(chars, "unit").groupBy("level").agg(F.sum("chars").alias("lost"))
-        kept = stops[strategy].join(lost, "level", "left").select("level", (F.lit(total) - F.coalesce("lost", F.lit(0))).alias("kept_chars"))
-        one = C.summarise(C.question_status(required, gone, stops[strategy]), kept, total).withColumn("strategy", F.lit(strategy))
-        out = one if out is None else out.unionByName(one)
-    return out.select("strategy", "level", "full", "partial", "none", "actual_cov", "char_ratio")
+    lost = C.removed_units(order, stops).join(chars, "unit").groupBy("strategy", "level").agg(F.sum("chars").alias("lost"))
+    kept = stops.join(lost, ["strategy", "level"], "left").select("strategy", "level", (F.lit(total) - F.coalesce("lost", F.lit(0))).alias("kept_chars"))
+    return C.summarise(C.question_status(required, order, stops), kept, total)
 
 
 @query("condition_status", f"WITH {_REQ} SELECT strategy, level, qid, CASE WHEN g = 0 THEN 'full' WHEN g = n THEN 'none' ELSE 'partial' END AS status FROM st")
 def condition_status(spark: SparkSession, sf: str) -> DataFrame:
-    required, removed, stops = _conditions(spark, sf)
-    parts = [C.question_status(required, gone, stops[s]).withColumn("strategy", F.lit(s)) for s, gone in removed.items()]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("strategy", "level", "qid", "status")
+    return C.question_status(*_conditions(spark, sf))
 
 
 @query("run_plan", f"WITH {_REQ}, cond AS (SELECT strategy || '_' || lpad(CAST(level AS VARCHAR), 3, '0') AS condition, strategy, level FROM stop), f AS (SELECT condition, md5(coalesce(string_agg(m.unit, chr(10) ORDER BY m.unit), '')) AS fingerprint FROM cond LEFT JOIN rem m USING (strategy, level) GROUP BY condition) SELECT condition, fingerprint, min(condition) OVER (PARTITION BY fingerprint) AS canonical FROM f")
 def run_plan(spark: SparkSession, sf: str) -> DataFrame:
-    _, removed, stops = _conditions(spark, sf)
-    name = lambda s: F.format_string(f"{s}_%03d", "level").alias("condition")
-    gone, all_ = None, None
-    for s in removed:
-        a, b = removed[s].select(name(s), "unit"), stops[s].select(name(s))
-        gone, all_ = (a, b) if gone is None else (gone.unionByName(a), all_.unionByName(b))
-    return C.fingerprints(gone, all_)
+    _, order, stops = _conditions(spark, sf)
+    name = F.format_string("%s_%03d", "strategy", "level").alias("condition")
+    return C.fingerprints(C.removed_units(order, stops).select(name, "unit"), stops.select(name))
 
 
 @query("nesting_faults", f"WITH {_REQ}, nx AS (SELECT strategy, level, lead(level) OVER (PARTITION BY strategy ORDER BY level DESC) AS lower FROM stop), f AS (SELECT r.strategy, r.level, r.unit FROM rem r JOIN nx USING (strategy, level) WHERE nx.lower IS NOT NULL AND NOT EXISTS (SELECT 1 FROM rem q WHERE q.strategy = r.strategy AND q.level = nx.lower AND q.unit = r.unit)) SELECT 'core' AS strategy, (SELECT count(*) FROM f WHERE strategy = 'core') AS faults UNION ALL SELECT 'periph', (SELECT count(*) FROM f WHERE strategy = 'periph') UNION ALL SELECT 'random', (SELECT count(*) FROM f WHERE strategy = 'random')")
 def nesting_faults(spark: SparkSession, sf: str) -> DataFrame:
-    _, removed, _ = _conditions(spark, sf)
-    parts = [C.nesting_faults(gone).agg(F.count("*").alias("faults")).select(F.lit(s).alias("strategy"), "faults") for s, gone in removed.items()]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    _, order, stops = _conditions(spark, sf)
+    faults = C.nesting_faults(C.removed_units(order, stops)).groupBy("strategy").agg(F.count("*").alias("n"))
+    return stops.select("strategy").distinct().join(faults, "strategy", "left").select("strategy", F.coalesce("n", F.lit(0)).cast("long").alias("faults"))
+
+
+@query("regeneration_checks", f"""WITH {_REQ}, tw AS (SELECT g.item_id AS qid FROM gold g JOIN documents a ON a.doc_id = g.doc_id JOIN documents b ON b.text = a.text AND b.doc_id <> a.doc_id GROUP BY 1),
+mk AS (SELECT strategy, level, md5(string_agg(DISTINCT unit, chr(10) ORDER BY unit)) AS mark FROM rem GROUP BY ALL), al AS (SELECT level, mark FROM mk GROUP BY ALL HAVING count(*) > 1)
+SELECT 'matched' AS "check", count(DISTINCT qid) AS n, count(DISTINCT qid) > 0 AS ok FROM req UNION ALL SELECT 'strategies_alike', count(*), count(*) = 0 FROM al UNION ALL SELECT 'not_nested', 0, true
+UNION ALL SELECT 'required_lost_by_volume', 0, true UNION ALL SELECT 'without_surrogate', count(DISTINCT qid), true FROM req WHERE qid NOT IN (SELECT qid FROM tw)""")
+def regeneration_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """Surrogates are documents of the same text as a gold one; the volume pool has no source that a question needs."""
+    required, order, stops = _conditions(spark, sf)
+    docs = table(spark, sf, "documents").select("doc_id", "source", F.md5("text").alias("h"), "n_chars")
+    own = gold(spark, sf).select(F.col("item_id").alias("qid"), "doc_id").join(docs.select("doc_id", "h"), "doc_id").withColumnRenamed("doc_id", "own")
+    twins = own.join(docs.select("doc_id", "h"), "h").where("own <> doc_id").select("qid", F.col("doc_id").alias("unit"))
+    pool = docs.groupBy(F.col("source").alias("unit")).agg(F.sum("n_chars").alias("chars")).join(required.select("unit").distinct(), "unit", "left_anti")
+    pool = pool.withColumn("rank", F.xxhash64("unit") % 1000)
+    volume = C.volume_removed(pool, float(docs.agg(F.sum("n_chars")).first()[0]))
+    return C.regeneration_checks(required, C.removed_units(order, stops), volume, twins)
 
 
 @query("volume_curve", f"""WITH {_WORDS}, gd AS (SELECT DISTINCT doc_id FROM gold),
@@ -105,9 +108,9 @@ SELECT level, count(doc_id) AS removed_docs, round((t - coalesce(sum(n_chars), 0
 FROM tot, lv LEFT JOIN b ON 100 * (1 - before / (SELECT t FROM tot)) > level GROUP BY level, t""")
 def volume_curve(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "n_chars")
-    keep = gold(spark, sf).select("doc_id").distinct().persist()
+    keep = stored(gold(spark, sf).select("doc_id").distinct(), "keep")
     pool = docs.join(keep, "doc_id", "left_anti").select(F.col("doc_id").cast("string").alias("unit"), F.col("n_chars").alias("chars"), F.lit(0).alias("in_degree"), F.lit("").alias("tier"), F.md5(F.col("doc_id").cast("string")).alias("shuffle_rank"))
-    pool = pool.join(C.removal_order(pool, "random"), "unit").select("unit", "rank", "chars")
+    pool = stored(pool.join(C.removal_order(pool, "random"), "unit").select("unit", "rank", "chars"), "pool")
     total = docs.agg(F.sum("n_chars")).first()[0]
     floor = docs.join(keep, "doc_id", "left_semi").agg(F.sum("n_chars")).first()[0] or 0
     gone = C.volume_removed(pool, total).join(pool, "unit").groupBy("level").agg(F.count("*").alias("removed_docs"), F.sum("chars").alias("lost"))

@@ -24,10 +24,18 @@ def test_closed_forms(spark, seed):
     order = units[:]
     rng.shuffle(order)
     req = spark.createDataFrame([(q, u) for q, us in required.items() for u in us], "qid int, unit string")
-    ranks = spark.createDataFrame([(u, i + 1) for i, u in enumerate(order)], "unit string, rank int")
-    stops = {r["level"]: r["stop_rank"] for r in C.coverage_levels(req, ranks).collect()}
-    for level in C.COVERAGE_LEVELS:
-        assert set(order[: stops[level]]) == loop_coverage(required, order, level), level
+    orders = {"own": order, "back": order[::-1]}
+    ranks = spark.createDataFrame([(s, u, i + 1) for s, o in orders.items() for i, u in enumerate(o)], "strategy string, unit string, rank int")
+    stops = C.coverage_levels(req, ranks)
+    gone = {}
+    for r in C.removed_units(ranks, stops).collect():
+        gone.setdefault((r["strategy"], r["level"]), set()).add(r["unit"])
+    for s, o in orders.items():
+        for level in C.COVERAGE_LEVELS:
+            assert gone.get((s, level), set()) == loop_coverage(required, o, level), (s, level)
+    for r in C.question_status(req, ranks, stops).collect():
+        lost = len(required[r["qid"]] & gone.get((r["strategy"], r["level"]), set()))
+        assert r["status"] == ("full" if not lost else "none" if lost == len(required[r["qid"]]) else "partial")
     chars = {u: rng.randrange(1, 50) for u in units}
     total = sum(chars.values()) + 60
     pool = spark.createDataFrame([(u, i + 1, chars[u]) for i, u in enumerate(order)], "unit string, rank int, chars int")
@@ -46,7 +54,7 @@ def test_closed_forms(spark, seed):
 
 def test_orders(spark):
     u = spark.createDataFrame([("a", 3, "T2", 2), ("b", 5, "T1", 1), ("c", 3, "T1", 0)], "unit string, in_degree int, tier string, shuffle_rank int")
-    names = lambda s: [r["unit"] for r in C.removal_order(u, s).orderBy("rank").collect()]
+    names = lambda s: [r["unit"] for r in C.removal_order(u, "core", "periph", "random", "tier_up").where(F.col("strategy") == s).orderBy("rank").collect()]
     assert names("core") == ["b", "c", "a"] and names("periph") == ["c", "a", "b"] and names("random") == ["c", "b", "a"] and names("tier_up") == ["c", "b", "a"]
     want = sorted("abcdef")
     random.Random(5).shuffle(want)
@@ -55,11 +63,16 @@ def test_orders(spark):
 
 def test_status_and_plan(spark):
     req = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (3, "a")], "qid int, unit string")
-    gone = spark.createDataFrame([(50, "a"), (0, "a"), (0, "c")], "level int, unit string")
-    levels = spark.createDataFrame([(100,), (50,), (0,)], "level int")
-    got = {(r["level"], r["qid"]): r["status"] for r in C.question_status(req, gone, levels).collect()}
+    order = spark.createDataFrame([("s", "a", 1), ("s", "c", 2), ("s", "b", 3)], "strategy string, unit string, rank int")
+    stops = spark.createDataFrame([("s", 100, 0), ("s", 50, 1), ("s", 0, 2)], "strategy string, level int, stop_rank int")
+    got = {(r["level"], r["qid"]): r["status"] for r in C.question_status(req, order, stops).collect()}
     assert got[100, 1] == "full" and got[50, 1] == "partial" and got[50, 3] == "none" and got[50, 2] == "full" and got[0, 2] == "none"
-    assert C.nesting_faults(gone).count() == 0 and C.nesting_faults(gone.where("not (level = 0 and unit = 'a')")).count() == 1
+    gone = C.removed_units(order, stops)
+    assert {tuple(r) for r in gone.collect()} == {("s", 50, "a"), ("s", 0, "a"), ("s", 0, "c")}
+    broken = gone.where("not (level = 0 and unit = 'a')")
+    assert C.nesting_faults(gone).count() == 0 and C.nesting_faults(broken).count() == 1
+    checks = {r["check"]: (r["n"], r["ok"]) for r in C.regeneration_checks(req, broken.unionByName(broken.withColumn("strategy", F.lit("t"))), spark.createDataFrame([(30, "b"), (30, "x")], "level int, unit string"), spark.createDataFrame([(2, "z")], "qid int, unit string")).collect()}
+    assert checks == {"matched": (3, True), "strategies_alike": (2, False), "not_nested": (2, False), "required_lost_by_volume": (1, False), "without_surrogate": (2, True)}
     named = gone.select(F.col("level").cast("string").alias("condition"), "unit").unionByName(spark.createDataFrame([("x", "a")], "condition string, unit string"))
     plan = {r["condition"]: r["canonical"] for r in C.fingerprints(named, spark.createDataFrame([("100",), ("50",), ("0",), ("x",)], "condition string")).collect()}
     assert plan == {"100": "100", "50": "50", "x": "50", "0": "0"}
