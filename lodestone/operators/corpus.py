@@ -14,8 +14,8 @@ from lodestone.functions import text as X
 def manifest(units: DataFrame, doc: str, tier: str, chars: Column) -> DataFrame:
     """Per document its tier, units and characters; then tier subtotals and the grand total (level tells which)."""
     per_doc = units.groupBy(doc).agg(F.min(tier).alias("tier"), F.count("*").alias("n_units"), F.sum(chars).alias("n_chars"))
-    rolled = per_doc.rollup("tier").agg(F.count("*").alias("n_docs"), F.sum("n_units").alias("n_units"), F.sum("n_chars").alias("n_chars"))
-    tiers = rolled.select(F.when(F.col("tier").isNull(), "total").otherwise("tier").alias("level"), F.coalesce("tier", F.lit("")).alias("name"), "n_docs", "n_units", "n_chars")
+    rolled = per_doc.rollup("tier").agg(F.grouping("tier").alias("all_tiers"), F.count("*").alias("n_docs"), F.sum("n_units").alias("n_units"), F.sum("n_chars").alias("n_chars"))
+    tiers = rolled.select(F.when(F.col("all_tiers") == 1, "total").otherwise("tier").alias("level"), F.coalesce("tier", F.lit("")).alias("name"), "n_docs", "n_units", "n_chars")
     docs = per_doc.select(F.lit("doc").alias("level"), F.col(doc).alias("name"), F.lit(1).cast("long").alias("n_docs"), "n_units", "n_chars")
     return docs.unionByName(tiers)
 
@@ -41,11 +41,11 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]
 
 
 def unique_keys(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
-    """Adds unit_key: the key, with ~2, ~3, ... for its further rows, and n_collisions."""
+    """Adds unit_key: the key, with ~2, ~3, ... for its further rows in order; and n_collisions: how many rows came before with the same key."""
     w = Window.partitionBy(key).orderBy(*order)
     n = F.row_number().over(w)
     named = F.when(n > 1, F.concat(F.col(key), F.lit("~"), n.cast("string"))).otherwise(F.col(key))
-    return df.withColumn("unit_key", named)
+    return df.withColumn("unit_key", named).withColumn("n_collisions", n - 1)
 
 
 def number_gaps(df: DataFrame, group: str, number: str) -> DataFrame:

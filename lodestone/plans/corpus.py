@@ -15,7 +15,7 @@ from lodestone.sources import catalogue
 @query("corpus_manifest", """
 WITH d AS (SELECT source, min(lang) AS tier, count(*) AS n_units, CAST(sum(n_chars) AS BIGINT) AS n_chars FROM documents GROUP BY source)
 SELECT 'doc' AS level, source AS name, CAST(1 AS BIGINT) AS n_docs, n_units, n_chars FROM d
-UNION ALL SELECT CASE WHEN tier IS NULL THEN 'total' ELSE 'tier' END, coalesce(tier, ''), count(*), CAST(sum(n_units) AS BIGINT), CAST(sum(n_chars) AS BIGINT) FROM d GROUP BY ROLLUP(tier)
+UNION ALL SELECT CASE WHEN grouping(tier) = 1 THEN 'total' ELSE 'tier' END, coalesce(tier, ''), count(*), CAST(sum(n_units) AS BIGINT), CAST(sum(n_chars) AS BIGINT) FROM d GROUP BY ROLLUP(tier)
 """)
 def corpus_manifest(spark: SparkSession, sf: str) -> DataFrame:
     return corpus.manifest(table(spark, sf, "documents"), "source", "lang", F.col("n_chars"))
@@ -52,12 +52,12 @@ def union_tagged(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("unique_unit_keys", """
-SELECT p_partkey, CASE WHEN i > 1 THEN k || '~' || CAST(i AS VARCHAR) ELSE k END AS unit_key
+SELECT p_partkey, CASE WHEN i > 1 THEN k || '~' || CAST(i AS VARCHAR) ELSE k END AS unit_key, CAST(i - 1 AS INTEGER) AS n_collisions
 FROM (SELECT p_partkey, p_brand || ':' || p_type AS k, row_number() OVER (PARTITION BY p_brand || ':' || p_type ORDER BY p_partkey) AS i FROM part)
 """)
 def unique_unit_keys(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "part").select("p_partkey", F.concat_ws(":", "p_brand", "p_type").alias("k"))
-    return corpus.unique_keys(p, "k", ["p_partkey"]).select("p_partkey", "unit_key")
+    return corpus.unique_keys(p, "k", ["p_partkey"]).select("p_partkey", "unit_key", "n_collisions")
 
 
 @query("number_gaps", """

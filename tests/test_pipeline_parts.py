@@ -16,12 +16,52 @@ def test_units(spark):
     rows = [("d", 0, "제1장 총칙 "), ("d", 1, ARTICLE), ("d", 2, "제6조의2(삭제) <삭 제>"), ("d", 3, "제2절 심사 "), ("d", 4, "제7조(끝) 본문"), ("e", 0, "머리말")]
     u = {r["unit_id"]: r for r in parsing.parse_units(spark.createDataFrame(rows, "doc_id string, pos int, text string")).collect()}
     assert {i for i, r in u.items() if r["level"] == "jo"} == {"rule:d:000500", "rule:d:000602", "rule:d:000700"}
-    assert u["rule:d:000500"]["chapter"] == "제1장 총칙" and u["rule:d:000700"]["chapter"] == "제2절 심사" and u["rule:d:000602"]["deleted"]
+    assert u["rule:d:000500"]["chapter"] == "제1장 총칙" and (u["rule:d:000700"]["chapter"], u["rule:d:000700"]["section"]) == ("제1장 총칙", "제2절 심사") and u["rule:d:000602"]["deleted"]
     assert u["rule:d:000500:000100"]["text"].startswith("① 신청") and u["rule:d:000500:000200"]["text"] == "② 승인은 10일 이내"
     assert u["rule:d:000500:000100:000100:나"]["text"].startswith("나. 사본") and u["rule:d:000500:000100:000200"]["parent_id"] == "rule:d:000500:000100"
     assert not [i for i in u if i.startswith("rule:d:000602:")]
 
 
+def test_headers_and_repeated_keys(spark):
+    """A part or chapter ends the section before it; an article that comes again is told apart."""
+    lines = ["제1조(가) x", "제1장 하나 ", "제1절 작은 것 ", "제2조(나) y", "제2장 둘 ", "제3조(다) z", "제3조(다) 다시", "표지", "제2절 또 ", "제4조(라) w"]
+    u = {r["unit_id"]: (r["chapter"], r["section"]) for r in parsing.parse_units(spark.createDataFrame([("d", i, t) for i, t in enumerate(lines)], "doc_id string, pos int, text string")).where("level = 'jo'").collect()}
+    assert u == {"rule:d:000100": ("", ""), "rule:d:000200": ("제1장 하나", "제1절 작은 것"), "rule:d:000300": ("제2장 둘", ""), "rule:d:000300~2": ("제2장 둘", ""), "rule:d:000400": ("제2장 둘", "제2절 또")}
+
+
+def test_rule_records(spark):
+    """Articles, supplements as one text or several, annexes as one object or several, and the metadata."""
+    a = {"AdmRulService": {"행정규칙기본정보": {"행정규칙일련번호": 77, "행정규칙명": "임업지침", "행정규칙종류": "훈령", "발령번호": "12", "시행일자": "20200101", "소관부처명": "산림청"}, "조문내용": ["제1장 총칙", "제1조(목적) ① 가 1. 나 ② 다", " "], "부칙": {"부칙공포번호": "9", "부칙내용": "[시행] 공포한 날", "부칙공포일자": "20191231"}, "별표": {"별표단위": {"별표키": "k1", "별표제목": "표", "별표번호": "0001", "별표구분": "서식", "별표내용": ["줄1", "줄2"]}}}}
+    b = {"행정규칙기본정보": {"행정규칙일련번호": "78"}, "조문내용": "제2조(하나) 한 줄", "부칙": {"부칙내용": ["첫째", "둘째"], "부칙공포번호": ["1"]}, "별표": {"별표단위": [{"별표내용": "<삭 제>" + "x" * 30_000}, {"별표키": "z"}]}}
+    df = spark.createDataFrame([("f", i, json.dumps(x, ensure_ascii=False)) for i, x in enumerate([a, b, {"행정규칙기본정보": {"행정규칙일련번호": "79"}}])] + [("f", 3, "no json")], "file string, pos int, record string")
+    u = {r["unit_id"]: r for r in parsing.rule_units(df).collect()}
+    assert set(u) == {"rule:77:000100", "rule:77:000100:000100", "rule:77:000100:000100:000100", "rule:77:000100:000200", "rule:77:buchik:000:9", "rule:77:byeolpyo:000:서식:k1", "rule:78:000200", "rule:78:buchik:000:1", "rule:78:buchik:001:1", "rule:78:byeolpyo:000:별표:", "rule:78:byeolpyo:001:별표:z"}
+    assert u["rule:77:000100"]["doc_name"] == "임업지침" and u["rule:77:000100"]["chapter"] == "제1장 총칙" and u["rule:77:buchik:000:9"]["text"] == "[시행] 공포한 날" and u["rule:77:buchik:000:9"]["promulgation_date"] == "20191231"
+    assert u["rule:77:byeolpyo:000:서식:k1"]["text"] == "줄1\n줄2" and u["rule:77:byeolpyo:000:서식:k1"]["byeolpyo_title"] == "표"
+    assert u["rule:78:byeolpyo:000:별표:"]["char_len"] == 20_000 and u["rule:78:byeolpyo:000:별표:"]["deleted"] and {r["tier"] for r in u.values()} == {"T4_행정규칙"}
+
+
+def test_statute_records(spark):
+    """Paragraph numbers by field, mark or place; items with branches; single objects where lists are usual; nested texts."""
+    law = {"법령": {"기본정보": {"법령ID": "000123", "법령명_한글": "산림보호법", "법종구분": {"content": "법률"}, "소관부처": {"content": "산림청"}, "공포번호": "5", "시행일자": "20210101"}, "조문": {"조문단위": [
+        {"조문여부": "전문", "조문내용": ["제1장 총칙"]},
+        {"조문번호": "1", "조문제목": "목적", "조문내용": "제1조(목적) 이 법은", "조문변경여부": "N"},
+        {"조문번호": "2", "조문가지번호": "3", "조문내용": "제2조의3", "항": [{"항번호": "①", "항내용": [["첫째"], "줄"]}, {"항내용": "② 둘째"}, {"항내용": "셋째", "호": {"호번호": "1의2.", "호내용": "호", "목": [{"목번호": "가.", "목내용": "목"}, {"목내용": "번호 없음"}]}}]},
+        {"조문번호": "4", "조문내용": "제4조", "항": {"호": [{"호번호": "1.", "호내용": "하나"}, {"호내용": "번호 없음"}]}},
+        {"조문번호": "5", "조문내용": "제5조 삭제 <2020.1.1>", "항": [{"항번호": "①", "항내용": "x"}]},
+        {"조문번호": "1", "조문내용": "제1조 다시"}, "잘못"]},
+        "부칙": {"부칙단위": {"부칙공포번호": "99", "부칙공포일자": "20200202", "부칙내용": [["부칙", " "], ["둘"]]}}}}
+    df = spark.createDataFrame([("f", 0, json.dumps(law, ensure_ascii=False)), ("f", 1, "{broken"), ("f", 2, "[1]"), ("g", 0, json.dumps({"기본정보": {"법종구분": "국방부령", "법령ID": 7}, "조문": {"조문단위": {"조문번호": 1, "조문내용": "하나"}}}, ensure_ascii=False))], "file string, pos int, record string")
+    u = {r["unit_id"]: r for r in parsing.statute_units(df).collect()}
+    b = "law:000123"
+    assert set(u) == {f"{b}:000100", f"{b}:000203", f"{b}:000203:000100", f"{b}:000203:000200", f"{b}:000203:000300", f"{b}:000203:000300:000102", f"{b}:000203:000300:000102:가", f"{b}:000400", f"{b}:000400:000000:000100", f"{b}:000500", f"{b}:000100~2", f"{b}:buchik:000", "law:7:000100"}
+    assert u[f"{b}:000203:000100"]["text"] == "첫째\n줄" and u[f"{b}:000100"]["chapter"] == "제1장 총칙" and u[f"{b}:000100"]["tier"] == "T1_법률" and u["law:7:000100"]["tier"] == "T3_부령"
+    item = u[f"{b}:000203:000300:000102"]
+    assert (item["jo"], item["jo_branch"], item["hang"], item["ho"], item["ho_branch"], item["parent_id"]) == (2, 3, 3, 1, 2, f"{b}:000203:000300")
+    assert u[f"{b}:000400:000000:000100"]["hang"] is None or u[f"{b}:000400:000000:000100"]["hang"] == 0
+    assert u[f"{b}:000500"]["deleted"] and not u[f"{b}:000100"]["deleted"] and (u[f"{b}:buchik:000"]["text"], u[f"{b}:buchik:000"]["promulgation_no"]) == ("부칙\n둘", "99")
+
+
 def test_cutting(spark):
     cut = lambda f, t: [tuple(x) for x in spark.createDataFrame([(t,)], "t string").select(f(F.col("t")).alias("x")).first()["x"]]
     assert cut(parsing.items, "앞 1. 하나 9. 아홉 2. 둘 9의2. 가지") == [(0, "앞"), (1, "1. 하나 9. 아홉"), (2, "2. 둘 9의2. 가지")]
@@ -35,14 +75,16 @@ def test_json_shapes(spark):
     assert [[x["a"] for x in r["x"]] if r["x"] else None for r in df.select(parsing.as_list(F.col("j"), "struct<a:int>").alias("x")).collect()] == [[1], [2, 3], None]
     flat = spark.createDataFrame([('["a", ["b", {"k": "c"}]]',), ('"x"',)], "j string").select(parsing.flatten_json(F.col("j")).alias("x")).collect()
     assert flat[0]["x"] == "a\nb\nc"
+    escaped = spark.createDataFrame([(json.dumps(["tab\t", 'quote " back \\ slash', "줄\n바꿈", "é😀"]),)], "j string").select(parsing.flatten_json(F.col("j")).alias("x")).first()["x"]
+    assert escaped == 'tab\t\nquote " back \\ slash\n줄\n바꿈\né😀'
 
 
 def test_references(spark):
-    text = "「방위사업법」(이하 \"법\"이라 한다) 제3조제2항에 따라 법 제12조의2, 영 제5조 및 「국가계약법 시행령」 제26조제1항제3호"
+    text = "「산림보호법」(이하 \"법\"이라 한다) 제3조제2항에 따라 법 제12조의2, 영 제5조 및 「어촌개발법 시행령」 제26조제1항제3호"
     units = spark.createDataFrame([("d", "u1", 0, text)], "doc_id string, unit_id string, pos int, text string")
     refs = {(r["target_name"], r["jo"], r["jo_branch"], r["hang"], r["ho"]): r for r in citations.references(units).collect()}
-    assert set(refs) == {("방위사업법", "12", "2", "", ""), ("국가계약법 시행령", "26", "0", "1", "3")}
-    assert refs["국가계약법 시행령", "26", "0", "1", "3"]["target_tier"] == "T2_대통령령"
+    assert set(refs) == {("산림보호법", "12", "2", "", ""), ("어촌개발법 시행령", "26", "0", "1", "3")}
+    assert refs["어촌개발법 시행령", "26", "0", "1", "3"]["target_tier"] == "T2_대통령령"
     span = citations.external_tier_span(citations.references(units)).first()
     assert (span["n_refs"], span["ext_tier_span"]) == (2, 2)
     arts = spark.createDataFrame([("d", "a1", 1, 0, "제2조와 법 제3조 및 제9조", False), ("d", "a2", 2, 0, "x", False), ("d", "a3", 3, 0, "x", False)], "doc_id string, unit_id string, jo int, jo_branch int, text string, deleted boolean")
