@@ -154,7 +154,7 @@ def read_rules(lines: Iterable[str]) -> list[Rule]:
 
 def rules_from(spark: SparkSession, path: str) -> list[Rule]:
     """Rules of a text file, or of a folder of them in order of their names, wherever Spark can read."""
-    rows = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), "value").orderBy("file").collect()
+    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value").orderBy("file").collect()
     return [rule for r in rows for rule in read_rules(r["value"].splitlines())]
 
 
