@@ -69,29 +69,132 @@ def leaks(question: Column, evidence: Column, limit: int = 5) -> Column:
     return F.arrays_overlap(X.word_shingles(X.word_list(question), limit), X.word_shingles(X.word_list(evidence), limit))
 
 
-def check_slots(slots: DataFrame, short: int = 15, long: int = 40) -> DataFrame:
-    """Adds issues (array) and status of authoring checks: 미작성, 반려, 주의 or 통과.
+#: Patterns and word lists of the authoring checks, of the worksheet checks and of the reference scan.
+LEAK_LIMIT, SHORT_WARN, SHORT_FAIL, MANY_SENTENCES, MANY_NAMES = 5, 15, 40, 4, 3
+DATE = r"(?:19|20)\d{2}\s*년|(?:19|20)\d{2}[.\-/]\d{1,2}|\d{1,2}\s*월\s*\d{1,2}\s*일"
+YEAR = r"(?:19|20)\d{2}"
+QUOTED = r"[「『][^」』]{2,60}[」』]"
+ARTICLE_PLACE, PARAGRAPH_PLACE, ITEM_PLACE = r"제\s*\d{1,3}\s*조(?:\s*의\s*\d+)?", r"제\s*\d{1,2}\s*항|[①-⑳]", r"제\s*\d{1,3}\s*호"
+FORM_NUMBER = r"별지\s*제?\s*\d+\s*호(?:\s*서식)?"
+APPLIES = ("적용", "해당", "포함", "대상", "제외")
+WHEN = ("현행", "개정", "시행", "종전", "이전", "이후", "당시", "기존", "소급", "착수", "체결", "발령", "종래", "구법", "신법", "경과", "부터", "까지", "전에", "후에", "당초", "최초", "이미")
+NO_BASIS = (
+    "확인할 수 없", "확인이 어렵", "확인 불가", "알 수 없", "판단할 수 없", "근거가 없", "근거를 찾을 수 없", "규정되어 있지 않", "포함되어 있지 않", "포함되지 않", "다루지 않", "범위 밖", "범위를 벗어",
+    "대상이 아니", "소관", "적용되지 않", "해당하지 않", "폐지", "미공개", "다른 법령", "타 법령", "일반법", "국가계약법", "이 규정집", "이 코퍼스", "명시되어 있지 않",
+)
+SHEET_DATE = r"\d{4}\s*[.\-년/]\s*\d{1,2}|\d{4}년|\d{8}"
+GENERIC = ("적용범위", "적용 범위", "목적", "정의", "적용대상", "적용 대상", "구성", "운영원칙", "관리ㆍ운용 원칙", "기본원칙", "업무분장")
 
-    Needs question, answer_short, evidence, level, answerable.
+
+def _words(c: Column) -> Column:
+    """Words between white space, after everything but letters, digits and underscores became a blank."""
+    return F.filter(F.split(F.regexp_replace(c, r"[^\p{L}\p{N}_]", " "), X.SPACE + "+"), lambda w: w != "")
+
+
+def _any_of(c: Column, words: tuple[str, ...]) -> Column:
+    return c.rlike("|".join(words))
+
+
+def _count(c: Column, pattern: str) -> Column:
+    return F.size(F.regexp_extract_all(c, F.lit(f"({pattern})"), F.lit(1)))
+
+
+def _places(q: Column) -> Column:
+    """Does a text point at an article, paragraph or item? The number of a form is no such place."""
+    bare = F.regexp_replace(q, FORM_NUMBER, " ")
+    return bare.rlike(f"{ARTICLE_PLACE}|{PARAGRAPH_PLACE}|{ITEM_PLACE}")
+
+
+def check_slots(slots: DataFrame) -> DataFrame:
+    """Adds fails and warnings (arrays of rule names) and status of the authoring checks: 미작성, 반려, 주의 or 통과.
+
+    Needs question, answer_short, answer_long, evidence (array of texts), level, answerable, cited_target.  Rules:
+    shared runs of words with the evidence, quoted names apart (leak; leak_border one word before); length of a short
+    answer to an answerable question; sentences of the long one; names and years; a date in the question; a place in
+    an answerable question; the cited document's name in an unanswerable one; the three elements of level 4; the
+    wording of level 0; quoted names.
     """
-    q, a, e = (F.coalesce(c, F.lit("")) for c in ("question", "answer_short", "evidence"))
+    q, a, long_ = (X.strip(F.coalesce(c, F.lit(""))) for c in ("question", "answer_short", "answer_long"))
+    answerable, level = F.coalesce(F.col("answerable"), F.lit(True)), F.coalesce(F.col("level"), F.lit(-1))
     n = F.length(a)
-    fail = [
-        F.when(leaks(q, e), "leak"),
-        F.when(q.rlike(r"제\s*\d{1,3}\s*조(?:\s*의\s*\d+)?|제\s*\d{1,2}\s*항|[①-⑳]"), "position"),
-        F.when(q.rlike(r"[「『][^」』]{2,60}[」』]"), "names_source"),
-        F.when(F.col("answerable") & (n > long), "long_answer"),
-        F.when(F.col("answerable") & (a == ""), "no_answer"),
-        F.when(~F.col("answerable") & (a != ""), "oos_answered"),
-    ]
-    warn = [
-        F.when(F.col("answerable") & (n > short) & (n <= long), "answer_length"),
-        F.when((F.col("level") == 4) & ~q.rlike(r"(19|20)\d{2}\s*년|(19|20)\d{2}[.\-/]\d{1,2}|\d{1,2}\s*월\s*\d{1,2}\s*일"), "no_date"),
-        F.when(F.size(F.filter(F.split(q, r"[.!?。]\s*"), lambda s: F.trim(s) != "")) > 2, "many_sentences"),
-    ]
-    out = slots.withColumn("fails", F.array_compact(F.array(*fail))).withColumn("warnings", F.array_compact(F.array(*warn)))
-    status = F.when(F.trim(q) == "", "미작성").when(F.size("fails") > 0, "반려").when(F.size("warnings") > 0, "주의").otherwise("통과")
-    return out.withColumn("status", status)
+    own = _words(F.regexp_replace(q, QUOTED, " "))
+    runs = lambda size: F.exists(F.coalesce("evidence", F.array().cast("array<string>")), lambda e: F.arrays_overlap(X.word_shingles(own, size), X.word_shingles(_words(F.coalesce(e, F.lit(""))), size)))
+    flat = lambda c: X.replace(c, f"{X.SPACE}+")
+    target = F.coalesce("cited_target", F.lit(""))
+    rows = slots.withColumns({"_leak": runs(LEAK_LIMIT), "_border": runs(LEAK_LIMIT - 1)})
+    fail = {
+        "leak": F.col("_leak"),
+        "long_answer": answerable & (n > SHORT_FAIL),
+        "date": q.rlike(DATE),
+        "position": answerable & _places(q),
+    }
+    warn = {
+        "leak_border": ~F.col("_leak") & F.col("_border"),
+        "answer_length": answerable & (n > SHORT_WARN) & (n <= SHORT_FAIL),
+        "many_sentences": F.size(F.filter(F.split(long_, r"[.!?。]\s*"), lambda s: X.strip(s) != "")) > MANY_SENTENCES,
+        "names_and_years": _count(q, QUOTED) + _count(q, YEAR) >= MANY_NAMES,
+        "target_not_named": ~answerable & (target != "") & ~flat(q).contains(flat(target)),
+        "no_application": (level == 4) & ~_any_of(long_, APPLIES),
+        "no_basis": (level == 4) & ~long_.rlike(r"제\s*\d{1,3}\s*조|부칙|별표"),
+        "no_time": (level == 4) & ~_any_of(long_, WHEN) & ~long_.rlike(r"20\d{2}|\d+년|\d+월"),
+        "not_declined": (level == 0) & ~_any_of(long_, NO_BASIS),
+        "quoted_names": q.rlike(QUOTED),
+    }
+    missing = {"no_question": q == "", "no_short_answer": a == "", "no_long_answer": long_ == ""}
+    names = lambda rules: F.array_compact(F.array(*(F.when(c, name) for name, c in rules.items())))
+    out = rows.withColumn("_missing", names(missing)).withColumn("fails", F.when(F.size("_missing") > 0, F.col("_missing")).otherwise(names(fail)))
+    out = out.withColumn("warnings", F.when(F.size("_missing") > 0, F.array().cast("array<string>")).otherwise(names(warn)))
+    status = F.when(F.size("_missing") > 0, "미작성").when(F.size("fails") > 0, "반려").when(F.size("warnings") > 0, "주의").otherwise("통과")
+    return out.withColumn("status", status).drop("_missing", "_leak", "_border")
+
+
+def check_sheet(slots: DataFrame) -> DataFrame:
+    """(qid, warnings) of what a filled worksheet should be looked at for; only written questions.
+
+    Needs question, answer_short, answer_long, evidence (array of texts), answerable.
+    """
+    q, a = F.coalesce("question", F.lit("")), F.coalesce("answer_short", F.lit(""))
+    answerable = F.coalesce(F.col("answerable"), F.lit(True))
+    leak = F.exists(F.coalesce("evidence", F.array().cast("array<string>")), lambda e: leaks(q, F.coalesce(e, F.lit("")), LEAK_LIMIT))
+    warn = {
+        "leak": leak,
+        "date": q.rlike(SHEET_DATE),
+        "answer_length": answerable & (F.length(a) > SHORT_WARN),
+        "not_declined": ~answerable & ~a.contains("근거") & ~a.contains("없"),
+        "no_long_answer": X.strip(F.coalesce("answer_long", F.lit(""))) == "",
+    }
+    return slots.where(X.strip(q) != "").select("qid", F.array_compact(F.array(*(F.when(c, name) for name, c in warn.items()))).alias("warnings"))
+
+
+def scan_references(slots: DataFrame) -> DataFrame:
+    """(qid, kind, item) of written questions: 제거 (a place), and, of an answerable one, 검토 (names a gold document) or 주의
+    (generic words alone), of an unanswerable one, 필요 (names the cited document) or 주의 (does not).
+
+    Needs question, answerable, gold_names (array), cited_target.
+    """
+    q, target = X.strip(F.coalesce("question", F.lit(""))), F.coalesce("cited_target", F.lit(""))
+    answerable = F.coalesce(F.col("answerable"), F.lit(True))
+    named = F.filter(F.array_distinct(F.coalesce("gold_names", F.array().cast("array<string>"))), lambda n: (n != "") & q.contains(n))
+    flag = lambda c, kind, item: F.when(c, F.struct(F.lit(kind).alias("kind"), item.alias("item")))
+    flags = F.array_compact(F.array(
+        flag(_places(q), "제거", F.lit("place")),
+        flag(~answerable & (target != ""), "필요", target), flag(answerable & (F.size(named) > 0), "검토", F.array_min(named)),
+        flag(answerable & (F.size(named) == 0) & _any_of(q, GENERIC), "주의", F.lit("generic")),
+    ))
+    rows = slots.where(q != "").select("qid", q.alias("_q"), F.explode(flags).alias("f")).select("qid", "_q", "f.*")
+    unnamed = (F.col("kind") == "필요") & ~F.col("_q").contains(F.col("item"))
+    return rows.select("qid", F.when(unnamed, "주의").otherwise(F.col("kind")).alias("kind"), "item")
+
+
+def worksheet(slots: DataFrame, done: DataFrame, duplicates: DataFrame) -> DataFrame:
+    """Slots still to be written, by level, with the gold document that most others repeat (a weak instrument): n_dup and top_sim, null if none is repeated.
+
+    ``done`` has (qid, question), ``duplicates`` (qid, n_dup_other, top_sim).
+    """
+    written = done.where(X.strip(F.coalesce("question", F.lit(""))) != "").select("qid")
+    weak = duplicates.where("n_dup_other > 0").groupBy("qid").agg(F.max(F.struct("n_dup_other", "top_sim")).alias("w"))
+    out = slots.join(written, "qid", "left_anti").join(weak, "qid", "left")
+    return out.select(*slots.columns, F.col("w.n_dup_other").alias("n_dup"), F.col("w.top_sim").alias("top_sim"))
 
 
 def evidence(gold: DataFrame, units: DataFrame, cap: int = 8000) -> DataFrame:

@@ -12,16 +12,32 @@ from pyspark.sql.types import StructType
 from pyspark.sql.utils import AnalysisException
 
 
-def json_lines(spark: SparkSession, path: str | list[str], schema: str, optional: bool = False) -> DataFrame:
-    """Rows of JSON lines under a schema; blank lines are skipped, broken ones dropped. ``optional``: a missing path is an empty table."""
+def json_lines(spark: SparkSession, path: str | list[str], schema: str, optional: bool = False, tolerant: bool = False) -> DataFrame:
+    """Rows of JSON lines under a schema; blank lines are skipped, a broken one fails the job, or, if ``tolerant``, is left out
+    (``broken_lines`` counts those).  ``optional``: a missing path is an empty table.
+    """
     try:
-        return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+        return spark.read.schema(schema).option("mode", "DROPMALFORMED" if tolerant else "FAILFAST").json(path)
     except AnalysisException as e:
         if optional and "PATH_NOT_FOUND" in str(e):
             return spark.createDataFrame([], schema)
         raise
 
 
+def broken_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, n): lines that are neither blank nor JSON, per file that has any."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value").where(F.trim("value") != "")
+    return lines.where(F.try_parse_json("value").isNull()).groupBy("file").agg(F.count("*").alias("n"))
+
+
+def versions(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """(file, pos, record, key, version): all versions of a folder of record files, each version named by its file, one a key and file."""
+    rows = records(spark, path).withColumn("key", F.try_variant_get(F.try_parse_json("record"), key, "string"))
+    leaf = F.regexp_replace(F.element_at(F.split("file", "/"), -1), r"\.[^.]*$", "")
+    first = F.row_number().over(Window.partitionBy("file", "key").orderBy("pos"))
+    return rows.withColumn("version", leaf).withColumn("_i", first).where("_i = 1").drop("_i")
+
+
 def json_document(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A whole-file JSON object or array of objects."""
     return spark.read.schema(schema).option("multiLine", True).json(path)
@@ -32,12 +48,13 @@ def records(spark: SparkSession, path: str) -> DataFrame:
 
     The shape is told per file from its text; the record stays a string for from_json or parse_json.
     """
-    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.trim("value").alias("t"))
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.trim("value").alias("t"))
     as_array = F.try_parse_json("t")
     whole = F.try_variant_get(as_array, "$", "array<variant>")
     many = F.transform(whole, lambda v: F.to_json(v))
-    lines = F.filter(F.split("t", r"\r?\n"), lambda x: F.trim(x) != "")
-    parts = F.when(F.col("t").startswith("["), many).when(as_array.isNotNull(), F.array("t")).otherwise(lines)
+    lines = F.filter(F.transform(F.split("t", r"\r?\n"), lambda x: F.trim(x)), lambda x: x != "")
+    by_line = F.forall(lines, lambda x: x.startswith("{") & x.endswith("}") & F.try_parse_json(x).isNotNull())
+    parts = F.when(F.col("t").startswith("["), many).when(by_line, lines).when(as_array.isNotNull(), F.array("t")).otherwise(lines)
     return files.select("file", F.posexplode(parts).alias("pos", "record"))
 
 
@@ -48,7 +65,7 @@ def first_per_key(records_: DataFrame, key: str) -> DataFrame:
 
 
 def tab_separated(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).option("sep", "\t").option("header", True).option("mode", "DROPMALFORMED").csv(path)
+    return spark.read.schema(schema).option("sep", "\t").option("header", True).option("mode", "FAILFAST").csv(path)
 
 
 def responses(spark: SparkSession, path: str, schema: str, closed_book: str | None = None) -> DataFrame:

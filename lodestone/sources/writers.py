@@ -12,6 +12,14 @@ def json_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
+def json_document(df: DataFrame, path: str, wrap: str | None = None) -> None:
+    """One JSON document: an array of the rows, or an object that has it under ``wrap``. For small tables: one task gathers them, in order of their text."""
+    rows = F.array_sort(F.collect_list(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})))
+    body = F.concat(F.lit("["), F.array_join(rows, ",\n"), F.lit("]"))
+    whole = body if wrap is None else F.concat(F.lit("{" + f'"{wrap}": '), body, F.lit("}"))
+    df.agg(whole.alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
 def delimited(df: DataFrame, path: str, sep: str = ",", bom: bool = False) -> None:
     """CSV or TSV with a header, as one file a task; ``bom`` puts a byte-order mark before the header, for spreadsheet programs (small tables: one file)."""
     if not bom:
@@ -24,9 +32,12 @@ def delimited(df: DataFrame, path: str, sep: str = ",", bom: bool = False) -> No
 
 
 def markdown(df: DataFrame, title: str, limit: int = 200) -> str:
-    """A report table of a small aggregate; numbers to four digits."""
+    """A report table of a small aggregate; numbers to four digits; rows beyond ``limit`` are counted below the table."""
     show = lambda v: "" if v is None else f"{v:.4g}" if isinstance(v, float) else str(v)
-    rows = [" | ".join(map(show, r)) for r in df.limit(limit).collect()]
+    found = df.limit(limit + 1).collect()
+    rows = [" | ".join(map(show, r)) for r in found[:limit]]
+    if len(found) > limit:
+        rows.append(f"... {df.count() - limit} more" + " | " * (len(df.columns) - 1))
     return "\n".join([f"## {title}", "", f"| {' | '.join(df.columns)} |", f"|{'---|' * len(df.columns)}", *(f"| {r} |" for r in rows), ""])
 
 

@@ -176,8 +176,32 @@ def test_slots(spark):
     a = spark.createDataFrame([("q1", ["u1", "u2"], ""), ("q2", ["u3"], "")], "qid string, gold_ids array<string>, question string")
     w = spark.createDataFrame([("q1", ["u2", "u1"], "옮김"), ("q2", ["u9"], "버림")], "qid string, gold_ids array<string>, question string")
     assert {r["qid"]: r["question"] for r in slots.carry_over(a, w, ["question"]).collect()} == {"q1": "옮김", "q2": ""}
-    c = spark.createDataFrame([("q1", "방위사업의 절차는 무엇인가?", "30일", "다른 글", 1, True), ("q2", "제5조의 내용은?", "x", "", 1, True), ("q3", "", "", "", 1, True), ("q4", "하나 둘 셋 넷 다섯 여섯", "a", "영 하나 둘 셋 넷 다섯", 1, True)], "qid string, question string, answer_short string, evidence string, level int, answerable boolean")
-    assert {r["qid"]: r["status"] for r in slots.check_slots(c).collect()} == {"q1": "통과", "q2": "반려", "q3": "미작성", "q4": "반려"}
+    long_ = "제1조에 따라 적용한다."
+    rows = [
+        ("ok", "절차는 무엇인가?", "30일", long_, ["다른 글"], 1, True, None, "통과", [], []),
+        ("empty", "", "", "", [], 1, True, None, "미작성", ["no_question", "no_short_answer", "no_long_answer"], []),
+        ("half", "묻는다", None, long_, [], 1, True, None, "미작성", ["no_short_answer"], []),
+        ("leak", "하나 둘 셋 넷 다섯 여섯", "a", long_, ["영 하나, 둘 셋 넷 다섯"], 1, True, None, "반려", ["leak"], []),
+        ("border", "하나 둘 셋 넷 여섯", "a", long_, ["영 하나 둘 셋 넷 다섯"], 1, True, None, "주의", [], ["leak_border"]),
+        ("quoted", "「하나 둘 셋 넷 다섯 여섯」 기준은", "a", long_, ["하나 둘 셋 넷 다섯"], 1, True, None, "주의", [], ["quoted_names"]),
+        ("place", "제5조의2 내용은?", "a", long_, [], 1, True, None, "반려", ["position"], []),
+        ("place_out", "제5조의2 내용은?", "a", "확인할 수 없다", [], 0, False, None, "통과", [], []),
+        ("form", "별지 제3호 서식은?", "a", long_, [], 1, True, None, "통과", [], []),
+        ("date", "2020년 3월 기준은?", "a", long_, [], 1, True, None, "반려", ["date"], []),
+        ("long", "무엇", "x" * 41, "가. 나. 다. 라. 마.", [], 1, True, None, "반려", ["long_answer"], ["many_sentences"]),
+        ("longer_out", "무엇", "x" * 41, "소관 아님", [], 0, False, "산림 법", "주의", [], ["target_not_named"]),
+        ("named_out", "산림법 에 무엇", "없음", "아무 말", [], 0, False, "산림 법", "주의", [], ["not_declined"]),
+        ("four", "무엇", "a", "말", [], 4, True, None, "주의", [], ["no_application", "no_basis", "no_time"]),
+        ("years", "2001 2002 2003 중", "a" * 16, long_, None, 1, True, None, "주의", [], ["answer_length", "names_and_years"]),
+    ]
+    c = spark.createDataFrame([r[:8] for r in rows], "qid string, question string, answer_short string, answer_long string, evidence array<string>, level int, answerable boolean, cited_target string")
+    assert {r["qid"]: (r["status"], r["fails"], r["warnings"]) for r in slots.check_slots(c).collect()} == {r[0]: r[8:] for r in rows}
+    sheet = {r["qid"]: r["warnings"] for r in slots.check_sheet(c).collect()}
+    assert "empty" not in sheet and sheet["leak"] == ["leak"] and sheet["date"] == ["date"] and sheet["longer_out"] == ["not_declined"] and sheet["named_out"] == [] and sheet["ok"] == []
+    r = spark.createDataFrame([("a", "제5조는?", True, ["산림법"], None), ("b", "산림법 기준은?", True, ["산림법", ""], None), ("c", "목적은?", True, ["산림법"], None), ("d", "산림법은?", False, None, "산림법"), ("e", "무엇?", False, None, "산림법"), ("f", "무엇?", True, None, None), ("g", " ", True, None, None)], "qid string, question string, answerable boolean, gold_names array<string>, cited_target string")
+    assert {tuple(x) for x in slots.scan_references(r).collect()} == {("a", "제거", "place"), ("b", "검토", "산림법"), ("c", "주의", "generic"), ("d", "필요", "산림법"), ("e", "주의", "산림법")}
+    todo = slots.worksheet(spark.createDataFrame([("a",), ("b",), ("c",)], "qid string"), spark.createDataFrame([("a", "써짐"), ("b", " ")], "qid string, question string"), spark.createDataFrame([("b", 2, 0.7), ("b", 3, 0.65), ("c", 0, 0.9)], "qid string, n_dup_other int, top_sim double"))
+    assert {tuple(x) for x in todo.collect()} == {("b", 3, 0.65), ("c", None, None)}
     assert slots.longest_common_run("a b c d".split(), "x b c y".split()) == 2
     g = spark.createDataFrame([("q", [("u1", "a\na\nb", "optional"), ("u2", "c", "required")])], "qid string, gold_evidence array<struct<unit_id:string,text_span:string,necessity:string>>")
     assert [r["unit"] for r in slots.required_units(g).collect()] == ["u2"]
@@ -190,6 +214,16 @@ def test_readers(spark, tmp_path):
     (d / "a.json").write_text('[{"id": 1}, {"id": 2}]')
     (d / "b.json").write_text('{"id": 3}')
     (d / "c.json").write_text('{"id": 1}\n\n{"id": 5}\n')
+    (tmp_path / "pretty").mkdir()
+    (tmp_path / "pretty" / "x.json").write_text('{\n "id": 7,\n "list": [\n  {"a": 1}\n ]\n}')
+    (tmp_path / "pretty" / "y.json").write_text('[\n{"id": 8},\n{"id": 9}\n]\n')
+    assert sorted(r["id"] for r in readers.records(spark, str(tmp_path / "pretty")).select(F.get_json_object("record", "$.id").alias("id")).collect()) == ["7", "8", "9"]
+    both = readers.versions(spark, str(tmp_path / "pretty"), "$.id")
+    assert {(r["version"], r["key"]) for r in both.collect()} == {("x", "7"), ("y", "8"), ("y", "9")}
+    (tmp_path / "broken.jsonl").write_text('{"id": 1}\n\nno json\n{"id": 2}\n')
+    assert readers.json_lines(spark, str(tmp_path / "broken.jsonl"), "id int", tolerant=True).count() == 2 and readers.broken_lines(spark, str(tmp_path / "broken.jsonl")).first()["n"] == 1
+    with pytest.raises(Exception, match="MALFORMED"):
+        readers.json_lines(spark, str(tmp_path / "broken.jsonl"), "id int").collect()
     recs = readers.records(spark, str(d)).withColumn("id", F.get_json_object("record", "$.id"))
     assert sorted(r["id"] for r in recs.collect()) == ["1", "1", "2", "3", "5"] and readers.first_per_key(recs, "id").count() == 4
     (tmp_path / "x.jsonl").write_text('{"a": 1}\n\nbroken\n{"a": 2}\n')
