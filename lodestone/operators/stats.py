@@ -21,9 +21,9 @@ def wilson(k: Column, n: Column, z: float = Z95) -> Column:
 
 
 def format_interval(k: Column, n: Column) -> Column:
-    """'23.7% [16–33] (23/97)'; '-' at n = 0."""
+    """'23.7% [16–33] (23/97)', ties rounded to even; '-' at n = 0."""
     w = wilson(k, n)
-    return F.when(n > 0, F.format_string("%.1f%% [%.0f–%.0f] (%d/%d)", 100.0 * k / n, w["lo"], w["hi"], k.cast("long"), n.cast("long"))).otherwise("-")
+    return F.when(n > 0, F.format_string("%.1f%% [%.0f–%.0f] (%d/%d)", F.bround(100.0 * k / n, 1), F.bround(w["lo"], 0), F.bround(w["hi"], 0), k.cast("long"), n.cast("long"))).otherwise("-")
 
 
 def _log_factorial(n: Column) -> Column:
