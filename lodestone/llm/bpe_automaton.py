@@ -35,6 +35,7 @@ import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -50,7 +51,9 @@ END = "</w>"
 #: Chunks of a generation of one worker's cache.
 CACHE_CHUNKS = 130_000
 #: States of the character automaton that one worker keeps; beyond it the table is built anew as texts need it.
-TABLE_STATES = 150_000
+TABLE_STATES = 100_000
+#: Documents whose ids and labels are held together.
+TOGETHER = 500
 
 
 def byte_alphabet() -> str:
@@ -286,16 +289,21 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
     arrays = keep == "arrays"
     fields += [T.StructField("input_ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())] if arrays else [T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
 
+    def judge(piece: pa.RecordBatch) -> pa.RecordBatch:
+        written = [written_ids(vocabulary, text) for text in piece.column("text").to_pylist()]
+        n = np.array([ids.count(b" ") + 1 if ids else 0 for ids, _ in written], np.int64)
+        if arrays:
+            flat = np.fromstring(b" ".join([ids for ids, _ in written if ids]), np.int32, sep=" ") if n.any() else np.zeros(0, np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)], pa.int32()), pa.array(flat))
+            decoded = pa.array([d for _, d in written], pa.binary()).cast(pa.string())
+        else:
+            ids, decoded = (pa.array([hashlib.sha256(w[i]).hexdigest() for w in written], pa.string()) for i in (0, 1))
+        return pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(n), ids, decoded], names=[f.name for f in fields])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, a, b = [], [], []
-            for text in batch.column("text").to_pylist():
-                ids, decoded = written_ids(vocabulary, text)
-                n.append(ids.count(b" ") + 1 if ids else 0)
-                a.append([*map(int, ids.split())] if arrays else hashlib.sha256(ids).hexdigest())
-                b.append(decoded.decode() if arrays else hashlib.sha256(decoded).hexdigest())
-            out = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.list_(pa.int32()) if arrays else pa.string()), pa.array(b, pa.string())]
-            yield pa.RecordBatch.from_arrays(out, names=[f.name for f in fields])
+            for at in range(0, batch.num_rows, TOGETHER):
+                yield judge(batch.slice(at, TOGETHER))
         # a reused worker must not hold this task's chunks while other stages run in it
         _chunks(vocabulary).forget()
         release_memory()
