@@ -41,8 +41,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = minhash.near_duplicates(rows.select("row", "carried.text"), shingle=5, threshold=80, id_col="row").select(F.col("doc_id").alias("row"), "component_id")
     order = F.struct(F.col("carried.doc_id").isNull(), "carried.doc_id", "row")
     grouped = materialise(found.join(rows.select("row", "carried.doc_id"), "row").select("row", "component_id", F.struct("doc_id").alias("carried")), "grouped")
-    first = grouped.groupBy("component_id").agg(F.min(order)["row"].alias("first"), F.count("*").alias("n")).where("n > 1")
-    gone = materialise(grouped.join(first, "component_id").where("row <> first").select("row"), "gone")
+    first = materialise(grouped.groupBy("component_id").agg(F.min(order)["row"].alias("first"), F.count("*").alias("n")).where("n > 1"), "first")
+    gone = materialise(grouped.join(broadcast_if_small(first, 24), "component_id").where("row <> first").select("row"), "gone")
     return rows.join(broadcast_if_small(gone, 16), "row", "left_anti").select(*map(_column, docs.columns))
 
 
