@@ -2,54 +2,25 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import re
-import tempfile
 import uuid
 from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.session import broadcast_if_small, shared_dir  # noqa: F401  operators take both from here
+
 #: Broadcast or driver-held data never exceeds this many bytes; larger inputs go by blocks.
 BROADCAST_LIMIT = 32 << 20
 
-_own_dirs: dict[str, str] = {}
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """This application's own folder within the one that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where that is unset a folder of our own serves, in local mode only: on a cluster a machine-local
-    folder would not be visible to other machines.  It is removed when the interpreter ends.
-    """
-    app = spark.sparkContext.applicationId
-    if app not in _own_dirs:
-        found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        if not found and not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        _own_dirs[app] = f"{found.rstrip('/') if found else 'file://' + tempfile.gettempdir()}/lodestone-{app}"
-        atexit.register(_delete, spark.sparkContext._jvm, _own_dirs[app])
-    return _own_dirs[app]
-
-
-def _delete(jvm, path: str) -> None:
-    """Remove a folder, on whichever store; at the interpreter's end the JVM may be gone already, and its folder stays."""
-    try:
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(target, True)
-    except (Py4JError, OSError):
-        pass
-
-
 #: Tables that this process wrote into the shared folder: (application, path, catalogue name or None).
 _written: list[tuple[str, str, str | None]] = []
 
@@ -89,11 +60,6 @@ def release_tables(spark: SparkSession, since: int = 0, last: bool = True) -> No
         _written.remove(entry)
 
 
-def broadcast_if_small(df: DataFrame, row_bytes: int) -> DataFrame:
-    """A written table, to be broadcast if its rows are within the limit: then the other side stays put, whatever its keys."""
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_LIMIT else df
-
-
 def packed(columns: Sequence[str]) -> Column:
     """The columns as one struct, `carried`: no name of theirs can clash with an operator's own."""
     return F.struct(*(F.col(f"`{c}`") for c in columns)).alias("carried")
