@@ -11,6 +11,7 @@ from lodestone.operators import stats
 from lodestone.operators import slots as S
 from lodestone.plans.tables import table
 from lodestone.registry import query
+from lodestone.session import stored
 
 #: What responses state as their confidence, by turns: the four words, an echoed template, something else.
 _CONF = ["높음", "중간", "낮음", "모름", "<높음|중간>", "아마"]
@@ -138,7 +139,8 @@ def regression_samples(spark: SparkSession, sf: str) -> DataFrame:
 def regressions(spark: SparkSession, sf: str) -> DataFrame:
     """All outcomes on coverage, characters and models. Newton steps are beyond SQL; tests hold them against numpy on gathered rows."""
     facts = G.analysis_sample(analysed(spark, sf)).withColumn("model", F.substring("model", 1, 4))
-    rows = stats.regressions(facts.select("qid", "model", "cov_pct", "char_pct", "cited_ok", "answered", "judged", "correct", "overconf", "abstain", "oos").persist())
+    facts = facts.select("qid", "model", "cov_pct", "char_pct", "cited_ok", "answered", "judged", "correct", "overconf", "abstain", "oos")
+    rows = stats.regressions(stored(facts, "facts"))
     return spark.createDataFrame([tuple(r.values()) for r in rows], "outcome string, term string, coef double, se double, z double, p double, odds_ratio double, ci_lo double, ci_hi double")
 
 
