@@ -36,10 +36,10 @@ def test_judge_majority_counts_all_turns(run):
 
 def test_graded_answers_read_whole_texts(run):
     long = " ".join(f"word{chr(97 + i % 26)}" for i in range(100))
-    rows = [(1, f"{long} 확인할 수 없음"), (6, f"{long} 42"), (12, long), (13, long)]
+    rows = [(1, f"{long} 확인할 수 없음"), (7, f"{long} 42"), (12, long), (13, long)]
     got = run("graded_answers", "documents", [(i, t, "en", "web", len(t)) for i, t in rows], DOCS)
-    # 1 abstains at its end; 6 shares the number at its end; 12 has no number but the differing ones of gold (0) and answer (2); 13 abstains by rule
-    assert {r["qid"]: r["state"] for r in got} == {1: "honest_abstain", 6: "correct", 12: "overconfident", 13: "honest_abstain"}
+    # 1 abstains at its end; 7 (whose gold is its whole text) shares the number at its end; 12 has no number but the differing ones of gold (0) and answer (2); 13 abstains by rule
+    assert {r["qid"]: r["state"] for r in got} == {1: "honest_abstain", 7: "correct", 12: "overconfident", 13: "honest_abstain"}
 
 
 def test_rising_cap_sample_draws_from_all_documents(run):
