@@ -49,3 +49,17 @@ def test_bm25_top_is_the_top_of_all_scores(corpus):
 
 def test_bm25_query_moves_no_pairs(spark, sf):
     assert "Join" not in plan(registry.queries()["bm25_top5"](spark, sf))
+
+
+def test_hybrid_top_is_the_top_of_all_fused_scores(corpus):
+    items, docs, vectors = corpus
+    live = docs.where("live").select("doc_id").join(vectors.withColumnRenamed("vec_id", "doc_id"), "doc_id")
+    queries = items.select(F.col("item_id").alias("qid")).join(vectors.withColumnRenamed("vec_id", "qid"), "qid")
+    cos = R.cosine_scores(queries, live.withColumnRenamed("doc_id", "vec_id")).select("qid", F.col("vec_id").alias("doc_id"), F.col("cos").alias("vec"))
+    both = cos.join(R.bm25_scores(items, docs.drop("live")), ["qid", "doc_id"], "left").withColumn("bm25", F.coalesce("bm25", F.lit(0.0)))
+    want = R.top_k(R.fused(both).withColumn("score", F.round("score", 9)), 5)
+    assert found(search.hybrid_top(items, docs, vectors)) == found(want)
+
+
+def test_hybrid_query_moves_no_pairs(spark, sf):
+    assert "Join" not in plan(registry.queries()["hybrid_top5"](spark, sf))
