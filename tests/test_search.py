@@ -63,3 +63,13 @@ def test_hybrid_top_is_the_top_of_all_fused_scores(corpus):
 
 def test_hybrid_query_moves_no_pairs(spark, sf):
     assert "Join" not in plan(registry.queries()["hybrid_top5"](spark, sf))
+
+
+def test_prompts_query_leaves_texts_in_place(spark, sf):
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        steps = plan(registry.queries()["prompts"](spark, sf)).split("== Physical Plan ==")[1]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert steps.count("SortMergeJoin") == 1  # items with their contexts, by item
