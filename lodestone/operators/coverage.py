@@ -7,26 +7,61 @@ forms over a fixed order, so levels nest by construction.
 from __future__ import annotations
 
 import random
-from collections.abc import Sequence
+import re
+from collections import Counter
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lodestone.functions import text as X
 
+_WORD = re.compile(r"\w+")  # as functions.text.word_list: letters, numbers and underscores of all scripts
+
 #: The levels of both kinds of condition.
 COVERAGE_LEVELS = (100, 85, 70, 55, 40, 25, 10, 0)
 VOLUME_LEVELS = (100, 85, 70, 55, 40, 30)
 
 
-def shared_shingles(items: DataFrame, docs: DataFrame, n: int = 5, item_id: str = "item_id", doc_id: str = "doc_id") -> DataFrame:
-    """(item_id, doc_id, n_shared): items and documents that share a run of n words.
+#: Shingles of items that travel to the documents as they are; beyond that they are joined by value.
+SENT_SHINGLES = 1_000_000
+
+
+def shared_shingles(items: DataFrame, docs: DataFrame, n: int = 5, item_id: str = "item_id", doc_id: str = "doc_id", keep: Sequence[str] = ()) -> DataFrame:
+    """(item_id, doc_id, n_shared) and the documents' columns ``keep``: items and documents that share a run of n words.
 
-    Items' shingles are joined by value; the join is left to the optimiser, which broadcasts them while they are small.
+    The items' shingles are sent to the documents, whose own leave their task only where they are shared; too many of
+    them are joined by value.
     """
-    gram = lambda df, key: df.select(key, F.explode(X.word_shingles(X.word_list(F.col("text")), n)).alias("gram"))
+    gram = lambda df, *keys: df.select(*keys, F.explode(X.word_shingles(X.word_list(F.col("text")), n)).alias("gram"))
     left = gram(items, item_id).distinct()
-    return gram(docs, doc_id).join(left, "gram").distinct().groupBy(item_id, doc_id).agg(F.count("*").alias("n_shared"))
+    if n < 2 or left.count() > SENT_SHINGLES:
+        return gram(docs, doc_id, *keep).join(left, "gram").distinct().groupBy(item_id, doc_id, *keep).agg(F.count("*").alias("n_shared"))
+    names = [item_id, doc_id, *keep]
+    own: dict[tuple, list] = {}
+    for item, text in zip(*left.toArrow().select([item_id, "gram"]).to_pydict().values(), strict=True):
+        own.setdefault(tuple(text.split(" ")), []).append(item)
+    sent = docs.sparkSession.sparkContext.broadcast(own)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = sent.value
+        for batch in batches:
+            rows, found, numbers = [], [], []
+            for i, text in enumerate(batch.column(0)):
+                words = _WORD.findall(text.as_py() or "")
+                shared = {g for g in zip(*(words[j:] for j in range(n)), strict=False) if g in wanted}
+                for item, k in Counter(item for g in shared for item in wanted[g]).items():
+                    rows.append(i), found.append(item), numbers.append(k)
+            if rows:
+                at = pa.array(rows)
+                yield pa.RecordBatch.from_arrays([pa.array(found, item_type), *(batch.column(1 + j).take(at) for j in range(len(names) - 1)), pa.array(numbers, pa.int64())], names=[*names, "n"])
+
+    item_type = to_arrow_type(items.schema[item_id].dataType)
+    kinds = [items.schema[item_id].dataType, *(docs.schema[c].dataType for c in names[1:])]
+    pairs = docs.select("text", *names[1:]).mapInArrow(run, ", ".join(f"`{c}` {k.simpleString()}" for c, k in zip(names, kinds, strict=True)) + ", n long")
+    return pairs.groupBy(*names).agg(F.sum("n").alias("n_shared"))
 
 
 def shuffle_ranks(spark: SparkSession, ids: Sequence[str], seed: int) -> DataFrame:

@@ -36,8 +36,7 @@ kept AS (SELECT s.strategy, s.level, (SELECT sum(chars) FROM ch) - coalesce(sum(
 def gold(spark: SparkSession, sf: str) -> DataFrame:
     """(item_id, doc_id, source, n_shared): documents that share five words in a row with a benchmark item."""
     docs = table(spark, sf, "documents")
-    pairs = C.shared_shingles(table(spark, sf, "benchmark"), docs)
-    return pairs.join(docs.select("doc_id", "source"), "doc_id").select("item_id", "doc_id", "source", "n_shared")
+    return C.shared_shingles(table(spark, sf, "benchmark"), docs, keep=["source"]).select("item_id", "doc_id", "source", "n_shared")
 
 
 @query("shared_passages", f"WITH {_WORDS} SELECT item_id, doc_id, source, n_shared FROM gold")
@@ -45,9 +44,10 @@ def shared_passages(spark: SparkSession, sf: str) -> DataFrame:
     return gold(spark, sf)
 
 
-def _conditions(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _conditions(spark: SparkSession, sf: str, found: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(required units, orders, stops) of three strategies; each a written table that later steps read."""
-    pairs = stored(gold(spark, sf).groupBy("item_id", "source").agg(F.count("*").alias("n_docs")), "gold")
+    found = gold(spark, sf) if found is None else found
+    pairs = stored(found.groupBy("item_id", "source").agg(F.count("*").alias("n_docs")), "gold")
     required = pairs.select(F.col("item_id").alias("qid"), F.col("source").alias("unit"))
     units = pairs.groupBy(F.col("source").alias("unit")).agg(F.sum("n_docs").alias("in_degree")).withColumn("shuffle_rank", F.md5("unit")).withColumn("tier", F.lit(""))
     order = stored(C.removal_order(units, "core", "periph", "random"), "order")
@@ -89,9 +89,10 @@ SELECT 'matched' AS "check", count(DISTINCT qid) AS n, count(DISTINCT qid) > 0 A
 UNION ALL SELECT 'required_lost_by_volume', 0, true UNION ALL SELECT 'without_surrogate', count(DISTINCT qid), true FROM req WHERE qid NOT IN (SELECT qid FROM tw)""")
 def regeneration_checks(spark: SparkSession, sf: str) -> DataFrame:
     """Surrogates are documents of the same text as a gold one; the volume pool has no source that a question needs."""
-    required, order, stops = _conditions(spark, sf)
+    found = stored(gold(spark, sf), "shared")
+    required, order, stops = _conditions(spark, sf, found)
     docs = table(spark, sf, "documents").select("doc_id", "source", F.md5("text").alias("h"), "n_chars")
-    own = gold(spark, sf).select(F.col("item_id").alias("qid"), "doc_id").join(docs.select("doc_id", "h"), "doc_id").withColumnRenamed("doc_id", "own")
+    own = found.select(F.col("item_id").alias("qid"), "doc_id").join(docs.select("doc_id", "h"), "doc_id").withColumnRenamed("doc_id", "own")
     twins = own.join(docs.select("doc_id", "h"), "h").where("own <> doc_id").select("qid", F.col("doc_id").alias("unit"))
     pool = docs.groupBy(F.col("source").alias("unit")).agg(F.sum("n_chars").alias("chars")).join(required.select("unit").distinct(), "unit", "left_anti")
     pool = pool.withColumn("rank", F.xxhash64("unit") % 1000)

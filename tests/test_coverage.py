@@ -79,3 +79,15 @@ def test_status_and_plan(spark):
     twins = spark.createDataFrame([(2, "z")], "qid int, unit string")
     live = spark.createDataFrame([("b",), ("z",)], "unit string")
     assert {r["qid"]: r["status"] for r in C.content_status(req, live, twins).collect()} == {1: "partial", 2: "surrogate", 3: "none"}
+
+
+def test_shared_shingles_leave_only_what_is_shared(spark, monkeypatch):
+    """Sent shingles give what the join by value gives, with kept columns, and without a join."""
+    items = spark.createDataFrame([(1, "a b c d e f"), (2, "ä_1 b c d e, f g"), (3, None), (4, "a b")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x a b c d e f g; a b c d e", "s"), (2, "Ä_1 ä_1 b c d e f", None), (3, None, "s"), (4, "a b c", "t"), (5, "b-c.d\ne f", "t")], "doc_id long, text string, source string")
+    rows = lambda df: sorted((tuple(r[c] for c in ("item_id", "doc_id", "source", "n_shared")) for r in df.collect()), key=str)
+    sent = C.shared_shingles(items, docs, keep=["source"])
+    assert "Join" not in sent._jdf.queryExecution().toString()
+    monkeypatch.setattr(C, "SENT_SHINGLES", 0)
+    assert rows(sent) == rows(C.shared_shingles(items, docs, keep=["source"]))
+    assert (1, 1, "s", 2) in rows(sent)
