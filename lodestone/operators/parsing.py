@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -293,33 +293,46 @@ class _Statute:
                 self.below(kid, depth + 1, inner, own)
 
 
-def statute_units(records: DataFrame) -> DataFrame:
-    """Units of raw statute records (file, pos, record), with metadata; keys that come again within a record get ~2, ~3, ...
+#: Units of statute records that are handed on at a time.
+HANDED = 8192
 
-    Records are trees of mixed types (an object or a list of them, a text or nested lists), so they are walked in Python, batch by batch.
-    A record that is no JSON object gives no units.
+
+def statute_units(records: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Units of raw statute records (file, pos, record), with metadata (all of it, or ``columns``); keys that come again within a record get ~2, ~3, ...
+
+    Records are trees of mixed types (an object or a list of them, a text or nested lists), so they are walked in Python, and
+    units of many records leave together.  A record that is no JSON object gives no units.
     """
-    names = [f.split()[0] for f in STATUTE_COLUMNS.split(", ")]
+    declared = [tuple(f.split()) for f in STATUTE_COLUMNS.split(", ")] + [("file", "string"), ("pos", "int")]
+    kinds = {n: k for n, k in declared if columns is None or n in columns}
+    arrow = {"int": pa.int32(), "boolean": pa.bool_(), "string": pa.string()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told(units: list[dict]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([u.get(n) for u in units], arrow[k]) for n, k in kinds.items()], names=list(kinds))
+
+        units: list[dict] = []
         for batch in batches:
             for file, pos, text in zip(*(batch.column(c).to_pylist() for c in ("file", "pos", "record")), strict=True):
                 try:
                     record = json.loads(text or "null")
                 except ValueError:
                     continue
-                rows = _Statute(record).units() if isinstance(record, dict) else []
-                if rows:
-                    columns = [pa.array([r.get(n) for r in rows], kinds[n]) for n in names]
-                    yield pa.RecordBatch.from_arrays([*columns, pa.array([file] * len(rows), pa.string()), pa.array([pos] * len(rows), pa.int32())], names=[*names, "file", "pos"])
-
-    kinds = {n: {"int": pa.int32(), "boolean": pa.bool_()}.get(f.split()[1], pa.string()) for n, f in zip(names, STATUTE_COLUMNS.split(", "), strict=True)}
-    found = records.select("file", F.col("pos").cast("int").alias("pos"), "record").mapInArrow(run, f"{STATUTE_COLUMNS}, file string, pos int")
-    keyed = found.withColumn("_own", F.concat_ws("|", "file", "pos", "unit_id"))
-    from lodestone.operators.corpus import unique_keys
-
-    again = F.regexp_extract(F.substring_index("unit_key", "|", -1), r"(~\d+)$", 1)
-    return unique_keys(keyed, "_own", ["seq"]).withColumn("unit_id", F.when(F.col("unit_key") != F.col("_own"), F.concat("unit_id", again)).otherwise(F.col("unit_id"))).drop("_own", "unit_key", "n_collisions")
+                seen: dict[str, int] = {}
+                for unit in _Statute(record).units() if isinstance(record, dict) else []:
+                    key = unit["unit_id"]
+                    seen[key] = n = seen.get(key, 0) + 1
+                    if n > 1:
+                        unit["unit_id"] = f"{key}~{n}"
+                    unit["file"], unit["pos"] = file, pos
+                    units.append(unit)
+                if len(units) >= HANDED:
+                    yield told(units)
+                    units = []
+        yield told(units)
+
+    found = records.select("file", F.col("pos").cast("int").alias("pos"), "record").mapInArrow(run, ", ".join(map(" ".join, kinds.items())))
+    return found if columns is None else found.select(*columns)
 
 
 def application_clauses(texts: DataFrame, cap: int = 600) -> DataFrame:

@@ -76,16 +76,19 @@ UNION ALL SELECT 'law:' || doc || ':' || code || ':000100:00' || lpad(CAST(q AS
 def statute_units(spark: SparkSession, sf: str) -> DataFrame:
     """Orders as statute records: line items are articles, with one paragraph that is an object, not a list, and one item with a branch."""
     li = table(spark, sf, "lineitem")
-    q = F.col("l_quantity").cast("int").cast("string")
-    item = F.struct(F.concat(q, F.lit("의2.")).alias("호번호"), F.array(F.array(F.col("l_linestatus"))).alias("호내용"))
-    para = F.struct(F.lit("").alias("항번호"), F.concat(F.lit("① "), "l_shipmode").alias("항내용"), F.array(item).alias("호"))
-    art = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_shipmode", "l_quantity", F.struct(F.lit("조문").alias("조문여부"), F.col("l_linenumber").cast("string").alias("조문번호"), F.col("l_returnflag").alias("조문내용"), para.alias("항")).alias("a"))
-    per = li.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(art)), lambda x: x["a"]).alias("조문단위"))
+    fields = ("l_linenumber", "l_partkey", "l_suppkey", "l_shipmode", "l_quantity", "l_returnflag", "l_linestatus")
+
+    def article(x: Column) -> Column:
+        item = F.struct(F.concat(x["l_quantity"].cast("int").cast("string"), F.lit("의2.")).alias("호번호"), F.array(F.array(x["l_linestatus"])).alias("호내용"))
+        para = F.struct(F.lit("").alias("항번호"), F.concat(F.lit("① "), x["l_shipmode"]).alias("항내용"), F.array(item).alias("호"))
+        return F.struct(F.lit("조문").alias("조문여부"), x["l_linenumber"].cast("string").alias("조문번호"), x["l_returnflag"].alias("조문내용"), para.alias("항"))
+
+    per = li.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct(*fields))), article).alias("조문단위"))
     kind = pick(["법률", "대통령령", "국방부령"], F.col("l_orderkey"))
     info = F.struct(F.col("l_orderkey").cast("string").alias("법령ID"), F.struct(kind.alias("content")).alias("법종구분"))
     record = F.to_json(F.struct(F.struct(info.alias("기본정보"), F.struct("조문단위").alias("조문")).alias("법령")))
     records = per.select(F.lit("orders").alias("file"), F.col("l_orderkey").cast("int").alias("pos"), record.alias("record"))
-    return parsing.statute_units(records).select("unit_id", "level", "tier", "jo", "hang", "ho", "text")
+    return parsing.statute_units(records, ["unit_id", "level", "tier", "jo", "hang", "ho", "text"])
 
 
 # Orders as texts that cite: by a quoted name, by an alias that they define, and their own articles by number.

@@ -62,6 +62,18 @@ def test_statute_records(spark):
     assert u[f"{b}:000500"]["deleted"] and not u[f"{b}:000100"]["deleted"] and (u[f"{b}:buchik:000"]["text"], u[f"{b}:buchik:000"]["promulgation_no"]) == ("부칙\n둘", "99")
 
 
+def test_statute_units_leave_together(spark):
+    """Units of many records come in one batch, numbered where they are made: nothing is shuffled, and only what is asked for is made."""
+    rows = [("f", i, json.dumps({"기본정보": {"법령ID": i}, "조문": {"조문단위": [{"조문번호": 1, "조문내용": "a"}, {"조문번호": 1, "조문내용": "b"}]}}, ensure_ascii=False)) for i in range(5)]
+    df = spark.createDataFrame(rows, "file string, pos int, record string").coalesce(1)
+    told = parsing.statute_units(df, ["pos", "unit_id", "text"])
+    assert told.columns == ["pos", "unit_id", "text"] and "Window" not in told._jdf.queryExecution().toString()
+    sizes = told.mapInArrow(lambda batches: (b.select(["pos"]).slice(0, 1) for b in batches if b.num_rows), "pos int").count()
+    assert sizes == 1
+    assert sorted(tuple(r) for r in told.where("pos = 3").collect()) == [(3, "law:3:000100", "a"), (3, "law:3:000100~2", "b")]
+    assert set(parsing.statute_units(df).columns) == {f.split()[0] for f in parsing.STATUTE_COLUMNS.split(", ")} | {"file", "pos"}
+
+
 def test_cutting(spark):
     cut = lambda f, t: [tuple(x) for x in spark.createDataFrame([(t,)], "t string").select(f(F.col("t")).alias("x")).first()["x"]]
     assert cut(parsing.items, "앞 1. 하나 9. 아홉 2. 둘 9의2. 가지") == [(0, "앞"), (1, "1. 하나 9. 아홉"), (2, "2. 둘 9의2. 가지")]
