@@ -124,17 +124,31 @@ def fuzzy_match(names: DataFrame, catalogue: DataFrame, least: float, floor: flo
     return exact.unionByName(rest)
 
 
-def resolve_articles(refs: DataFrame, articles: DataFrame) -> DataFrame:
-    """Adds verdict: resolved, missing_doc, missing_jo or deleted_jo. ``refs`` has cited_doc, jo, jo_branch; ``articles`` doc_id, jo, jo_branch, deleted."""
-    a = articles.groupBy(F.col("doc_id").alias("cited_doc"), F.col("jo").cast("int").alias("_j"), F.coalesce(F.col("jo_branch").cast("int"), F.lit(0)).alias("_b")).agg(F.min(F.coalesce("deleted", F.lit(False))).alias("_deleted"))
-    out = refs.withColumn("_j", F.col("jo").cast("int")).withColumn("_b", F.coalesce(F.col("jo_branch").cast("int"), F.lit(0))).join(a, ["cited_doc", "_j", "_b"], "left")
+def _dealt(df: DataFrame, partitions: int | None, *keys: str) -> DataFrame:
+    return df.repartition(partitions, *keys) if partitions else df
+
+
+def resolve_articles(refs: DataFrame, articles: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Adds verdict: resolved, missing_doc, missing_jo or deleted_jo. ``refs`` has cited_doc, jo, jo_branch; ``articles`` doc_id, jo, jo_branch, deleted.
+
+    References without a document meet nothing and are spread over all tasks.  ``partitions`` fixes the number of tasks,
+    so that a task's share does not grow with the tables; it is for keys none of which is very frequent.
+    """
+    keys = ["cited_doc", "_a", "_s"]
+    article = F.shiftleft(F.col("jo").cast("int").cast("long"), 32) + F.coalesce(F.col("jo_branch").cast("int"), F.lit(0))
+    none = F.pmod(F.xxhash64("doc_id"), F.lit(1)).cast("int")  # 0, but a column to the planner, which would drop a constant key and deal the rows again
+    a = articles.select(F.col("doc_id").alias("cited_doc"), article.alias("_a"), none.alias("_s"), F.coalesce("deleted", F.lit(False)).alias("deleted"))
+    a = _dealt(a, partitions, *keys).groupBy(*keys).agg(F.min("deleted").alias("_deleted"))
+    spread = F.when(F.col("cited_doc").isNull(), F.pmod(F.xxhash64(*refs.columns), F.lit(1 << 20)).cast("int")).otherwise(0)
+    out = refs.withColumn("_a", article).withColumn("_s", spread)
+    out = _dealt(out, partitions, *keys).join(a, keys, "left")
     verdict = F.when(F.col("cited_doc").isNull(), "missing_doc").when(F.col("_deleted").isNull(), "missing_jo").when(F.col("_deleted"), "deleted_jo").otherwise("resolved")
-    return out.withColumn("verdict", verdict).drop("_j", "_b", "_deleted")
+    return out.withColumn("verdict", verdict).drop("_a", "_s", "_deleted")
 
 
-def verify_gold(resolved: DataFrame, key: str = "unit_id") -> DataFrame:
+def verify_gold(resolved: DataFrame, key: str = "unit_id", partitions: int | None = None) -> DataFrame:
     """(key, n, n_resolved, verdict): pass, pass_partial or reject."""
-    g = resolved.groupBy(key).agg(F.count("*").alias("n"), F.count(F.when(F.col("verdict") == "resolved", 1)).alias("n_resolved"))
+    g = _dealt(resolved.select(key, "verdict"), partitions, key).groupBy(key).agg(F.count("*").alias("n"), F.count(F.when(F.col("verdict") == "resolved", 1)).alias("n_resolved"))
     return g.withColumn("verdict", F.when(F.col("n_resolved") == F.col("n"), "pass").when(F.col("n_resolved") > 0, "pass_partial").otherwise("reject"))
 
 

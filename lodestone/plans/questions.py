@@ -196,7 +196,9 @@ def article_verdicts(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("o_orderkey")
     refs = table(spark, sf, "orders").select(F.concat(F.lit("u"), k.cast("string")).alias("unit_id"), F.when(k % 7 != 0, k).alias("cited_doc"), F.explode(F.array(F.lit("1"), F.lit("3"), F.lit("6"))).alias("jo"), F.lit("0").alias("jo_branch"))
     arts = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("jo"), F.lit(0).alias("jo_branch"), (F.col("l_suppkey") % 5 == 0).alias("deleted"))
-    return citations.verify_gold(citations.resolve_articles(refs, arts))
+    # an article is cited by its own order alone; half a million rows a task
+    partitions = max(spark.sparkContext.defaultParallelism, -(-(3 * table(spark, sf, "orders").count() + arts.count()) // 500_000))
+    return citations.verify_gold(citations.resolve_articles(refs, arts, partitions), partitions=partitions)
 
 
 @query("preferred_verdicts", """

@@ -62,6 +62,18 @@ def test_statute_records(spark):
     assert u[f"{b}:000500"]["deleted"] and not u[f"{b}:000100"]["deleted"] and (u[f"{b}:buchik:000"]["text"], u[f"{b}:buchik:000"]["promulgation_no"]) == ("부칙\n둘", "99")
 
 
+def test_references_without_a_document_are_spread(spark):
+    """They have no key to meet by; one task had them all. A task's share is fixed by the number of tasks."""
+    refs = spark.range(800).select(F.concat(F.lit("u"), F.col("id") % 200).alias("unit_id"), F.when(F.col("id") % 2 == 0, F.col("id")).alias("cited_doc"), F.lit("1").alias("jo"), F.lit(None).cast("string").alias("jo_branch"))
+    arts = spark.range(400).select(F.col("id").alias("doc_id"), F.lit(1).alias("jo"), F.lit(0).alias("jo_branch"), (F.col("id") % 4 == 0).alias("deleted"))
+    found = citations.resolve_articles(refs, arts, 8)
+    assert max(r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()) < 200
+    want = {"missing_doc": 400, "missing_jo": 200, "deleted_jo": 100, "resolved": 100}
+    for df in (found, citations.resolve_articles(refs, arts)):
+        assert {r["verdict"]: r["count"] for r in df.groupBy("verdict").count().collect()} == want
+    assert sorted(map(tuple, citations.verify_gold(found, partitions=8).collect())) == sorted(map(tuple, citations.verify_gold(found).collect()))
+
+
 def test_statute_units_leave_together(spark):
     """Units of many records come in one batch, numbered where they are made: nothing is shuffled, and only what is asked for is made."""
     rows = [("f", i, json.dumps({"기본정보": {"법령ID": i}, "조문": {"조문단위": [{"조문번호": 1, "조문내용": "a"}, {"조문번호": 1, "조문내용": "b"}]}}, ensure_ascii=False)) for i in range(5)]
