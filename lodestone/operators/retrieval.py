@@ -37,13 +37,15 @@ def bm25_index(docs: DataFrame, doc_id: str = "doc_id", tokens: Column | None =
 
 def index_is_sound(postings: DataFrame, lengths: DataFrame, idf: DataFrame) -> DataFrame:
     """One row of counts that are 0 in a sound index: postings without a length, without an idf, repeated ones, and lengths that differ from their sum."""
-    no_length = postings.join(lengths, "doc_id", "left_anti").agg(F.count("*").alias("no_length"))
-    no_idf = postings.join(idf, "term", "left_anti").agg(F.count("*").alias("no_idf"))
+    by_doc = postings.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("tf").alias("s"))  # sums travel, not the postings
+    met = by_doc.join(lengths.select("doc_id", "dl", F.lit(True).alias("has")), "doc_id", "full")
+    lengths_met = met.agg(F.coalesce(F.sum(F.when(F.col("has").isNull(), F.col("n"))), F.lit(0)).alias("no_length"), F.count(F.when(F.col("has") & (F.col("dl") != F.coalesce("s", F.lit(0))), 1)).alias("wrong_length"))
+    by_term = postings.groupBy("term").agg(F.count("*").alias("n"))
+    no_idf = by_term.join(idf, "term", "left_anti").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("no_idf"))
     repeated = postings.groupBy("term", "doc_id").count().where("count > 1").agg(F.count("*").alias("repeated"))
-    sums = postings.groupBy("doc_id").agg(F.sum("tf").alias("s"))
-    wrong = lengths.join(sums, "doc_id", "left").where("dl <> coalesce(s, 0)").agg(F.count("*").alias("wrong_length"))
     one = lambda df: F.broadcast(df.withColumn("_k", F.lit(1)))  # noqa: E731  a single row each
-    return no_length.withColumn("_k", F.lit(1)).join(one(no_idf), "_k").join(one(repeated), "_k").join(one(wrong), "_k").drop("_k")
+    found = lengths_met.withColumn("_k", F.lit(1)).join(one(no_idf), "_k").join(one(repeated), "_k")
+    return found.select("no_length", "no_idf", "repeated", "wrong_length")
 
 
 def save_index(index: tuple[DataFrame, DataFrame, DataFrame], path: str) -> None:

@@ -93,3 +93,13 @@ def test_gram_counts_add_up_in_the_tasks(spark, monkeypatch):
 
 def test_gram_query_spreads_no_rows_in_the_jvm(spark, sf):
     assert "Generate" not in plan(registry.queries()["gram_document_frequency"](spark, sf))
+
+
+def test_index_faults_are_counted_from_sums(spark):
+    postings = spark.createDataFrame([("a", 1, 2), ("a", 1, 2), ("b", 1, 1), ("b", 2, 1), ("c", 3, 4), (None, None, 1)], "term string, doc_id long, tf long")
+    lengths = spark.createDataFrame([(1, 5), (2, 9), (4, 0), (5, 1)], "doc_id long, dl long")
+    idf = spark.createDataFrame([("b", 1.0), ("c", 1.0)], "term string, idf double")
+    found = R.index_is_sound(postings, lengths, idf)
+    assert found.first().asDict() == {"no_length": 2, "no_idf": 3, "repeated": 1, "wrong_length": 2}
+    steps = plan(found).split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
+    assert steps.count("LeftAnti") == 1  # terms' counts; postings were joined twice before
