@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -63,6 +65,41 @@ def test_encoding_follows_the_table(library, monkeypatch):
     assert {w: a.encode_word(w) for w in text} == want
 
 
+def test_new_words_take_their_steps_together(library, monkeypatch):
+    """Chunks new to a group of texts are encoded without a walk of their own, each once; small tables and caches give the same."""
+    rng = random.Random(5)
+    kinds = ["abcdefghij ", "éÉΣσİıßẞ á̧e", "".join(map(chr, range(40, 400))), "the ing s t 0123 ½Ⅷ東京한글😀👍🏽\u00a0\u2003\u0301x.,"]
+    texts = ["".join(rng.choice(kinds[k % 4]) for _ in range(rng.randint(0, 40))) for k in range(400)]
+    texts = [t.replace("<", "") for t in texts] + ["", " \t", "\u00a0 \u0301a \u00a0b\u00a0"]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    chunks = B._chunks(VOCABULARY, True)
+    chunks.forget()
+    with monkeypatch.context() as m:
+        m.setattr(B, "LONG", 1000)
+        m.setattr(B.MergeAutomaton, "encode_word", None)
+        got = chunks.write([t.encode() for t in texts])
+        steps = []
+        m.setattr(B.MergeAutomaton, "encode_words", lambda *a: steps.append(a))
+        assert chunks.write([t.encode() for t in texts]) == got and not steps
+    assert [np.frombuffer(ids, "<i4").tolist() for ids, _ in got] == want
+    assert [labels[:-1].decode() for _, labels in got] == [library.decode(ids, skip_special_tokens=False) for ids in want]
+    for name, value in (("TABLE_STATES", 20), ("WORDS_TOGETHER", 7), ("CACHE_CHUNKS", 30), ("LONG", 3)):
+        monkeypatch.setattr(B, name, value)
+        chunks.forget_chunks()
+        assert [x for i in range(0, len(texts), 9) for x in chunks.write([t.encode() for t in texts[i : i + 9]])] == got
+    broken = [b"a\xe2\x82", b"\xff", b"\x82b \xf0\x9f\x98 c", None]
+    assert [np.frombuffer(ids, "<i4").tolist() for ids, _ in chunks.write(broken)] == [library.encode((t or b"").decode("utf-8", "replace"), add_special_tokens=False).ids for t in broken]
+
+
+def test_pieces_follow_bytes(monkeypatch):
+    """Documents are cut into pieces by their bytes, not only their number; none is lost and a long one stands alone."""
+    monkeypatch.setattr(B, "TOGETHER_BYTES", 10)
+    monkeypatch.setattr(B, "TOGETHER", 4)
+    texts = [b"x" * n for n in (3, 7, 1, 40, 0, 0, 0, 0, 0, 6, 6)] + [None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(12)), pa.array(texts, pa.binary())], names=["doc_id", "text"])
+    assert [p.column("doc_id").to_pylist() for p in B._pieces(batch)] == [[0, 1], [2], [3], [4, 5, 6, 7], [8, 9], [10, 11]]
+
+
 def test_documents(spark, odd_docs, no_docs, library):
     rows = B.encode_documents(odd_docs, VOCABULARY).collect()
     texts = {r["doc_id"]: r["text"] for r in odd_docs.collect()}
