@@ -21,9 +21,10 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import islice
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,8 @@ SHARD_BYTES = 24 << 20
 PAGE_BITS = 1 << 18
 #: Distinct chunks that one worker remembers.
 CACHE_CHUNKS = 1_000_000
+#: Distinct words and punctuations of chunks that one worker remembers.
+CACHE_PARTS = 600_000
 
 
 class Planes:
@@ -206,16 +209,37 @@ def _plain(s: str) -> bool:
     return s.isalpha() and (s.isascii() or max(s) < "\u0130" or max(s) < "\u0250" and s.lower().isalpha())
 
 
-class _Encoder(dict):
+class _Ids:
+    """Runs of ids by number."""
+
+    def __init__(self) -> None:
+        self.flat, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, ids: list[np.ndarray], start: np.ndarray, size: np.ndarray) -> None:
+        """More runs, which start at ``start`` within ``ids``."""
+        self.start, self.size = np.concatenate((self.start, start + len(self.flat))), np.concatenate((self.size, size))
+        self.flat = np.concatenate((self.flat, *ids))
+
+    def take(self, numbers: np.ndarray) -> np.ndarray:
+        """Their ids, end to end."""
+        sizes = self.size[numbers]
+        stops = np.cumsum(sizes)
+        return self.flat.take(np.repeat(self.start[numbers] - (stops - sizes), sizes) + np.arange(int(stops[-1])))
+
+
+class _Encoder(defaultdict):
     """White-space-free chunk -> number, and per number its ids by the tokenizers library.
 
     No token of a pre-splitting vocabulary spans ASCII white space, so a text's ids are its chunks'
     ids in order, and each distinct chunk is encoded once a worker.  Chunks of letters, perhaps with
-    punctuation after them, are encoded many at a time, as one text; the end marks of the last
-    tokens tell them apart (and are counted, to make sure).  Number 0 stands for the end id.
+    punctuation after them, have the ids of both parts (checked for each punctuation), and each
+    distinct part goes to the library once, in lower case if the vocabulary ignores case.  Parts are
+    encoded many at a time, as one text; the end marks of the last tokens tell them apart (and are
+    counted, to make sure).  Number 0 stands for the end id.
     """
 
-    TOGETHER = 2_000
+    #: Parts in one text: the library takes half as long again for a part in texts of 2,000.
+    TOGETHER = 100
 
     def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
@@ -225,60 +249,96 @@ class _Encoder(dict):
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for label, i in vocabulary.items() if label.endswith("</w>")]] = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        letters = " ".join(c for c in map(chr, range(0x130)) if c.isalpha())
+        normalizer = self.tokenizer.normalizer
+        self.folds = normalizer is not None and normalizer.normalize_str(letters) == letters.lower() and not any(map(str.isalpha, self.added))
         self.forget()
 
     def forget(self) -> None:
         self.clear()
-        self.fresh: list[bytes] = []
-        self.flat, self.start, self.size = np.array([self.end_id], np.uint32), np.zeros(1, np.int64), np.ones(1, np.int64)
-
-    def __missing__(self, chunk: bytes) -> int:
-        self.fresh.append(chunk)
-        i = self[chunk] = len(self) + 1
-        return i
-
-    def _learn(self) -> None:
-        texts = [c.decode("utf-8", "replace") for c in self.fresh]
-        runs = []
-        for s in texts:
-            word = s.rstrip(_RUN)
-            runs.append(0 if word and not _plain(word) else (len(word) > 0) + (len(word) < len(s)))
-        start, size = np.full(len(texts), -1, np.int64), np.zeros(len(texts), np.int64)
-        parts, held = [self.flat], len(self.flat)
-        runs = np.array(runs, np.int64)
-        joined = np.flatnonzero(runs)
-        for at in range(0, len(joined), self.TOGETHER):
-            pick = joined[at : at + self.TOGETHER]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join([texts[i] for i in pick.tolist()])], add_special_tokens=False)[0].ids, np.uint32)
-            stops, upto = np.flatnonzero(self.last[ids]), np.cumsum(runs[pick])
-            if len(stops) == upto[-1]:  # else these go one by one
-                edges = np.r_[0, stops[upto - 1] + 1]
-                start[pick], size[pick] = held + edges[:-1], np.diff(edges)
-                parts.append(ids)
-                held += len(ids)
-        rest = np.flatnonzero(start < 0).tolist()
-        for i, e in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
-            parts.append(np.array(e.ids, np.uint32))
-            start[i], size[i] = held, len(e.ids)
-            held += len(e.ids)
-        self.flat, self.start, self.size = np.concatenate(parts), np.concatenate((self.start, start)), np.concatenate((self.size, size))
-        self.fresh = []
+        self.default_factory = count(1).__next__  # numbers follow the order of the chunks
+        self.chunks = _Ids()
+        self.chunks.add([np.array([self.end_id], np.uint32)], np.zeros(1, np.int64), np.ones(1, np.int64))
+        self._forget_parts()
+
+    def _forget_parts(self) -> None:
+        self.part_of: defaultdict[str, int] = defaultdict(count().__next__, {})
+        self.part_of[""]
+        self.parts = _Ids()
+        self.parts.add([], np.zeros(1, np.int64), np.zeros(1, np.int64))
+        self.apart: dict[str, bool] = {"": True}
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _stands_apart(self, run: str) -> bool:
+        """Is a word with this punctuation after it encoded as the two parts are?"""
+        both, word, end = self._ids(["a" + run, "a", run])
+        return both.tolist() == [*word.tolist(), *end.tolist()]
+
+    def _learn(self, fresh: list[bytes]) -> None:
+        if len(self.part_of) > CACHE_PARTS:
+            self._forget_parts()
+        part_of, apart, known = self.part_of, self.apart, len(self.part_of)
+        text = b"\n".join(fresh).decode("utf-8", "replace")
+        chunks = text.split("\n")
+        words = [s.rstrip(_RUN) for s in chunks]
+        runs = [s[len(word) :] for s, word in zip(chunks, words, strict=True)]
+        for run in set(runs).difference(apart):
+            apart[run] = self._stands_apart(run)
+        alone = {k for k, word in enumerate(words) if word and not (word.isalpha() and (word.isascii() or _plain(word)))}
+        if not all(apart.values()):
+            alone.update(k for k, run in enumerate(runs) if not apart[run])
+        for special in self.added:
+            if special in text:
+                alone.update(k for k, s in enumerate(chunks) if special in s)
+        for k in alone:
+            words[k] = runs[k] = ""
+        if self.folds:
+            words = [word.lower() if word.isascii() or max(word) < "\u0130" else word for word in words]
+        words, runs = ([*map(part_of.__getitem__, x)] for x in (words, runs))
+        if len(part_of) > known:
+            self._learn_parts(list(islice(reversed(part_of), len(part_of) - known))[::-1])
+        parts = np.array((words, runs), np.int64).T
+        sizes = self.parts.size[parts].sum(axis=1)
+        ids, start = [self.parts.take(parts.ravel())], np.cumsum(sizes) - sizes
+        at = int(sizes.sum())
+        for k, found in zip(alone, self._ids([chunks[k] for k in alone]), strict=True):
+            ids.append(found)
+            start[k], sizes[k] = at, len(found)
+            at += len(found)
+        self.chunks.add(ids, start, sizes)
+
+    def _learn_parts(self, texts: list[str]) -> None:
+        ids, start, size, held = [], np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), 0
+        groups = [texts[at : at + self.TOGETHER] for at in range(0, len(texts), self.TOGETHER)]
+        for n, found in enumerate(self._ids([" ".join(group) for group in groups])):
+            at, group = n * self.TOGETHER, groups[n]
+            edges = np.r_[0, np.flatnonzero(self.last[found]) + 1]
+            if len(edges) == len(group) + 1:
+                start[at : at + len(group)], size[at : at + len(group)] = held + edges[:-1], np.diff(edges)
+            else:  # these go one by one
+                single = self._ids(group)
+                found, sizes = np.concatenate(single), np.array([*map(len, single)], np.int64)
+                start[at : at + len(group)], size[at : at + len(group)] = held + np.cumsum(sizes) - sizes, sizes
+            ids.append(found)
+            held += len(found)
+        self.parts.add(ids, start, size)
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each with its end id; ids per text)."""
         if len(self) > CACHE_CHUNKS:
             self.forget()
-        parts = []
+        parts, known = [], len(self)
         for text in texts:
             chunks = text.split()
             parts.append(np.fromiter(map(self.__getitem__, chunks), np.int64, len(chunks)))
-        if self.fresh:
-            self._learn()
+        if len(self) > known:
+            self._learn(list(islice(reversed(self), len(self) - known))[::-1])
         end = np.zeros(1, np.int64)
         numbers = np.concatenate([x for part in parts for x in (part, end)])
-        sizes = self.size[numbers]
-        stops = np.cumsum(sizes)
-        ids = self.flat.take(np.repeat(self.start[numbers] - (stops - sizes), sizes) + np.arange(int(stops[-1])))
+        ids, stops = self.chunks.take(numbers), np.cumsum(self.chunks.size[numbers])
         upto = stops[np.cumsum([len(part) + 1 for part in parts]) - 1]
         return ids, np.diff(upto, prepend=0)
 

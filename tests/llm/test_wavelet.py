@@ -89,3 +89,43 @@ def test_query(spark, sf):
         assert got.pop(d) == (start, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)))
         start += len(ids)
     assert not got
+
+
+class _Spy:
+    def __init__(self, tokenizer):
+        self.tokenizer, self.texts = tokenizer, []
+
+    def encode_batch_fast(self, texts, **options):
+        self.texts += texts
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+
+def test_each_word_goes_to_the_library_once(monkeypatch):
+    """However it is capitalised and whatever punctuation follows; and the ids are the library's."""
+    library = Tokenizer.from_file(VOCABULARY)
+    encoder = W._Encoder(VOCABULARY, 2)
+    encoder.tokenizer = spy = _Spy(library)
+    texts = ["Word word. WORD, word!!! (word) wörd Wörd. it's", "", "ǅ Ǆ ǆ. İi ÿŸ ſ ßẞ µΜμ 12% a1 ́a  b  Å Σσς <|endoftext|>. x<|endoftext|>", "... word? don't WÖRD; ½ 東京. 😀!"]
+    ids, sizes = encoder.encode([t.encode() for t in texts])
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [[*library.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    sent = " ".join(spy.texts).split()
+    assert sent.count("word") == 1 and sent.count("wörd") == 1 and not {"Word", "word.", "Wörd", "WÖRD;"} & {*sent}
+    for name, value in (("CACHE_PARTS", 2), ("CACHE_CHUNKS", 5)):
+        monkeypatch.setattr(W, name, value)
+        again = [encoder.encode([t.encode()])[0].tolist() for t in (*texts, *texts)]
+        assert sum(again, []) == ids.tolist() * 2
+
+
+def test_parts_of_other_vocabularies(tmp_path):
+    """Case that counts, punctuation that is no word of its own, and added tokens are left to the library."""
+    from tokenizers import AddedToken, models, pre_tokenizers
+
+    symbols = [c + end for c in "abAB.,!" for end in ("", "</w>")]
+    merges = [("a", "b</w>"), ("A", "b"), ("b", ".</w>")]
+    t = Tokenizer(models.BPE({s: i for i, s in enumerate([*symbols, *map("".join, merges)])}, merges, end_of_word_suffix="</w>"))
+    t.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    t.add_tokens([AddedToken("BA!", normalized=False)])
+    t.save(path := str(tmp_path / "small.json"))
+    text = "ab Ab. ab. AB ab,. BA! aBA!b b. . ,, ab! aB"
+    ids, _ = W._Encoder(path, 99).encode([text.encode()])
+    assert ids.tolist() == [*t.encode(text, add_special_tokens=False).ids, 99]
